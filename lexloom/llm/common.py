@@ -7,6 +7,7 @@ from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from lexloom.session import checkpoint_dir
 
@@ -65,3 +66,14 @@ def materialise(df: DataFrame) -> DataFrame:
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
+
+
+def bounded_sample(df: DataFrame, n: int, id_col: str = "doc_id") -> DataFrame:
+    """At most ``n`` ids' rows, chosen by a hash of the id: the same whatever the partitioning.
+
+    Only ids are ranked (top-n per task, then merged); the ``n`` chosen ids are the broadcast side,
+    so its size is bounded by ``n``. Used to fit models alone, never to report on the corpus.
+    """
+    ids = df.select(F.col(id_col).alias("_sampled")).where(F.col("_sampled").isNotNull()).distinct()
+    ids = ids.orderBy(F.xxhash64(F.col("_sampled"), F.lit(11)), "_sampled").limit(n)
+    return df.join(F.broadcast(ids), F.col(id_col) == F.col("_sampled"), "left_semi")

@@ -2,8 +2,17 @@
 
 from __future__ import annotations
 
-from lexloom.llm import bpe_codec, token_counts
+from lexloom.llm import (
+    bpe_codec,
+    language_id,
+    mixing,
+    quality_classifier,
+    quality_rules,
+    secrets,
+    token_counts,
+    topk_search,
+)
 
-MODULES = (token_counts, bpe_codec)
+MODULES = (token_counts, quality_rules, secrets, topk_search, mixing, quality_classifier, bpe_codec, language_id)
 QUERIES = {name: query for module in MODULES for name, query in module.QUERIES.items()}
 ORACLES = {name: sql for module in MODULES for name, sql in module.ORACLES.items()}
