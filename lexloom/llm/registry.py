@@ -6,6 +6,7 @@ from lexloom.llm import (
     bpe_codec,
     language_id,
     mixing,
+    ngram_join,
     quality_classifier,
     quality_rules,
     secrets,
@@ -13,6 +14,6 @@ from lexloom.llm import (
     topk_search,
 )
 
-MODULES = (token_counts, quality_rules, secrets, topk_search, mixing, quality_classifier, bpe_codec, language_id)
+MODULES = (token_counts, quality_rules, ngram_join, secrets, topk_search, mixing, quality_classifier, bpe_codec, language_id)
 QUERIES = {name: query for module in MODULES for name, query in module.QUERIES.items()}
 ORACLES = {name: sql for module in MODULES for name, sql in module.ORACLES.items()}
