@@ -10,10 +10,11 @@ from lexloom.llm import (
     quality_classifier,
     quality_rules,
     secrets,
+    substring_dedup,
     token_counts,
     topk_search,
 )
 
-MODULES = (token_counts, quality_rules, ngram_join, secrets, topk_search, mixing, quality_classifier, bpe_codec, language_id)
+MODULES = (token_counts, quality_rules, ngram_join, secrets, topk_search, mixing, quality_classifier, substring_dedup, bpe_codec, language_id)
 QUERIES = {name: query for module in MODULES for name, query in module.QUERIES.items()}
 ORACLES = {name: sql for module in MODULES for name, sql in module.ORACLES.items()}

@@ -24,6 +24,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lexloom.llm.common import importable
+
 #: Queries of one block and vectors of one tile.
 BLOCK, TILE = 4096, 2048
 #: Groups of tasks that are merged before queries are.
@@ -167,6 +169,7 @@ def top_k(
 
 
 def op5_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    importable(spark)
     vectors = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
     return top_k(vectors.where(F.col("vec_id") % 50 == 0), vectors)
 
