@@ -27,6 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType, DoubleType, StringType, StructField, StructType
 
 from lexloom.llm.common import Memo, documents, map_texts
 
@@ -37,6 +38,11 @@ PER_LANG = 400
 MARGIN = 0.05
 
 
+_PREDICTION = StructType(
+    [StructField("lang_pred", StringType()), StructField("score", DoubleType()), StructField("ambiguous", BooleanType())]
+)
+
+
 def word_grams(word: str) -> list[int]:
     """Hashed bigrams and trigrams of the word with both ends marked."""
     s = f"<{word}>"
@@ -173,19 +179,26 @@ def train(
     return fit(labelled_sample(df, per_lang, id_col, text_col, lang_col))
 
 
+def _decider(model: Model | None):
+    """A function from a text to (language, score, ambiguous)."""
+    scores = WordScores(model.table) if model else None
+
+    def one(text: str | None) -> tuple[str, float, bool]:
+        if model is None or not text or not any(map(str.isalpha, text)):
+            return UNKNOWN, 0.0, True
+        return model.decode(model.margin(scores.total(text)))
+
+    return one
+
+
 def identify(df: DataFrame, model: Model | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, lang_pred, score, ambiguous)."""
 
     def make():
-        scores = WordScores(model.table) if model else None
-
-        def one(text):
-            if model is None or not text or not any(map(str.isalpha, text)):
-                return UNKNOWN, 0.0, True
-            return model.decode(model.margin(scores.total(text)))
+        decide = _decider(model)
 
         def f(ids, texts):
-            found = [one(t) for t in texts]
+            found = [decide(t) for t in texts]
             return {"id": ids} | {k: [x[i] for x in found] for i, k in enumerate(("lang_pred", "score", "ambiguous"))}
 
         return f
@@ -195,6 +208,28 @@ def identify(df: DataFrame, model: Model | None, id_col: str = "doc_id", text_co
     return out.withColumnRenamed("id", id_col)
 
 
+def with_language(df: DataFrame, model: Model | None, text_col: str = "text") -> DataFrame:
+    """The rows with all their columns and ``lang_pred``, ``score`` and ``ambiguous``, without a join.
+
+    Columns of these three names are replaced.
+    """
+    own = [c for c in df.columns if c not in ("lang_pred", "score", "ambiguous")]
+    base = df.select(*own)
+    at = own.index(text_col)
+
+    def run(batches):
+        decide = _decider(model)
+        for batch in batches:
+            for start in range(0, batch.num_rows, 2000):
+                part = batch.slice(start, 2000)
+                found = [decide(t) for t in part.column(at).to_pylist()]
+                new = [pa.array([x[i] for x in found], t) for i, t in enumerate((pa.string(), pa.float64(), pa.bool_()))]
+                yield pa.RecordBatch.from_arrays([*part.columns, *new], names=[*own, "lang_pred", "score", "ambiguous"])
+
+    schema = StructType([*base.schema.fields, *_PREDICTION.fields])
+    return base.mapInArrow(run, schema)
+
+
 def remainder(id_col: str, n: int) -> Column:
     """crc32 of the id's text, modulo n."""
     return F.crc32(F.col(id_col).cast("string").cast("binary")) % n

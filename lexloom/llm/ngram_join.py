@@ -236,6 +236,11 @@ class JaccardJoin:
         more = self.linked(materialise(rest.distinct()))
         return links.union(more).union(copies)
 
+    def duplicates(self) -> DataFrame:
+        """(id) of the documents that are not the first of their component."""
+        label = components(self.edges(), "a", "b")
+        return materialise(label.where("id <> component").select("id").distinct())
+
     def classes(self) -> DataFrame:
         """(id, n, component) of every row."""
         label = materialise(components(self.edges(), "a", "b"))
