@@ -1,4 +1,718 @@
-"""All queries of the lexical operators, with DuckDB SQL where SQL can express them."""
+"""The lexical operators' queries on the driver's tables, each with DuckDB SQL where SQL can express it."""
+
+from __future__ import annotations
+
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
+from pyspark.sql import functions as F
+
+from lexloom.functions import text as t
+from lexloom.operators import audit, dedup, forms, index, links, search
+from lexloom.plans import lexicon as lx
+from lexloom.session import checkpoint_dir, table
+from lexloom.sources import jsonl, sinks
+from lexloom.streaming.ingest import stream_distinct
 
 QUERIES: dict = {}
-ORACLES: dict = {}
+ORACLES: dict[str, str] = {}
+
+_TOK = r"""toklists AS (
+  SELECT doc_id, lang, list_filter(regexp_split_to_array(regexp_replace(lower(text), '[^\p{L}\p{M}\p{N}\s]', ' ', 'g'), '\s+'), lambda x: x <> '') AS ws FROM documents),
+tok AS (SELECT doc_id, lang, ws[p] AS w, p FROM toklists, unnest(range(1, len(ws) + 1)) u(p))"""
+_LEX = (
+    _TOK
+    + """,
+counts AS (SELECT lang, w, count(*) AS n FROM tok GROUP BY ALL),
+lex AS (
+  SELECT lang, w, n, freq, row_number() OVER (PARTITION BY lang ORDER BY freq DESC, w) - 1 AS id,
+         row_number() OVER (ORDER BY freq DESC, w || '|' || lang) - 1 AS gid
+  FROM (SELECT lang, w, n, round(log10(n / sum(n) OVER (PARTITION BY lang)) + 9, 2) AS freq FROM counts))"""
+)
+_QUERIES = r"""asked AS (
+  SELECT DISTINCT q FROM (
+    SELECT list_filter(regexp_split_to_array(regexp_replace(lower(text), '[^\p{L}\p{M}\p{N}\s]', ' ', 'g'), '\s+'), lambda x: x <> '')[1] AS q FROM benchmark)
+  WHERE q IS NOT NULL)"""
+
+
+def query(sql: str | None = None):
+    """Register a query under its function's name, with its SQL."""
+
+    def register(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLES[f.__name__] = sql
+        return f
+
+    return register
+
+
+def _docs(spark: SparkSession, sf: str) -> DataFrame:
+    return table(spark, sf, "documents")
+
+
+# --- tokens and lexicon ---------------------------------------------------------------------
+
+
+@query(f"WITH {_TOK} SELECT lang, w, count(*) AS n FROM tok GROUP BY ALL")
+def token_counts(spark, sf):
+    return lx.token_totals(_docs(spark, sf))
+
+
+@query(f"WITH {_TOK} SELECT DISTINCT w, strip_accents(w) AS stripped FROM tok")
+def strip_diacritics_words(spark, sf):
+    words = _docs(spark, sf).select(F.explode(t.tokens(F.col("text"))).alias("w")).distinct()
+    return words.select("w", t.strip_diacritics(F.col("w")).alias("stripped"))
+
+
+@query(f"WITH {_TOK} SELECT strip_accents(w) AS key, count(DISTINCT w) AS spellings FROM tok GROUP BY 1 HAVING count(DISTINCT w) > 1")
+def word_key_collisions(spark, sf):
+    words = _docs(spark, sf).select(F.explode(t.tokens(F.col("text"))).alias("w")).distinct()
+    return words.groupBy(t.strip_diacritics(F.col("w")).alias("key")).agg(F.count("*").alias("spellings")).where("spellings > 1")
+
+
+@query(f"WITH {_LEX} SELECT lang, w, freq FROM lex")
+def zipf_frequency(spark, sf):
+    return lx.lexicon(_docs(spark, sf)).select("lang", "w", "freq")
+
+
+@query(f"WITH {_LEX} SELECT lang, w, id FROM lex")
+def frequency_rank_ids(spark, sf):
+    return lx.lexicon(_docs(spark, sf)).select("lang", "w", "id")
+
+
+@query(f"WITH {_LEX} SELECT lang, count(*) AS words, min(freq) AS low, max(freq) AS high, count(*) FILTER (freq = 0) AS zero FROM lex GROUP BY lang")
+def lexicon_stats(spark, sf):
+    return lx.lexicon(_docs(spark, sf)).groupBy("lang").agg(
+        F.count("*").alias("words"), F.min("freq").alias("low"), F.max("freq").alias("high"), F.sum((F.col("freq") == 0).cast("long")).alias("zero")
+    )
+
+
+# --- cleaning, dirt and validation ----------------------------------------------------------
+
+_MARKUP = t.UNEXPANDED_MARKUP.replace("'", "''")
+
+
+@query(
+    f"""SELECT page_id, x <> '' AND (regexp_matches(x, '^\\p{{L}}+$') OR NOT regexp_matches(x, '{_MARKUP}')) AS clean
+FROM (SELECT page_id, trim(html) AS x FROM pages)"""
+)
+def clean_text_filter(spark, sf):
+    return table(spark, sf, "pages").select("page_id", t.clean_text(F.col("html")).isNotNull().alias("clean"))
+
+
+@query(
+    "SELECT source, count(*) AS rows, "
+    + ", ".join(f"sum(regexp_matches(text, '{p}')::INT)::BIGINT AS {k}" for k, p in t.DIRT_PATTERNS.items())
+    + " FROM documents GROUP BY source"
+)
+def dirt_pattern_counts(spark, sf):
+    return audit.profile(_docs(spark, sf), ["source"], audit.dirt_flags(F.col("text")))
+
+
+@query(
+    "WITH s AS (SELECT doc_id, list_filter(list_transform(regexp_split_to_array(text, '[.\\n]'), lambda x: trim(x)), lambda x: x <> '')[1] AS first FROM documents) "
+    "SELECT doc_id, first FROM s WHERE first IS NOT NULL AND NOT ("
+    + " OR ".join(f"starts_with(lower(first), '{p}')" for p in t.JUNK_GLOSS_PREFIXES)
+    + ")"
+)
+def junk_gloss_filter(spark, sf):
+    first = F.get(t.sentences(F.col("text")), 0)
+    return _docs(spark, sf).select("doc_id", first.alias("first")).where(F.col("first").isNotNull() & ~t.is_junk_gloss(F.col("first")))
+
+
+@query("SELECT sha256(text) AS digest, min(doc_id) AS first, count(*) AS copies FROM documents GROUP BY 1")
+def record_dedup_sha256(spark, sf):
+    return dedup.exact_records(_docs(spark, sf), F.sha2("text", 256), "doc_id")
+
+
+@query(
+    "SELECT lang, source, doc_id, n_chars FROM (SELECT *, row_number() OVER (PARTITION BY lang, source ORDER BY doc_id) AS r "
+    "FROM documents WHERE n_chars > 500) WHERE r = 1"
+)
+def first_wins_by_key(spark, sf):
+    rows = _docs(spark, sf).select("lang", "source", "doc_id", "n_chars")
+    return dedup.first_wins(rows, ["lang", "source"], "doc_id", F.col("n_chars") > 500)
+
+
+@query("SELECT role, text, count(*) AS n FROM conversations GROUP BY ALL HAVING count(*) > 1")
+def unique_key_violations(spark, sf):
+    return dedup.key_violations(table(spark, sf, "conversations"), ["role", "text"])
+
+
+# --- indexes and lookups --------------------------------------------------------------------
+
+
+@query(f"WITH {_TOK} SELECT DISTINCT strip_accents(w) AS form_key, doc_id FROM tok")
+def form_lookup_build(spark, sf):
+    return index.form_lookup(lx.token_rows(_docs(spark, sf)))
+
+
+@query(
+    f"WITH {_TOK}, {_QUERIES} SELECT DISTINCT q, d.doc_id, d.source FROM asked JOIN tok ON strip_accents(w) = strip_accents(q) JOIN documents d USING (doc_id)"
+)
+def reverse_form_lookup(spark, sf):
+    asked = lx.query_words(table(spark, sf, "benchmark")).select("q", t.strip_diacritics(F.col("q")).alias("form_key"))
+    found = index.form_lookup(lx.token_rows(_docs(spark, sf))).join(asked, "form_key").select("q", "doc_id")
+    return found.join(_docs(spark, sf).select("doc_id", "source"), "doc_id").select("q", "doc_id", "source")
+
+
+@query(
+    "SELECT 'unlabelled' AS kind, doc_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels) "
+    "UNION ALL SELECT 'orphan', doc_id FROM labels WHERE doc_id NOT IN (SELECT doc_id FROM documents)"
+)
+def orphan_anti_join(spark, sf):
+    docs, labels = _docs(spark, sf).select("doc_id"), table(spark, sf, "labels").select("doc_id")
+    return links.orphans(docs, labels, "doc_id").select(F.lit("unlabelled").alias("kind"), "doc_id").union(
+        links.orphans(labels, docs, "doc_id").select(F.lit("orphan"), "doc_id")
+    )
+
+
+@query(
+    f"WITH {_LEX}, b AS (SELECT DISTINCT unnest(list_filter(regexp_split_to_array(regexp_replace(lower(text), '[^\\p{{L}}\\p{{M}}\\p{{N}}\\s]', ' ', 'g'), '\\s+'), lambda x: x <> '')) AS w FROM benchmark) "
+    "SELECT w FROM b WHERE w IN (SELECT w FROM lex)"
+)
+def exact_headwords_semi(spark, sf):
+    asked = table(spark, sf, "benchmark").select(F.explode(t.tokens(F.col("text"))).alias("w"))
+    return links.exact_headwords(asked, lx.token_totals(_docs(spark, sf)), ["w"])
+
+
+_PAIRS = r"""pairs AS (
+  SELECT item_id, ws[1] AS a, left(ws[2], 3) AS b FROM (
+    SELECT item_id, list_filter(regexp_split_to_array(regexp_replace(lower(text), '[^\p{L}\p{M}\p{N}\s]', ' ', 'g'), '\s+'), lambda x: x <> '') AS ws FROM benchmark)
+  WHERE len(ws) > 1)"""
+
+
+@query(
+    f"""WITH {_TOK}, {_PAIRS},
+hits AS (
+  SELECT DISTINCT item_id, x.doc_id FROM pairs JOIN tok x ON x.w = a JOIN tok y ON y.doc_id = x.doc_id AND starts_with(y.w, b))
+SELECT item_id, doc_id FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY doc_id) AS r FROM hits) WHERE r <= 50"""
+)
+def fts_prefix_and(spark, sf):
+    words = t.tokens(F.col("text"))
+    asked = table(spark, sf, "benchmark").select("item_id", F.get(words, 0).alias("a"), F.substring(F.get(words, 1), 1, 3).alias("b")).where("b is not null")
+    postings = lx.token_rows(_docs(spark, sf)).select("doc_id", "w").distinct()
+    whole = asked.join(postings.withColumnRenamed("w", "a"), "a").select("item_id", "doc_id", "b")
+    heads = postings.select("doc_id", F.explode(F.transform(F.sequence(F.lit(1), F.least(F.lit(3), F.length("w"))), lambda i: F.substring(F.col("w"), F.lit(1), i))).alias("b")).distinct()
+    both = whole.join(heads, ["doc_id", "b"]).select("item_id", "doc_id").distinct()
+    return index.capped_postings(both, ["item_id"], [F.col("doc_id")], 50).select("item_id", "doc_id")
+
+
+@query(
+    f"""WITH {_TOK}, {_QUERIES},
+ctok AS (SELECT conv_id, unnest(list_filter(regexp_split_to_array(regexp_replace(lower(text), '[^\\p{{L}}\\p{{M}}\\p{{N}}\\s]', ' ', 'g'), '\\s+'), lambda x: x <> '')) AS w FROM conversations),
+hits AS (SELECT DISTINCT q, doc_id AS id, 10 AS quality FROM asked JOIN tok ON w = q UNION ALL SELECT DISTINCT q, conv_id, 20 FROM asked JOIN ctok ON w = q)
+SELECT q, id, min(quality) AS quality FROM hits GROUP BY ALL"""
+)
+def fts_per_column(spark, sf):
+    asked = lx.query_words(table(spark, sf, "benchmark"))
+    docs = _docs(spark, sf).select(F.col("doc_id").alias("id"), F.explode(t.tokens(F.col("text"))).alias("q"), F.lit(10).alias("quality"))
+    talk = table(spark, sf, "conversations").select(F.col("conv_id").alias("id"), F.explode(t.tokens(F.col("text"))).alias("q"), F.lit(20).alias("quality"))
+    return docs.union(talk).join(asked, "q").groupBy("q", "id").agg(F.min("quality").alias("quality"))
+
+
+@query("SELECT p_partkey, p_name, g.q FROM part JOIN (VALUES ('part 1'), ('7'), ('RED'), ('er')) g(q) ON contains(lower(p_name), lower(g.q)) WHERE length(g.q) >= 2")
+def trigram_substring(spark, sf):
+    # A fixed list of queries, broadcast.
+    asked = spark.createDataFrame([("part 1",), ("7",), ("RED",), ("er",)], "q string").where(F.length("q") >= 2)
+    parts = table(spark, sf, "part").select("p_partkey", "p_name")
+    return parts.join(F.broadcast(asked), F.lower("p_name").contains(F.lower("q")))
+
+
+@query(
+    f"""WITH {_LEX}, {_QUERIES}
+SELECT q, w, lang FROM (
+  SELECT q, w, lang, row_number() OVER (PARTITION BY q ORDER BY w, lang) AS r
+  FROM asked JOIN lex ON w >= left(q, 2) AND w < left(q, 2) || chr(65535)) WHERE r <= 50"""
+)
+def range_prefix_lookup(spark, sf):
+    asked = lx.query_words(table(spark, sf, "benchmark")).select("q", F.substring("q", 1, 2).alias("key"))
+    hits = search.prefix_matches(lx.token_totals(_docs(spark, sf)).select("lang", "w"), asked, "w")
+    return index.capped_postings(hits, ["q"], [F.col("w"), F.col("lang")], 50).select("q", "w", "lang")
+
+
+@query(
+    f"""WITH {_LEX},
+rows AS (
+  SELECT DISTINCT lang, id, left(x, k) AS prefix
+  FROM (SELECT lang, id, unnest([w, strip_accents(w)]) AS x FROM lex), unnest(range(1, 7)) u(k) WHERE k <= length(x)),
+kept AS (SELECT *, row_number() OVER (PARTITION BY lang, prefix ORDER BY id) AS r FROM rows)
+SELECT lang, prefix, string_agg(id::VARCHAR, ',' ORDER BY id) AS ids FROM kept WHERE r <= 200 GROUP BY ALL"""
+)
+def prefix_index_200(spark, sf):
+    return index.prefix_index(lx.lexicon(_docs(spark, sf))).select("lang", "prefix", F.array_join(F.col("ids").cast("array<string>"), ",").alias("ids"))
+
+
+_STOPS = ", ".join("'" + w.replace("'", "''") + "'" for w in t.GLOSS_STOP_WORDS)
+
+
+@query(
+    f"""WITH clauses AS (SELECT item_id, unnest(string_split(text, '; ')) AS c FROM benchmark),
+words AS (
+  SELECT item_id, trim(unnest(regexp_split_to_array(lower(regexp_replace(c, '\\s*\\[.*?\\]', '', 'g')), '[\\s,;]+')), '().[]''"') AS w
+  FROM clauses WHERE c <> '...' AND NOT ({" OR ".join(f"starts_with(lower(c), '{p}')" for p in t.JUNK_GLOSS_PREFIXES)})),
+rows AS (
+  SELECT DISTINCT item_id, left(w, k) AS prefix FROM words, unnest(range(3, 7)) u(k)
+  WHERE length(w) >= 3 AND w NOT IN ({_STOPS}) AND k <= length(w))
+SELECT prefix, string_agg(item_id::VARCHAR, ',' ORDER BY item_id) AS ids
+FROM (SELECT *, row_number() OVER (PARTITION BY prefix ORDER BY item_id) AS r FROM rows) WHERE r <= 200 GROUP BY prefix"""
+)
+def gloss_prefix_index(spark, sf):
+    found = index.gloss_prefix_index(table(spark, sf, "benchmark"), "item_id", "text")
+    return found.select("prefix", F.array_join(F.col("ids").cast("array<string>"), ",").alias("ids"))
+
+
+_INDEX = """rows AS (
+  SELECT DISTINCT id, left(x, k) AS prefix
+  FROM (SELECT gid AS id, unnest([w, strip_accents(w)]) AS x FROM lex), unnest(range(1, 7)) u(k) WHERE k <= length(x)),
+kept AS (SELECT id, prefix, row_number() OVER (PARTITION BY prefix ORDER BY id) AS place0 FROM rows QUALIFY place0 <= 200)"""
+
+
+def _whole_index(spark, sf):
+    lex = lx.entries(_docs(spark, sf)).select(F.lit("*").alias("lang"), "w", F.col("gid").alias("id"))
+    return index.prefix_index(lex).select("prefix", "ids")
+
+
+@query(
+    f"""WITH {_LEX}, {_QUERIES}, {_INDEX},
+best AS (SELECT q, max(length(prefix)) AS n FROM asked JOIN (SELECT DISTINCT prefix FROM kept) ON starts_with(q, prefix) GROUP BY q)
+SELECT q, left(q, n::INT) AS prefix, string_agg(id::VARCHAR, ',' ORDER BY id) AS ids FROM best JOIN kept ON prefix = left(q, n::INT) GROUP BY ALL"""
+)
+def longest_prefix_lookup(spark, sf):
+    found = search.longest_prefix(_whole_index(spark, sf), lx.query_words(table(spark, sf, "benchmark")))
+    return found.select("q", "prefix", F.array_join(F.col("ids").cast("array<string>"), ",").alias("ids"))
+
+
+@query(
+    rf"""WITH {_LEX}, {_INDEX},
+multi AS (
+  SELECT item_id AS q, unnest(range(0, 3)) AS pos, unnest(list_transform(ws[1:3], lambda x: left(x, 3))) AS prefix FROM (
+    SELECT item_id, list_filter(regexp_split_to_array(regexp_replace(lower(text), '[^\p{{L}}\p{{M}}\p{{N}}\s]', ' ', 'g'), '\s+'), lambda x: x <> '') AS ws FROM benchmark)
+  WHERE len(ws) >= 3),
+sized AS (SELECT prefix, count(*) AS n FROM kept GROUP BY prefix),
+hits AS (SELECT q, id, min((n, pos, place0)) AS o FROM multi JOIN kept USING (prefix) JOIN sized USING (prefix) GROUP BY q, id)
+SELECT q, id, place FROM (SELECT q, id, row_number() OVER (PARTITION BY q ORDER BY o) AS place FROM hits) WHERE place <= 200"""
+)
+def bucket_union_search(spark, sf):
+    words = F.slice(t.tokens(F.col("text")), 1, 3)
+    asked = table(spark, sf, "benchmark").select(F.col("item_id").alias("q"), F.transform(words, lambda x: F.substring(x, 1, 3)).alias("words")).where("size(words) = 3")
+    return search.bucket_union(_whole_index(spark, sf), asked).withColumn("place", F.col("place").cast("long"))
+
+
+# --- staged search --------------------------------------------------------------------------
+
+_STAGES = f"""{_LEX}, {_QUERIES},
+folded AS (SELECT *, strip_accents(w) AS f FROM lex),
+keyed AS (SELECT q, strip_accents(q) AS key FROM asked),
+exact AS (SELECT q, w, lang, freq, gid, 1 AS stage, 0 AS quality FROM asked JOIN folded ON w = q),
+form AS (SELECT q, w, lang, freq, gid, 2 AS stage, 5 AS quality FROM keyed JOIN folded ON f = key),
+prefix AS (
+  SELECT q, w, lang, freq, gid, 4 AS stage, CASE WHEN w = q THEN 0 ELSE 10 END AS quality
+  FROM keyed JOIN folded ON starts_with(f, key) QUALIFY row_number() OVER (PARTITION BY q ORDER BY gid) <= 50),
+few AS (SELECT q, key FROM keyed WHERE length(key) >= 3 AND (SELECT count(*) FROM prefix p WHERE p.q = keyed.q) < 5),
+part AS (
+  SELECT q, w, lang, freq, gid, 6 AS stage, 50 AS quality FROM few JOIN folded ON contains(f, key)
+  QUALIFY row_number() OVER (PARTITION BY q ORDER BY gid) <= 50),
+rows AS (SELECT *, min(stage) OVER (PARTITION BY q, w, lang) AS first_stage FROM (FROM exact UNION ALL FROM form UNION ALL FROM prefix UNION ALL FROM part)),
+matches AS (
+  SELECT q, w, lang, freq, gid, quality, first_stage FROM rows WHERE stage NOT IN (2, 6) OR stage = first_stage
+  QUALIFY row_number() OVER (PARTITION BY q, w, lang ORDER BY quality, stage) = 1)"""
+
+
+@query(f"WITH {_STAGES} SELECT q, w, lang, quality, first_stage FROM matches")
+def search_stage_union(spark, sf):
+    found = search.staged_search(lx.entries(_docs(spark, sf)), lx.query_words(table(spark, sf, "benchmark")))
+    return found.select("q", "w", "lang", "quality", "first_stage")
+
+
+@query(
+    f"""WITH {_STAGES},
+one AS (SELECT * FROM matches QUALIFY row_number() OVER (PARTITION BY q, w ORDER BY quality, freq DESC, first_stage, gid) = 1),
+ranked AS (
+  SELECT q, w, lang, quality, freq, row_number() OVER (
+    PARTITION BY q ORDER BY quality, regexp_matches(w, '^\\p{{Lu}}'), freq DESC, length(w), first_stage, gid) AS rank FROM one)
+SELECT q, rank, w, lang, quality, freq FROM ranked WHERE rank <= 50"""
+)
+def search_rank_top50(spark, sf):
+    found = search.staged_search(lx.entries(_docs(spark, sf)), lx.query_words(table(spark, sf, "benchmark")))
+    return search.rank_matches(found).select("q", F.col("rank").cast("long").alias("rank"), "w", "lang", "quality", "freq")
+
+
+@query(
+    f"""WITH {_TOK}, {_QUERIES},
+native AS (SELECT DISTINCT q, doc_id AS id, 0 AS quality FROM asked JOIN tok ON w = q),
+gloss AS (SELECT DISTINCT q, p_partkey AS id, 3 AS quality FROM asked JOIN part ON contains(lower(p_name), left(q, 3)) WHERE length(q) >= 3),
+joined AS (FROM native UNION ALL SELECT * FROM gloss g WHERE NOT EXISTS (FROM native n WHERE n.q = g.q AND n.id = g.id))
+SELECT q, id, quality FROM joined QUALIFY row_number() OVER (PARTITION BY q ORDER BY quality, id) <= 50"""
+)
+def conj_search_rank(spark, sf):
+    asked = lx.query_words(table(spark, sf, "benchmark"))
+    native = lx.token_rows(_docs(spark, sf)).select("doc_id", F.col("w").alias("q")).join(asked, "q").select("q", F.col("doc_id").alias("id"), F.lit(0).alias("quality")).distinct()
+    keyed = asked.where(F.length("q") >= 3).select("q", F.substring("q", 1, 3).alias("key"))
+    parts = table(spark, sf, "part").select(F.col("p_partkey").alias("id"), F.lower("p_name").alias("name"))
+    gloss = search.substring_matches(parts, keyed, "name").select("q", "id", F.lit(3).alias("quality")).distinct()
+    both = native.unionByName(gloss.join(native, ["q", "id"], "left_anti"))
+    return index.capped_postings(both, ["q"], [F.col("quality"), F.col("id")], 50).select("q", "id", "quality")
+
+
+@query(
+    f"""WITH {_LEX}, {_QUERIES},
+keys AS (SELECT q, upper(left(q, 1)) || substr(q, 2) AS shown FROM asked),
+tiers AS (
+  SELECT q, w, lang, 1 AS tier FROM keys JOIN lex ON w = shown
+  UNION ALL SELECT q, w, lang, 2 FROM keys JOIN lex ON w = q
+  UNION ALL SELECT q, w, lang, 3 FROM keys JOIN lex ON strip_accents(w) = strip_accents(q))
+SELECT q, w, lang, tier FROM tiers QUALIFY tier = min(tier) OVER (PARTITION BY q)"""
+)
+def getword_cascade(spark, sf):
+    lex = lx.token_totals(_docs(spark, sf)).select("lang", "w", t.strip_diacritics(F.col("w")).alias("f"))
+    asked = lx.query_words(table(spark, sf, "benchmark")).select("q", F.concat(F.upper(F.substring("q", 1, 1)), F.expr("substr(q, 2)")).alias("shown"), t.strip_diacritics(F.col("q")).alias("key"))
+    tiers = [asked.join(lex, on).select("q", "w", "lang") for on in (asked["shown"] == lex["w"], asked["q"] == lex["w"], asked["key"] == lex["f"])]
+    return search.cascade(tiers, "q").select("q", "w", "lang", "tier")
+
+
+_SENT = "list_filter(list_transform(regexp_split_to_array(text, '[.\\n]'), lambda x: trim(x)), lambda x: x <> '')"
+
+
+@query(
+    f"""WITH s AS (SELECT doc_id, {_SENT} AS ss FROM documents),
+m AS (SELECT doc_id, ss, coalesce(list_position(list_transform(ss, lambda x: contains(lower(x), 'the')), true) - 1, 9999) AS hit FROM s)
+SELECT doc_id, hit::BIGINT AS hit, array_to_string(CASE WHEN hit < 9999 AND hit > 2 THEN list_concat([ss[hit + 1]], ss[1:2]) ELSE ss[1:3] END, ' / ') AS preview FROM m"""
+)
+def gloss_match_index(spark, sf):
+    rows = _docs(spark, sf).select("doc_id", t.sentences(F.col("text")).alias("ss"))
+    at = F.array_position(F.transform("ss", lambda x: F.lower(x).contains("the")), True) - 1
+    rows = rows.withColumn("hit", F.when(at >= 0, at).otherwise(9999).cast("long"))
+    moved = F.concat(F.array(F.get("ss", F.col("hit").cast("int"))), F.slice("ss", 1, 2))
+    return rows.select("doc_id", "hit", F.array_join(F.when((F.col("hit") > 2) & (F.col("hit") < 9999), moved).otherwise(F.slice("ss", 1, 3)), " / ").alias("preview"))
+
+
+@query(
+    f"""WITH s AS (SELECT doc_id, unnest(range(1, len(ss) + 1)) AS i, unnest(ss) AS x FROM (SELECT doc_id, {_SENT} AS ss FROM documents)),
+d AS (SELECT doc_id, x, min(i) AS i FROM s GROUP BY ALL),
+r AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY i) AS r, count(*) OVER (PARTITION BY doc_id) AS n FROM d)
+SELECT doc_id, string_agg(x, '; ' ORDER BY r) FILTER (r <= 3) || CASE WHEN max(n) > 3 THEN '; ...' ELSE '' END AS gloss FROM r GROUP BY doc_id"""
+)
+def gloss_top3(spark, sf):
+    return _docs(spark, sf).select("doc_id", t.sentences(F.col("text")).alias("ss")).where("size(ss) > 0").select("doc_id", t.first_parts(F.col("ss"), 3).alias("gloss"))
+
+
+@query(
+    """SELECT conv_id, string_agg(text, ' | ' ORDER BY r) AS examples FROM (
+  SELECT conv_id, text, row_number() OVER (PARTITION BY conv_id ORDER BY role <> 'user', turn) AS r
+  FROM (SELECT conv_id, text, role, min(turn) AS turn FROM conversations WHERE length(text) <= 1200 GROUP BY ALL)) WHERE r <= 3 GROUP BY conv_id"""
+)
+def examples_top3(spark, sf):
+    rows = table(spark, sf, "conversations").where(F.length("text") <= 1200).groupBy("conv_id", "text", "role").agg(F.min("turn").alias("turn"))
+    kept = index.capped_postings(rows, ["conv_id"], [F.col("role") != "user", F.col("turn")], 3)
+    parts = F.transform(F.array_sort(F.collect_list(F.struct("r", "text"))), lambda x: x["text"])
+    return kept.groupBy("conv_id").agg(F.array_join(parts, " | ").alias("examples"))
+
+
+# --- forms, tags and ordered sequences ------------------------------------------------------
+
+
+@query(
+    """SELECT o_orderkey FROM orders
+WHERE o_orderstatus = 'O' AND o_orderpriority = '1-URGENT' AND year(o_orderdate)::VARCHAR NOT IN ('1995', '1996')"""
+)
+def tag_matcher_filter(spark, sf):
+    tags = F.array("o_orderstatus", "o_orderpriority", F.year("o_orderdate").cast("string"))
+    wanted, excluded = F.array(F.lit("O"), F.lit("1-URGENT")), F.array(F.lit("1995"), F.lit("1996"))
+    return table(spark, sf, "orders").where(forms.tags_match(tags, wanted, excluded)).select("o_orderkey")
+
+
+@query(
+    """WITH m(slot, status, unless) AS (VALUES ('open', 'O', '5-LOW'), ('done', 'F', '1-URGENT'), ('part', 'P', '')),
+f AS (
+  SELECT o_custkey, slot, CASE WHEN year(o_orderdate) = 1997 THEN '[' || left(o_orderpriority, 1) || ']' ELSE left(o_orderpriority, 1) END AS form, o_orderkey AS pos
+  FROM orders JOIN m ON o_orderstatus = status AND o_orderpriority <> unless),
+d AS (SELECT o_custkey, slot, form, min(pos) AS pos FROM f GROUP BY ALL),
+r AS (SELECT *, row_number() OVER (PARTITION BY o_custkey, slot ORDER BY pos, form) AS r FROM d)
+SELECT o_custkey, slot, string_agg(form, '/' ORDER BY r) AS cell FROM r WHERE r <= 3 GROUP BY ALL"""
+)
+def tense_matrix(spark, sf):
+    year = F.year("o_orderdate").cast("string")
+    rows = table(spark, sf, "orders").select(
+        "o_custkey", F.col("o_orderkey").alias("pos"), F.array("o_orderstatus", "o_orderpriority", year).alias("tags"), F.substring("o_orderpriority", 1, 1).alias("form")
+    )
+    config = [("open", ["O"], ["5-LOW"], ["1997"]), ("done", ["F"], ["1-URGENT"], ["1997"]), ("part", ["P"], [""], ["1997"])]
+    matchers = spark.createDataFrame(config, "slot string, wanted array<string>, excluded array<string>, rare array<string>")
+    return forms.tense_matrix(rows, matchers, ["o_custkey"], 3)
+
+
+@query(
+    """SELECT conv_id, turn, table_no FROM (
+  SELECT *, sum((role = 'user')::INT) OVER (PARTITION BY conv_id ORDER BY turn) + 1 AS table_no FROM conversations)
+WHERE role <> 'user' AND table_no <= 2"""
+)
+def table_boundary_limit(spark, sf):
+    rows = table(spark, sf, "conversations").select("conv_id", "turn", "role")
+    return forms.first_tables(rows, ["conv_id"], "turn", F.col("role") == "user", 2).select("conv_id", "turn", "table_no")
+
+
+@query(
+    """SELECT conv_id, turn, last_value(CASE WHEN role = 'user' THEN 'u' || turn END IGNORE NULLS) OVER (
+  PARTITION BY conv_id ORDER BY turn ROWS UNBOUNDED PRECEDING) AS label FROM conversations"""
+)
+def carry_forward_label(spark, sf):
+    rows = table(spark, sf, "conversations").select("conv_id", "turn", "role")
+    label = F.when(F.col("role") == "user", F.concat(F.lit("u"), F.col("turn").cast("string")))
+    return forms.carry_forward(rows, ["conv_id"], "turn", label, "label").select("conv_id", "turn", "label")
+
+
+@query(
+    """WITH m AS (
+  SELECT *, CASE WHEN lag(event_type) OVER w IS DISTINCT FROM event_type THEN 1 ELSE 0 END AS turned FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)),
+i AS (SELECT *, sum(turned) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS island FROM m)
+SELECT user_id, island::BIGINT AS island, any_value(event_type) AS event_type, count(*) AS n FROM i GROUP BY user_id, island"""
+)
+def consecutive_islands(spark, sf):
+    rows = table(spark, sf, "events").select("user_id", "ts", "event_id", "event_type")
+    return forms.islands(rows, ["user_id"], ["ts", "event_id"], "event_type").select("user_id", "island", "event_type", "n")
+
+
+@query(
+    """WITH r AS (
+  SELECT user_id, ts::DATE AS day, list_sort(list_distinct(list(event_type))) AS g FROM events GROUP BY ALL)
+SELECT user_id, strftime(day, '%Y-%m-%d') AS day, array_to_string(g, ' ') AS grammar FROM r x
+WHERE NOT EXISTS (FROM r y WHERE y.user_id = x.user_id AND list_has_all(y.g, x.g) AND len(y.g) > len(x.g))"""
+)
+def reading_subsumption(spark, sf):
+    days = table(spark, sf, "events").groupBy("user_id", F.to_date("ts").alias("day")).agg(F.array_sort(F.collect_set("event_type")).alias("g"))
+    # A user's readings: one array of distinct days' sets.
+    readings = days.groupBy("user_id").agg(F.collect_list(F.struct("day", "g")).alias("rs"))
+    kept = readings.select("user_id", F.inline(forms.unsubsumed(F.col("rs"), "g")))
+    return kept.select("user_id", F.date_format("day", "yyyy-MM-dd").alias("day"), F.array_join("g", " ").alias("grammar"))
+
+
+@query(
+    """SELECT l_orderkey, l_returnflag, l_linenumber, rare FROM (
+  SELECT *, (l_discount > 0.05)::INT + (l_tax > 0.04)::INT AS rare,
+         row_number() OVER (PARTITION BY l_orderkey, l_returnflag ORDER BY (l_discount > 0.05)::INT + (l_tax > 0.04)::INT, l_linenumber) AS r FROM lineitem) WHERE r = 1"""
+)
+def min_register_collapse(spark, sf):
+    rows = table(spark, sf, "lineitem").select(
+        "l_orderkey", "l_returnflag", "l_linenumber", ((F.col("l_discount") > 0.05).cast("int") + (F.col("l_tax") > 0.04).cast("int")).alias("rare")
+    )
+    return forms.fewest_rare(rows, ["l_orderkey", "l_returnflag"], F.col("rare"), "l_linenumber", ["l_linenumber", "rare"])
+
+
+_PARENTS = [("nb", "no"), ("nn", "no"), ("no", None), ("sr", "sh"), ("hr", "sh"), ("sh", None), ("cmn", "zh"), ("zh", None), ("a", "b"), ("b", "a")]
+
+
+@query(
+    "WITH RECURSIVE p(code, parent) AS (VALUES "
+    + ", ".join(f"('{a}', {f"'{b}'" if b else 'NULL'})" for a, b in _PARENTS)
+    + """), walk(code, node, path, done) AS (
+  SELECT code, code, [code], false FROM p
+  UNION ALL
+  SELECT w.code, p.parent, list_append(w.path, p.parent), list_contains(w.path, p.parent)
+  FROM walk w JOIN p ON w.node = p.code WHERE NOT w.done AND p.parent IS NOT NULL)
+SELECT code, arg_max(node, len(path)) AS terminal, max(len(path))::INT AS steps FROM walk GROUP BY code"""
+)
+def link_recursion(spark, sf):
+    return links.route_languages(spark, spark.createDataFrame(_PARENTS, "code string, parent string"))
+
+
+# --- sources, sinks and audits --------------------------------------------------------------
+
+
+@query("SELECT event_type, count(*) AS n, sum((props->>'$.k')::BIGINT)::BIGINT AS k FROM events GROUP BY event_type")
+def json_props(spark, sf):
+    rows = table(spark, sf, "events").select("event_type", F.from_json("props", "k bigint").alias("p"))
+    return rows.groupBy("event_type").agg(F.count("*").alias("n"), F.sum("p.k").alias("k"))
+
+
+@query("SELECT w.lang, count(d.doc_id) AS n FROM (VALUES ('en'), ('fr'), ('de'), ('es'), ('fi')) w(lang) LEFT JOIN documents d USING (lang) GROUP BY w.lang")
+def language_split_counts(spark, sf):
+    wanted = spark.createDataFrame([("en",), ("fr",), ("de",), ("es",), ("fi",)], "lang string")
+    return jsonl.language_counts(_docs(spark, sf).select("lang"), wanted, "lang")
+
+
+@query(
+    f"""WITH {_LEX}, c AS (
+  SELECT CASE WHEN regexp_matches(left(w, 1), '^[\\p{{L}}\\p{{N}}]$') THEN left(w, 1) ELSE '_' END AS letter, w, max(gid) AS gid FROM lex GROUP BY ALL)
+SELECT letter, count(*) AS names, arg_max(w, gid) AS last FROM c GROUP BY letter"""
+)
+def first_letter_chunks(spark, sf):
+    rows = sinks.letter_chunks(lx.entries(_docs(spark, sf)).select("w", "gid"), "w", "gid")
+    return rows.groupBy("letter").agg(F.count("*").alias("names"), F.max_by("w", "gid").alias("last"))
+
+
+@query(
+    """WITH b AS (SELECT lang, floor(doc_id / 4096) AS k, md5(string_agg(md5(text), '' ORDER BY doc_id)) AS h, sum(strlen(text) + 1) AS b FROM documents GROUP BY ALL)
+SELECT lang, left(md5(string_agg(h, '' ORDER BY k)), 8) AS hash, sum(b)::BIGINT AS size FROM b GROUP BY lang"""
+)
+def content_manifest(spark, sf):
+    return sinks.content_manifest(_docs(spark, sf), "lang", "text", "doc_id")
+
+
+@query(
+    f"""WITH {_TOK}, n AS (SELECT DISTINCT lang, w FROM tok)
+SELECT lang, ((row_number() OVER (PARTITION BY lang ORDER BY w) - 1) // 1000)::BIGINT AS page, 'https://example.org/' || lang || '/' || url_encode(w) AS url FROM n"""
+)
+def sitemap_pages(spark, sf):
+    names = _docs(spark, sf).select("lang", F.explode(t.tokens(F.col("text"))).alias("w"))
+    return sinks.sitemap_pages(names, "lang", "w", "https://example.org", 1000)
+
+
+@query(
+    f"""WITH {_TOK}, n AS (SELECT d.doc_id, d.lang, count(t.w) AS n FROM documents d LEFT JOIN tok t USING (doc_id) GROUP BY ALL)
+SELECT lang, CASE WHEN n = 0 THEN '0' WHEN n <= 10 THEN '1-10' WHEN n <= 100 THEN '11-100' WHEN n <= 1000 THEN '101-1000' ELSE '1001+' END AS bucket, count(*) AS docs FROM n GROUP BY ALL"""
+)
+def histogram_buckets(spark, sf):
+    n = F.size(t.tokens(F.col("text")))
+    return _docs(spark, sf).groupBy("lang", audit.size_bucket(n).alias("bucket")).agg(F.count("*").alias("docs"))
+
+
+@query(
+    """SELECT lang, doc_id, digest FROM (
+  SELECT lang, doc_id, sha256(doc_id || text) AS digest, row_number() OVER (PARTITION BY lang ORDER BY sha256(doc_id || text)) AS r FROM documents) WHERE r <= 12"""
+)
+def bottom_k_sample(spark, sf):
+    digest = F.sha2(F.concat(F.col("doc_id").cast("string"), "text"), 256)
+    return dedup.bottom_k(_docs(spark, sf).select("lang", "doc_id", "text"), ["lang"], digest, 12).select("lang", "doc_id", "digest")
+
+
+@query(
+    f"""WITH {_LEX}
+SELECT 'longest' AS kind, doc_id::VARCHAR AS name, n_chars AS n FROM (FROM documents ORDER BY n_chars DESC, doc_id LIMIT 10)
+UNION ALL SELECT 'frequent', lang || ':' || w, n FROM (FROM lex ORDER BY n DESC, lang, w LIMIT 10)"""
+)
+def topk_heaps(spark, sf):
+    docs = _docs(spark, sf)
+    longest = docs.orderBy(F.desc("n_chars"), "doc_id").limit(10).select(F.lit("longest").alias("kind"), F.col("doc_id").cast("string").alias("name"), F.col("n_chars").alias("n"))
+    words = lx.token_totals(docs).orderBy(F.desc("n"), "lang", "w").limit(10)
+    return longest.union(words.select(F.lit("frequent"), F.concat_ws(":", "lang", "w"), "n"))
+
+
+@query(
+    """WITH d AS (SELECT DISTINCT lang, sha256(text) AS d FROM documents),
+p AS (SELECT lang, left(d, 2) AS part, sha256(string_agg(d, '' ORDER BY d)) AS h, count(*) AS n FROM d GROUP BY ALL)
+SELECT lang, sha256(string_agg(h, '' ORDER BY part)) AS digest, sum(n)::BIGINT AS members FROM p GROUP BY lang"""
+)
+def set_fingerprint(spark, sf):
+    return dedup.set_fingerprint(_docs(spark, sf), ["lang"], F.sha2("text", 256))
+
+
+@query(
+    f"""WITH {_TOK}, a AS (SELECT DISTINCT w FROM tok WHERE lang = 'en'), b AS (SELECT DISTINCT w FROM tok WHERE lang = 'fr')
+SELECT w, 'removed' AS side FROM a WHERE w NOT IN (FROM b) UNION ALL SELECT w, 'added' FROM b WHERE w NOT IN (FROM a)"""
+)
+def set_difference(spark, sf):
+    words = lambda lang: _docs(spark, sf).where(F.col("lang") == lang).select(F.explode(t.tokens(F.col("text"))).alias("w"))
+    return dedup.difference(words("en"), words("fr"))
+
+
+@query("SELECT page_id, 'url' AS field, url AS value FROM pages WHERE url IS NOT NULL UNION ALL SELECT page_id, 'html', html FROM pages WHERE html IS NOT NULL")
+def flatten_fields(spark, sf):
+    return audit.flatten_fields(table(spark, sf, "pages"), "page_id", ["url", "html"])
+
+
+@query(
+    """WITH s AS (SELECT doc_id, string_split(lower(text), 'the') AS parts FROM documents)
+SELECT doc_id, length(array_to_string(parts[1:k], 'the')) AS start, length(array_to_string(parts[1:k], 'the')) + 3 AS stop
+FROM s, unnest(range(1, len(parts))) u(k) WHERE k <= 3"""
+)
+def emphasis_ranges(spark, sf):
+    rows = _docs(spark, sf).select("doc_id", F.split(F.lower("text"), "the", -1).alias("parts"))
+    at = rows.select("doc_id", "parts", F.explode(F.slice(F.sequence(F.lit(0), F.size("parts") - 1), 2, 3)).alias("k"))
+    start = F.length(F.array_join(F.expr("slice(parts, 1, k)"), "the")).cast("long")
+    return at.where("k > 0").select("doc_id", start.alias("start"), (start + 3).alias("stop"))
+
+
+@query(
+    f"""WITH {_TOK}, f AS (SELECT DISTINCT w, replace(replace(replace(replace(strip_accents(w), 'mp', 'b'), 'nt', 'd'), 'gk', 'g'), 'ph', 'f') AS x FROM tok WHERE regexp_matches(strip_accents(w), '^[abd-giklmnoprstvz]*$')),
+g AS (SELECT w, regexp_replace(regexp_replace(x, '([ae])u([ptksfc]|$)', '\\1f\\2', 'g'), '([ae])u', '\\1v', 'g') AS x FROM f)
+SELECT w, replace(replace(replace(replace(replace(x, 'ei', 'i'), 'ai', 'e'), 'oi', 'i'), 'ou', 'U'), 'U', 'u') AS key FROM g"""
+)
+def phonetic_latin(spark, sf):
+    # Words without u, whose voicing rule looks around, and without h, j, q, w, x and y, which rewrite each other.
+    words = _docs(spark, sf).select(F.explode(t.tokens(F.col("text"))).alias("w")).distinct()
+    return words.where(t.strip_diacritics(F.col("w")).rlike("^[abd-giklmnoprstvz]*$")).select("w", t.greek_phonetic(F.col("w")).alias("key"))
+
+
+@query(
+    f"""WITH {_TOK} SELECT DISTINCT w, trim(replace(replace(replace(replace(replace(replace(strip_accents(w), 'ch', chr(57344)), 'c', chr(57345)), chr(57344), 'ch'), chr(57345), 'ch'), '''', ''), 'ʼ', '')) AS key
+FROM tok WHERE NOT contains(w, 'ś') AND NOT contains(w, 'ṣ')"""
+)
+def romanization_key(spark, sf):
+    words = _docs(spark, sf).select(F.explode(t.tokens(F.col("text"))).alias("w")).distinct()
+    mapping = {"c": "ch", "ch": "ch"}
+    loose = F.trim(F.regexp_replace(t.mapped(t.strip_diacritics(F.col("w")), mapping), "['ʼ]", ""))
+    return words.where("not contains(w, 'ś') and not contains(w, 'ṣ')").select("w", loose.alias("key"))
+
+
+@query()
+def reservoir_sample(spark, sf):
+    return dedup.seeded_sample(_docs(spark, sf).select("doc_id", "lang"), "doc_id", 42, 100)
+
+
+@query()
+def abbreviate_variants(spark, sf):
+    from lexloom.functions.display import abbreviate
+
+    words = lx.token_totals(_docs(spark, sf)).where(F.length("w") >= 7).select("lang", "w", F.substring("w", 1, 6).alias("stem"))
+    # A stem's variants are few: they share six letters; the first ten in order of spelling are shown.
+    kept = index.capped_postings(words, ["lang", "stem"], [F.col("w")], 10)
+    groups = kept.groupBy("lang", "stem").agg(F.array_sort(F.collect_list("w")).alias("variants")).where("size(variants) > 1")
+    return groups.select("lang", "stem", abbreviate("variants").alias("shown"))
+
+
+@query("SELECT doc_id, md5(text) AS digest FROM documents")
+def zstd_roundtrip(spark, sf):
+    packed = sinks.encode_fields(_docs(spark, sf), "doc_id", "text")
+    return sinks.decode_fields(packed, "doc_id", "text").select("doc_id", F.md5("text").alias("digest"))
+
+
+@query("SELECT user_id, event_type, count(*) AS n FROM (SELECT DISTINCT user_id, event_type FROM events) GROUP BY ALL")
+def stream_ingest_dedup(spark, sf):
+    base = f"{checkpoint_dir(spark)}/stream-{uuid.uuid4().hex}"
+    rows = stream_distinct(spark, sf, "events.parquet", ["user_id", "event_type"], f"{base}/out", f"{base}/state")
+    return rows.groupBy("user_id", "event_type").agg(F.count("*").alias("n"))
+
+
+@query(
+    """SELECT lang, source, CASE WHEN count(n_chars) < count(*) THEN NULL ELSE sum(n_chars) END::BIGINT AS chars FROM documents GROUP BY ALL"""
+)
+def sum_or_null(spark, sf):
+    return _docs(spark, sf).groupBy("lang", "source").agg(audit.sum_or_null(F.col("n_chars")).alias("chars"))
+
+
+@query(
+    """WITH r AS (
+  SELECT source, doc_id, CASE WHEN text IS NULL OR trim(text) = '' THEN 'empty' WHEN length(text) > 5000 THEN 'too-long' WHEN contains(text, '|') THEN 'table' END AS reason FROM documents)
+SELECT source, reason, count(*) AS n, min(doc_id) AS sample FROM r WHERE reason IS NOT NULL GROUP BY source, reason"""
+)
+def rejection_reasons(spark, sf):
+    text = F.col("text")
+    reason = F.when(text.isNull() | (F.trim(text) == ""), "empty").when(F.length(text) > 5000, "too-long").when(text.contains("|"), "table")
+    return audit.reasons(_docs(spark, sf), ["source"], reason, F.col("doc_id"), "doc_id")
+
+
+@query("SELECT role, list_aggregate(list_sort(list_distinct(list(lang))), 'string_agg', ',') AS tags, min(turn) AS turn FROM (SELECT role, turn, left(text, 1) AS lang FROM conversations WHERE turn < 2) GROUP BY role")
+def merged_link_tags(spark, sf):
+    rows = table(spark, sf, "conversations").where("turn < 2").select("role", "turn", F.array(F.substring("text", 1, 1)).alias("tags"))
+    # Distinct tags first, so that a hot role is a short list.
+    small = rows.groupBy("role", "tags").agg(F.min("turn").alias("turn"))
+    return links.merged_links(small, ["role"], "turn", "tags").select("role", F.array_join(F.array_sort("tags"), ",").alias("tags"), "turn")
+
+
+@query("SELECT lang, arg_max(source, (source = 'src3', doc_id)) AS hash FROM documents GROUP BY lang")
+def installed_version(spark, sf):
+    rows = _docs(spark, sf).select("lang", F.col("source").alias("hash"), F.col("doc_id").alias("installed_at"))
+    return jsonl.installed_version(rows, "src3")
+
+
+@query(
+    f"""WITH {_LEX}, l AS (SELECT DISTINCT d.lang, unnest(ws[1:5]) AS word FROM toklists d)
+SELECT lang, word, EXISTS (FROM lex WHERE lex.lang = 'en' AND lex.w = word) AS verified FROM l"""
+)
+def verified_local_links(spark, sf):
+    docs = _docs(spark, sf)
+    asked = docs.select("lang", F.explode(F.slice(t.tokens(F.col("text")), 1, 5)).alias("word")).distinct()
+    english = lx.token_totals(docs).where("lang = 'en'").select("lang", F.col("w").alias("word"))
+    return links.verified_links(asked.select(F.lit("en").alias("lang"), "word", F.col("lang").alias("own")), english).select(F.col("own").alias("lang"), "word", "verified")

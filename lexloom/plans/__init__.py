@@ -1 +1 @@
-"""Subpackage of lexloom."""
+"""Shared logical plans."""
