@@ -78,7 +78,7 @@ def _bases() -> tuple[str, str]:
 
 
 def strip_diacritics(c: Column) -> Column:
-    """Letters without their marks; Hangul stays whole."""
+    """Letters without their marks. Hangul syllables and the few letters that decompose into several letters stay whole."""
     source, target = _bases()
     plain = c.rlike(r"^[\x00-\x7f]*$")
     return F.when(plain, c).otherwise(F.regexp_replace(F.translate(c, source, target), r"\p{Mn}+", ""))
