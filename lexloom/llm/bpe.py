@@ -40,6 +40,7 @@ class PrefixBpe:
     def __init__(self, path: str, memo: int = 400_000):
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
+        self._path, self._library = path, None
         model = spec["model"]
         suffix = model["end_of_word_suffix"]
         shown = lambda t: t[: -len(suffix)] + END if t.endswith(suffix) else t
@@ -153,9 +154,20 @@ class PrefixBpe:
     def words(self, text: str) -> list[str]:
         """The normalised pre-tokens of a text without special strings."""
         if not text.isascii():
+            if "Cn" in map(unicodedata.category, text):
+                return self._newer_words(text)
             text = unicodedata.normalize("NFC", text).replace("Σ", "σ")
         return self._words.findall(text.lower())
 
+    def _newer_words(self, text: str) -> list[str]:
+        """Pre-tokens of texts with characters that Python's Unicode tables lack and the library's may have."""
+        if self._library is None:
+            from tokenizers import Tokenizer
+
+            self._library = Tokenizer.from_file(self._path)
+        shown = self._library.normalizer.normalize_str(text)
+        return [shown[a:b] for _, (a, b) in self._library.pre_tokenizer.pre_tokenize_str(shown)]
+
     def chunks(self, text: str) -> list[str]:
         """The runs between white space; four separators are white space to Python but not to the file's pattern."""
         if _SEPARATORS.isdisjoint(text):
