@@ -8,8 +8,8 @@ gives the exact overlap.
 
 Groups of copies are never expanded into all pairs. Equal sets form one class. Every other
 document of a bucket (documents that share a prefix n-gram) is first compared with the
-bucket's smallest id; only documents that are in different components after that are
-compared with each other, and most of these pairs fall to a bound on the symmetric
+smallest id that leads one of its buckets and passes the bounds below; only documents that are in
+different components after that are compared with each other, and most of these pairs fall to a bound on the symmetric
 difference from 512 parity bits a set, without reading the sets. Both bounds are exact, so
 no link between different components is lost.
 
@@ -146,19 +146,21 @@ def _segments(n: int, hot: tuple[np.ndarray, np.ndarray], fragments: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo = word_memo()
         for batch in batches:
-            for at in range(0, batch.num_rows, 500):
-                part = batch.slice(at, 500)
-                ids, frags, segs = [], [], []
-                for i, t in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
-                    s = ngram_set(memo, t, n)
+            for at in range(0, batch.num_rows, 200):
+                part = batch.slice(at, 200)
+                firsts, seconds, frags, segs = [], [], [], []
+                for i, text, partners, led in zip(*(part.column(k).to_pylist() for k in range(4)), strict=True):
+                    s = ngram_set(memo, text, n)
                     of = np.where(frequency(s, hot) > 0, fragments - 1, np.searchsorted(pivots, s.astype(np.float64), "right"))
                     for f in np.unique(of).tolist():
-                        ids.append(i)
-                        frags.append(f)
-                        segs.append(s[of == f])
+                        for a, b in [*((a, i) for a in partners), *([(i, None)] if led else [])]:
+                            firsts.append(a)
+                            seconds.append(b)
+                            frags.append(f)
+                            segs.append(s[of == f])
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(ids, pa.int64()), pa.array(frags, pa.int32()), pa.array(segs, pa.list_(pa.int64()))],
-                    names=["id", "frag", "seg"],
+                    [pa.array(firsts, pa.int64()), pa.array(seconds, pa.int64()), pa.array(frags, pa.int32()), pa.array(segs, pa.list_(pa.int64()))],
+                    names=["a", "b", "frag", "seg"],
                 )
 
     return run
@@ -182,15 +184,21 @@ class JaccardJoin:
         self.sets = materialise(self.rows.mapInArrow(_prefixes(n, percent, self.hot), schema))
 
     def overlaps(self, pairs: DataFrame) -> DataFrame:
-        """(a, b, overlap) of each pair: partial overlaps by fragment, summed."""
-        ids = materialise(pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct())
-        small = ids.count() <= BROADCAST_IDS
-        texts = self.rows.join(F.broadcast(ids) if small else ids, "id", "left_semi").dropDuplicates(["id"])
-        segs = texts.mapInArrow(_segments(self.n, self.hot, FRAGMENTS), "id long, frag int, seg array<long>")
+        """(a, b, overlap) of each pair: partial overlaps by fragment, summed.
+
+        A text is cut once and each segment of b is sent straight to its partner a, so segments
+        are written once and shuffled once.
+        """
+        asked = pairs.select(F.col("b").alias("id"), F.col("a").alias("to")).union(pairs.select("a", F.lit(None).cast("long")).distinct())
+        asked = materialise(asked.groupBy("id").agg(F.collect_list("to").alias("to"), F.max(F.col("to").isNull()).alias("led")))
+        small = pairs.count() <= BROADCAST_IDS
+        texts = self.rows.join(F.broadcast(asked) if small else asked, "id").dropDuplicates(["id"])
+        segs = texts.select("id", "text", "to", "led").mapInArrow(
+            _segments(self.n, self.hot, FRAGMENTS), "a long, b long, frag int, seg array<long>"
+        )
         segs = materialise(segs)
-        left = pairs.join(segs.select(F.col("id").alias("a"), "frag", F.col("seg").alias("x")), "a")
-        both = left.join(segs.select(F.col("id").alias("b"), "frag", F.col("seg").alias("y")), ["b", "frag"])
-        partial = both.select("a", "b", F.size(F.array_intersect("x", "y")).alias("o"))
+        both = segs.where("b is not null").join(segs.where("b is null").select("a", "frag", F.col("seg").alias("y")), ["a", "frag"])
+        partial = both.select("a", "b", F.size(F.array_intersect("seg", "y")).alias("o"))
         return partial.groupBy("a", "b").agg(F.sum("o").alias("overlap"))
 
     def linked(self, pairs: DataFrame) -> DataFrame:
@@ -219,12 +227,14 @@ class JaccardJoin:
             .join(stats.alias("x"), (F.col("a") == F.col("x.id")) & _may_link("x", "y", self.percent))
             .select("a", "b", F.col("x.n").alias("na"), F.col("y.n").alias("nb"))
         )
+        # One lead for each document now; its other leads meet it below if they are still apart.
+        near = near.groupBy("b").agg(F.min(F.struct("a", "na", "nb")).alias("x")).select("x.a", "b", "x.na", "x.nb")
         links = self.linked(materialise(near))
         label = components(links, "a", "b")
         at = shared.join(label, "id", "left").select("s", "hub", "id", F.coalesce("component", "id").alias("c"))
         at = materialise(at)
         mixed = at.groupBy("s").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low < high").select("s")
-        left = materialise(at.join(materialise(mixed), "s").where("id > hub").join(stats, "id"))
+        left = materialise(at.join(materialise(mixed), "s").join(stats, "id"))
         x, y = left.alias("x"), left.alias("y")
         rest = x.join(
             y,
