@@ -7,8 +7,8 @@ document is exploded by its count and all copies are shuffled globally: each cop
 a hash, hashes are cut into shards, and shards are sorted.
 
 Sizes are summed per source (pre-aggregated before the shuffle, so a hot source is no more
-than one row per task) and the table of rates, one row per source, is joined back by Spark's
-own choice of join. Rates above ``STEP`` are drawn as a sum of equal smaller draws, which has
+than one row per task) and the table of rates, one row per source, is broadcast while its
+checked size is small, and joined by source and salt beyond that. Rates above ``STEP`` are drawn as a sum of equal smaller draws, which has
 the same distribution; the series is followed until no 48-bit number is left, so no count is cut.
 
 A null source is a source of its own. Null and empty texts have size 0 and share their
@@ -22,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexloom.llm.common import documents
+from lexloom.llm.common import documents, materialise
 
 SEED = "mix-1"
 #: Exponent of the production targets: a source's share goes with its size to this power.
@@ -30,6 +30,8 @@ TEMPERATURE = 0.5
 #: Largest mean of a single draw and terms of its series: beyond them less than 2**-60 is left.
 STEP, TERMS = 8.0, 48
 SHARDS = 1024
+#: Sources whose rates are broadcast; more of them are joined by source and salt.
+BROADCAST_SOURCES, SALTS = 20_000, 64
 BITS = 48
 
 
@@ -90,8 +92,14 @@ def mix(
     own = [c for c in df.columns if c not in ("copy", "place", "shard")]
     base = df.select(*own)
     size = F.coalesce(F.octet_length(F.col(text_col)), F.lit(0)).cast("long")
-    mean = rates(base, size, source_col, weights, temperature, budget)
-    joined = base.withColumn("_key", F.struct(F.col(source_col))).join(mean, "_key", "left")
+    mean = materialise(rates(base, size, source_col, weights, temperature, budget))
+    keyed = base.withColumn("_key", F.struct(F.col(source_col)))
+    if mean.count() <= BROADCAST_SOURCES:
+        joined = keyed.join(F.broadcast(mean), "_key", "left")
+    else:  # a hot source is dealt to as many tasks as there are salts
+        salts = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))
+        salted = keyed.withColumn("_salt", F.pmod(F.xxhash64(F.col(id_col)), F.lit(SALTS)).cast("int"))
+        joined = salted.join(mean.withColumn("_salt", salts), ["_key", "_salt"], "left")
     draws = F.greatest(F.lit(1), F.ceil(F.col("mean") / STEP).cast("int"))
     count = F.aggregate(
         F.sequence(F.lit(1), draws),
