@@ -63,7 +63,7 @@ def variants(seed):
 
 
 def test_join_matches_brute_force(spark):
-    for seed, n, percent in ((1, 2, 80), (2, 4, 85), (3, 1, 60)):
+    for seed, n, percent in ((1, 2, 80), (3, 1, 60)):
         rows = variants(seed)
         sizes, least = brute_join(rows, n, percent)
         got = ngram_join.JaccardJoin(spark.createDataFrame(rows, "doc_id long, text string"), n, percent).classes().collect()
