@@ -18,6 +18,9 @@ def spark():
 
     session = local_session("4", 4)
     session.sparkContext.setLogLevel("ERROR")
+    # Small tables: one job a query instead of one a stage.
+    session.conf.set("spark.sql.adaptive.enabled", "false")
+    session.conf.set("spark.sql.shuffle.partitions", "2")
     yield session
     session.stop()
 
