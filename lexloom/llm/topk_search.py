@@ -54,8 +54,11 @@ def _best(scores: np.ndarray, ids: np.ndarray, own: np.ndarray, k: int) -> tuple
 
     Rows are first cut to what reaches the k-th score, so that ties are settled by id.
     """
-    low = -(2**62)
     mine = own[:, None] == ids[None, :]
+    n = scores.shape[1]
+    # Keys of scores this large would leave 64 bits.
+    if scores.dtype != object and n * (int(np.abs(scores).max(initial=0)) + 1) >= 2**63:
+        scores = scores.astype(object)
     if scores.dtype == object:
         rows, found, values = [], [], []
         for r in range(len(scores)):
@@ -64,14 +67,12 @@ def _best(scores: np.ndarray, ids: np.ndarray, own: np.ndarray, k: int) -> tuple
             found += [i for _, i in order]
             values += [-s for s, _ in order]
         return np.array(rows, np.int64), np.array(found, np.int64), np.array(values, object)
-    scores = np.where(mine, low, scores)
-    n = scores.shape[1]
-    # Keys are unique: the score, then the place in order of id.
-    keys = scores * n - np.arange(n)
+    # Keys are unique but for the query's own rows: the score, then the place in order of id.
+    keys = np.where(mine, np.iinfo(np.int64).min, scores * n - np.arange(n))
     top = np.argpartition(keys, n - k, axis=1)[:, n - k :] if n > k else np.broadcast_to(np.arange(n), scores.shape)
     rows = np.repeat(np.arange(len(scores)), top.shape[1])
     values = np.take_along_axis(scores, top, 1).ravel()
-    keep = values > low
+    keep = ~np.take_along_axis(mine, top, 1).ravel()
     return rows[keep], ids[top].ravel()[keep], values[keep]
 
 

@@ -149,6 +149,18 @@ def test_search_with_ties_blocks_and_odd_vectors(spark):
     assert topk_search.top_k(df.limit(0), df).count() == 0
 
 
+def test_a_tile_of_any_size_gives_the_best_k_beside_the_own_row():
+    rnd = np.random.default_rng(4)
+    for n in (3, 5, 6, *range(48, 56), 500, 501, 502, 503, 2048):
+        ids = np.arange(n) * 3
+        for scores in (rnd.integers(-50, 50, (4, n)), -rnd.integers(1, 9, (4, n)), rnd.integers(-(2**53), 2**53, (4, n))):
+            own = np.array([0, ids[1], ids[-1], 1])
+            rows, found, values = topk_search._best(scores, ids, own, 5)
+            for r in range(4):
+                want = sorted((-int(s), int(i)) for s, i in zip(scores[r], ids, strict=True) if i != own[r])[:5]
+                assert sorted((-int(v), int(i)) for a, i, v in zip(rows, found, values, strict=True) if a == r) == want
+
+
 def test_pipeline_stages(spark, sf, docs):
     from lexloom.llm import bpe_codec
 
