@@ -112,6 +112,46 @@ def test_repeated_passages_are_found(spark):
     assert all(r["similarity"] >= 0.8 and r["end"] - r["start"] > 50 for r in got)
 
 
+def test_repeats_behind_leads_by_chance_are_found(spark):
+    """The smallest and the largest id hold the least tokens of a passage under four functions, and no more of it."""
+    rnd = random.Random(8)
+    fresh = lambda n: [f"w{rnd.randrange(10**6)}" for _ in range(n)]
+    hashes = lambda w, f: substring_dedup.function_hash(substring_dedup.ngram_hashes(substring_dedup.hashed_words(substring_dedup.word_memo(), " ".join(w)), 5), f)
+    passage = fresh(51)
+
+    def lead():
+        out = []
+        for f in range(4):
+            c = int(hashes(passage, f).argmin())
+            while True:
+                part = fresh(23) + passage[c : c + 5] + fresh(23)
+                if hashes(part, f).argmin() == 23:
+                    break
+            out += part
+        return " ".join(out)
+
+    rows = [(1, lead()), (100, lead()), *((k, " ".join(fresh(30) + passage + fresh(k))) for k in range(10, 21))]
+    got = substring_dedup.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r["doc_id"] for r in got} | {r["first_id"] for r in got} == set(range(10, 21))
+    assert all((r["start"], r["end"], r["first_start"], r["first_end"], r["similarity"]) == (30, 81, 30, 81, 1.0) for r in got)
+
+
+def test_every_place_of_a_repeat_has_a_row(spark):
+    text = " ".join(f"a{k}" for k in range(60))
+    rows = spark.createDataFrame([(1, f"{text} x {text}"), (2, text)], "id long, text string")
+    met = spark.range(8, 9).select(F.col("id").alias("key"), F.explode(F.expr("array((1L, 0, 10, 56), (1L, 61, 71, 116), (2L, 0, 10, 55))")).alias("w")).select("key", F.col("w.col1").alias("id"), F.col("w.col2").alias("l"), F.col("w.col3").alias("c"), F.col("w.col4").alias("r"))
+    none = spark.createDataFrame([], "doc_id long, start int, end int, first_id long, first_start int, first_end int, similarity double")
+    got = substring_dedup.exact_repeats(rows, met, none, 5, 47).collect()
+    assert {(r["doc_id"], r["start"], r["end"], r["first_id"], r["first_start"], r["first_end"]) for r in got} == {(2, 0, 60, 1, 0, 60), (1, 61, 121, 2, 0, 60)}
+
+
+def test_matches_on_two_far_diagonals_are_no_failure():
+    x = np.arange(60)
+    y = np.concatenate([x[:30], 1000 + np.arange(500), x[30:]])
+    assert substring_dedup.shared_passages(x, y, 47, 80) == []
+    assert substring_dedup.shared_passages(x, y, 20, 80) == [(30, 60, 530, 560, 1.0), (0, 30, 0, 30, 1.0)]
+
+
 def test_every_repeat_of_51_words_is_found(spark, sf, docs):
     rows = {r["doc_id"]: words(r["text"]) for r in docs.collect()}
     where = {}
