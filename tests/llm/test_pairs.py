@@ -145,6 +145,18 @@ def test_every_place_of_a_repeat_has_a_row(spark):
     assert {(r["doc_id"], r["start"], r["end"], r["first_id"], r["first_start"], r["first_end"]) for r in got} == {(2, 0, 60, 1, 0, 60), (1, 61, 121, 2, 0, 60)}
 
 
+def test_many_copies_of_a_passage_give_a_region_each():
+    for copies in (8, 9, 40):
+        # Six functions' least tokens of a passage of 60 that the other document holds once, at 5.
+        hits = [(f, 100 * k, 100 * k + 7 * f + 10, 100 * k + 59, 5, 15 + 7 * f, 64) for k in range(copies) for f in range(6)]
+        found = substring_dedup.candidate_regions(hits, 3, 47)
+        assert sorted(found) == [(100 * k, 100 * k + 59, 5, 64) for k in range(copies)]
+        # The same with the sides changed: hits of all copies come in turn.
+        turned = [(f, l2, c2, r2, l, c, r) for f, l, c, r, l2, c2, r2 in hits]
+        found = substring_dedup.candidate_regions(turned, 3, 47)
+        assert sorted(found) == sorted((5, 64, 100 * k, 100 * k + 59) for k in range(copies))
+
+
 def test_matches_on_two_far_diagonals_are_no_failure():
     x = np.arange(60)
     y = np.concatenate([x[:30], 1000 + np.arange(500), x[30:]])
