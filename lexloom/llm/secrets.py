@@ -3,7 +3,7 @@
 Three base patterns find assignments, access keys and long hex strings. Beyond them, every
 long run of key characters is scored by two bigram models of characters, one of random
 strings and one of ordinary identifiers; a run whose mean log-likelihood ratio exceeds the
-threshold is a span of kind ``markov`` unless it touches a base span.
+threshold is a span of kind ``markov``. Runs are cut at base spans, and what is left of them is scored by itself.
 
 The models are trained from labelled samples: random strings are values that the base
 patterns matched in a bounded sample of documents and digests drawn by a rule; ordinary
@@ -29,6 +29,8 @@ ASSIGN = r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']
 ACCESS = r"AKIA[A-Z0-9]{12,}"
 HEX = r"[0-9a-f]{32,}"
 RUN = r"[A-Za-z0-9+/_=-]{16,}"
+#: Characters of a run, and of a piece of one, at least.
+LEAST = 16
 
 #: Characters of the models; 0 stands for both ends of a run.
 ALPHABET = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/_.=-"
@@ -81,6 +83,27 @@ def _apart(spans: Column, base: Column) -> Column:
     )
 
 
+def _pieces(spans: Column, base: Column, least: int) -> Column:
+    """What base spans, which come in order of start, leave of the spans, if it has ``least`` characters."""
+
+    def cut(s: Column) -> Column:
+        def piece(start: Column, end: Column) -> Column:
+            value = F.substring(s["value"], start - s["start"] + 1, end - start)
+            return F.struct(start.alias("start"), s["kind"].alias("kind"), end.alias("end"), value.alias("value"))
+
+        def step(acc: Column, b: Column) -> Column:
+            last = F.greatest(acc["at"], b["end"])
+            kept = F.when(b["start"] - acc["at"] >= least, F.array_append(acc["out"], piece(acc["at"], b["start"]))).otherwise(acc["out"])
+            return F.struct(last.alias("at"), kept.alias("out"))
+
+        touching = F.filter(base, lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"]))
+        start = F.struct(s["start"].alias("at"), F.array().cast(SPAN).alias("out"))
+        rest = lambda acc: F.when(s["end"] - acc["at"] >= least, F.array_append(acc["out"], piece(acc["at"], s["end"]))).otherwise(acc["out"])
+        return F.aggregate(touching, start, step, rest)
+
+    return F.when(F.size(base) > 0, F.flatten(F.transform(spans, cut))).otherwise(spans)
+
+
 def _pairs(run: Column) -> Column:
     """The run's transitions as numbers below SIZE squared, with both ends."""
     at = lambda i: F.position(F.substring(run, i, F.lit(1)), F.lit(ALPHABET))
@@ -146,7 +169,7 @@ def find_secrets(
     text = F.coalesce(F.col(text_col), F.lit(""))
     runs = _found(text, RUN, 3)
     out = df.withColumn("base", base_spans(text)).withColumn("runs", runs)
-    random = F.filter(_apart(F.col("runs"), F.col("base")), lambda s: ratio(s["value"], table) > threshold)
+    random = F.filter(_pieces(F.col("runs"), F.col("base"), LEAST), lambda s: ratio(s["value"], table) > threshold)
     return out.withColumn("spans", F.when(F.size("runs") > 0, F.array_sort(F.concat("base", random))).otherwise(F.col("base"))).drop("runs")
 
 
