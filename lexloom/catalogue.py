@@ -646,6 +646,20 @@ def romanization_key(spark, sf):
     return words.where("not contains(w, 'ś') and not contains(w, 'ṣ')").select("w", loose.alias("key"))
 
 
+@query()
+def phonetic_words(spark, sf):
+    # phonetic_latin and romanization_key stop where their SQL does; these two take all words.
+    words = _docs(spark, sf).select(F.explode(t.tokens(F.col("text"))).alias("w")).distinct()
+    return words.select("w", t.greek_phonetic(F.col("w")).alias("key"))
+
+
+@query()
+def romanization_words(spark, sf):
+    words = _docs(spark, sf).select(F.explode(t.tokens(F.col("text"))).alias("w")).distinct()
+    keys = F.array(*[F.struct(F.lit(lang).alias("profile"), t.romanization_key(F.col("w"), lang).alias("key")) for lang in t.ROMANIZATION])
+    return words.select("w", F.inline(keys))
+
+
 @query()
 def reservoir_sample(spark, sf):
     return dedup.seeded_sample(_docs(spark, sf).select("doc_id", "lang"), "doc_id", 42, 100)

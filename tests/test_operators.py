@@ -2,10 +2,14 @@
 
 import gzip
 import json
+import re
+import unicodedata
 
 import pytest
 from pyspark.sql import functions as F
 
+from lexloom import catalogue
+from lexloom.functions import text
 from lexloom.operators import dedup, forms, links
 from lexloom.plans import lexicon
 from lexloom.sources import jsonl, sinks
@@ -80,3 +84,50 @@ def test_fields_survive_encoding(spark):
     packed = sinks.encode_fields(df, "k", "v")
     assert len(next(r["v"] for r in packed.collect() if r["k"] == 1)) < 5000
     assert {r["k"]: r["v"] for r in sinks.decode_fields(packed, "k", "v").collect()} == {1: "a" * 5000, 2: "short", 3: None, 4: ""}
+
+
+def bare(w):
+    return unicodedata.normalize("NFC", re.sub("[\u0300-\u036f]", "", unicodedata.normalize("NFD", w)))
+
+
+def brute_roman(w, mapping):
+    """The loose key by one pass of longest matches, before and after the marks go."""
+    mapped = lambda x: re.sub("|".join(sorted(mapping, key=len, reverse=True)) or "(?!)", lambda m: mapping[m[0]], x)
+    strict = w.strip().lower()
+    return re.sub("[’'ʼʹʺ]", "", mapped(bare(mapped(strict)))).strip() or strict
+
+
+def brute_phonetic(w):
+    """The Greek key by Python's re, rule by rule."""
+    w = bare(w).lower()
+    for a, b in (("μπ", "b"), ("ντ", "d"), ("γκ", "g"), ("γγ", "ng"), ("τσ", "ts"), ("τζ", "dz")):
+        w = w.replace(a, b)
+    w = re.sub("([αε])υ", lambda m: {"α": "a", "ε": "e"}[m[1]] + ("f" if m.end() == len(w) or w[m.end()] in "πτκθσφχξψ" else "v"), w)
+    for a, b in (("αι", "e"), ("ει", "i"), ("οι", "i"), ("ου", "U"), ("υι", "i")):
+        w = w.replace(a, b)
+    w = "".join(dict(zip("ηωυαειοβγδζκλμνπρσςτφ", "ioiaeiovgdzklmnprsstf", strict=True)).get(c, c) for c in w)
+    for a, b in (("θ", "th"), ("ξ", "ks"), ("χ", "ch"), ("ψ", "ps"), ("mp", "b"), ("nt", "d"), ("gk", "g"), ("ph", "f")):
+        w = w.replace(a, b)
+    w = re.sub("c(?!h)", "k", w).replace("q", "k").replace("w", "o").replace("x", "ch")
+    w = re.sub("(?<![ctk])h", "ch", w).replace("y", "i")
+    w = re.sub("([ae])u", lambda m: m[1] + ("f" if m.end() == len(w) or w[m.end()] in "ptksfc" else "v"), w)
+    for a, b in (("ei", "i"), ("ai", "e"), ("oi", "i"), ("ou", "U"), ("u", "i"), ("U", "u")):
+        w = w.replace(a, b)
+    return w
+
+
+WORDS = "αυτός αυγό ευχή μπαίνω πούλι ψυχή ντύνω θέλω άγγελος κήπος ξένος psihi chronos quick wax yoghurt auto augo efharisto eucharist au house abc123 łódź śiva kṣatriya"
+
+
+def folder(tmp_path, spark, rows):
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    return str(tmp_path)
+
+
+def test_keys_of_all_words(spark, tmp_path):
+    sf = folder(tmp_path, spark, [(1, WORDS, "el", "a", 9), (2, WORDS, "en", "a", 9)])
+    got = {r["w"]: r["key"] for r in catalogue.QUERIES["phonetic_words"](spark, sf).collect()}
+    assert got == {w: brute_phonetic(w) for w in WORDS.split()}
+    rows = catalogue.QUERIES["romanization_words"](spark, sf).collect()
+    assert len(rows) == len(WORDS.split()) * len(text.ROMANIZATION)
+    assert {(r["w"], r["profile"]): r["key"] for r in rows} == {(w, p): brute_roman(w, m) for w in WORDS.split() for p, m in text.ROMANIZATION.items()}
