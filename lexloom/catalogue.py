@@ -646,6 +646,37 @@ def romanization_key(spark, sf):
     return words.where("not contains(w, 'ś') and not contains(w, 'ṣ')").select("w", loose.alias("key"))
 
 
+# emphasis_ranges, merged_link_tags and verified_local_links stop where their SQL does; these three take all.
+
+
+@query()
+def emphasis_places(spark, sf):
+    before = F.split(F.lower("text"), "the", -1)
+    start = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<bigint>").alias("found"))
+
+    def step(acc, part):
+        at = acc["at"] + F.length(part)
+        return F.struct((at + 3).alias("at"), F.array_append(acc["found"], at).alias("found"))
+
+    places = F.aggregate(F.slice(before, F.lit(1), F.size(before) - 1), start, step, lambda acc: acc["found"])
+    rows = _docs(spark, sf).where(F.col("text").isNotNull()).select("doc_id", F.explode(places).alias("start"))
+    return rows.select("doc_id", "start", (F.col("start") + 3).alias("stop"))
+
+
+@query()
+def merged_turn_tags(spark, sf):
+    rows = table(spark, sf, "conversations").select("role", "turn", F.array(F.substring("text", 1, 1)).alias("tags"))
+    small = rows.groupBy("role", "tags").agg(F.min("turn").alias("turn"))
+    return links.merged_links(small, ["role"], "turn", "tags").select("role", F.array_join(F.array_sort("tags"), ",").alias("tags"), "turn")
+
+
+@query()
+def verified_links(spark, sf):
+    words = lx.token_totals(_docs(spark, sf)).select("lang", F.col("w").alias("word"))
+    asked = words.select(F.lit("en").alias("lang"), "word", F.col("lang").alias("own"))
+    return links.verified_links(asked, words.where("lang = 'en'")).select(F.col("own").alias("lang"), "word", "verified")
+
+
 @query()
 def phonetic_words(spark, sf):
     # phonetic_latin and romanization_key stop where their SQL does; these two take all words.
@@ -670,9 +701,7 @@ def abbreviate_variants(spark, sf):
     from lexloom.functions.display import abbreviate
 
     words = lx.token_totals(_docs(spark, sf)).where(F.length("w") >= 7).select("lang", "w", F.substring("w", 1, 6).alias("stem"))
-    # A stem's variants are few: they share six letters; the first ten in order of spelling are shown.
-    kept = index.capped_postings(words, ["lang", "stem"], [F.col("w")], 10)
-    groups = kept.groupBy("lang", "stem").agg(F.array_sort(F.collect_list("w")).alias("variants")).where("size(variants) > 1")
+    groups = words.groupBy("lang", "stem").agg(F.array_sort(F.collect_list("w")).alias("variants")).where("size(variants) > 1")
     return groups.select("lang", "stem", abbreviate("variants").alias("shown"))
 
 

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from lexloom import catalogue
 from lexloom.functions import text
+from lexloom.functions.display import abbreviated
 from lexloom.operators import dedup, forms, links
 from lexloom.plans import lexicon
 from lexloom.sources import jsonl, sinks
@@ -131,3 +132,19 @@ def test_keys_of_all_words(spark, tmp_path):
     rows = catalogue.QUERIES["romanization_words"](spark, sf).collect()
     assert len(rows) == len(WORDS.split()) * len(text.ROMANIZATION)
     assert {(r["w"], r["profile"]): r["key"] for r in rows} == {(w, p): brute_roman(w, m) for w in WORDS.split() for p, m in text.ROMANIZATION.items()}
+
+
+def test_queries_without_a_cap_take_all(spark, tmp_path):
+    stems = [f"intern{c}" for c in "abcdefghijkl"]
+    late = "The one the two, other THE then bathe " + " ".join(stems) + " zebra"
+    sf = folder(tmp_path, spark, [(1, late, "en", "a", 9), (2, "un deux trois quatre cinq zebra", "fr", "a", 9), (3, None, "fr", "a", None), (4, "", "fr", "a", 0)])
+    spark.createDataFrame([(1, k, "user" if k % 2 else "bot", f"{k}x") for k in range(7)], "conv_id long, turn long, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    run = lambda name: catalogue.QUERIES[name](spark, sf).collect()
+    want = sorted((1, m.start(), m.end()) for m in re.finditer("the", late.lower()))
+    assert len(want) > 5 and sorted((r["doc_id"], r["start"], r["stop"]) for r in run("emphasis_places")) == want
+    assert {(r["role"], r["tags"], r["turn"]) for r in run("merged_turn_tags")} == {("bot", "0,2,4,6", 0), ("user", "1,3,5", 1)}
+    got = {(r["lang"], r["word"]): r["verified"] for r in run("verified_links")}
+    assert {w for (lang, w), ok in got.items() if lang == "fr" and ok} == {"zebra"} and len([1 for lang, _ in got if lang == "fr"]) == 6
+    assert all(got["en", w] for w in stems)
+    shown = {r["stem"]: r["shown"] for r in run("abbreviate_variants")}
+    assert shown == {"intern": abbreviated(stems)}
