@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import re
+import uuid
 from collections.abc import Callable, Iterable, Iterator
 from pathlib import Path
 
@@ -13,6 +14,9 @@ from pyspark.sql import functions as F
 
 from lexloom.session import checkpoint_dir
 
+#: Rows of a written table that is broadcast; larger ones are joined by a shuffle.
+BROADCAST_IDS = 200_000
+
 #: Words of the contracts: runs of anything but space, tab, LF, VT, FF and CR.
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -66,6 +70,49 @@ def materialise(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+class Tables:
+    """Intermediate tables of one run: Parquet in the folder that the cluster shares.
+
+    A written table cuts the lineage as a checkpoint does, but is compressed and read by column. ``drop``
+    deletes tables after their last reader; what a returned plan still reads has to stay.
+    """
+
+    def __init__(self, spark: SparkSession):
+        self.spark = spark
+        self.base = f"{checkpoint_dir(spark)}/tables-{uuid.uuid4().hex}"
+        self.count = 0
+
+    def write(self, df: DataFrame) -> DataFrame:
+        path, self.count = f"{self.base}/{self.count}", self.count + 1
+        df.write.option("compression", "zstd").parquet(path)
+        table = self.spark.read.schema(df.schema).parquet(path)
+        table._written = path
+        return table
+
+    def drop(self, *tables: DataFrame) -> None:
+        jvm, sc = self.spark._jvm, self.spark.sparkContext
+        for table in tables:
+            path = jvm.org.apache.hadoop.fs.Path(table._written)
+            path.getFileSystem(sc._jsc.hadoopConfiguration()).delete(path, True)
+        # Shuffle files of plans that nothing refers to go when the driver's JVM collects them.
+        jvm.System.gc()
+
+
+def sized(df: DataFrame, most: int) -> DataFrame:
+    """The written table as a broadcast side if it has at most ``most`` rows; else it is shuffled."""
+    return F.broadcast(df) if df.count() <= most else df
+
+
+def once_per_id(rows: DataFrame, tables: Tables) -> DataFrame:
+    """(id, text) with one row an id, of repeated ids that of the smallest text; only their texts are shuffled."""
+    twice = rows.groupBy("id").agg(F.count("*").alias("c")).where("c > 1").select("id")
+    if not twice.limit(1).count():
+        return rows
+    twice = tables.write(twice)
+    once = rows.join(twice, "id", "left_semi").groupBy("id").agg(F.min("text").alias("text"))
+    return rows.join(twice, "id", "left_anti").unionByName(tables.write(once))
+
+
 def importable(spark: SparkSession) -> None:
     """Let Python workers find this package beside the driver's copy of it, if it isn't installed."""
     root = str(Path(__file__).resolve().parents[2])

@@ -3,10 +3,12 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from lexloom.llm import ngram_join, substring_dedup, topk_search
+from lexloom.llm import ngram_join, shingles, substring_dedup, topk_search
+from lexloom.llm.common import Tables
 from lexloom.llm.components import components
 
 
@@ -87,8 +89,9 @@ def test_components(spark):
 
 def test_windows_cover_each_passage_once():
     rnd = np.random.default_rng(1)
-    for values in (rnd.integers(0, 50, 40).astype(np.uint64), np.zeros(30, np.uint64)):
-        found = substring_dedup.compact_windows(values, 6, True)
+    high = lambda most, n: rnd.integers(0, most, n).astype(np.uint64) << np.uint64(40)
+    for values in (high(50, 40), high(2**20, 90), np.zeros(30, np.uint64)):
+        found = substring_dedup.compact_windows(values, 6)
         for i in range(len(values)):
             for j in range(i + 5, len(values)):
                 own = [w for w in found if w[0] <= i <= w[1] <= j <= w[2]]
@@ -116,16 +119,18 @@ def test_repeats_behind_leads_by_chance_are_found(spark):
     """The smallest and the largest id hold the least tokens of a passage under four functions, and no more of it."""
     rnd = random.Random(8)
     fresh = lambda n: [f"w{rnd.randrange(10**6)}" for _ in range(n)]
-    hashes = lambda w, f: substring_dedup.function_hash(substring_dedup.ngram_hashes(substring_dedup.hashed_words(substring_dedup.word_memo(), " ".join(w)), 5), f)
+    tokens = lambda w: shingles.run_hashes(*shingles.word_hashes(pa.array([" ".join(w)])), 5)[0]
+    hashes = lambda w, f: substring_dedup.function_hash(tokens(w), f)
     passage = fresh(51)
 
     def lead():
+        """Both least tokens of a pair of functions near each other, among other words."""
         out = []
-        for f in range(4):
-            c = int(hashes(passage, f).argmin())
+        for f in (0, 2, 4):
+            c, d = (int(hashes(passage, g).argmin()) for g in (f, f + 1))
             while True:
-                part = fresh(23) + passage[c : c + 5] + fresh(23)
-                if hashes(part, f).argmin() == 23:
+                part = fresh(15) + passage[c : c + 5] + fresh(6) + passage[d : d + 5] + fresh(20)
+                if hashes(part, f).argmin() == 15 and hashes(part, f + 1).argmin() == 26:
                     break
             out += part
         return " ".join(out)
@@ -139,22 +144,54 @@ def test_repeats_behind_leads_by_chance_are_found(spark):
 def test_every_place_of_a_repeat_has_a_row(spark):
     text = " ".join(f"a{k}" for k in range(60))
     rows = spark.createDataFrame([(1, f"{text} x {text}"), (2, text)], "id long, text string")
-    met = spark.range(8, 9).select(F.col("id").alias("key"), F.explode(F.expr("array((1L, 0, 10, 56), (1L, 61, 71, 116), (2L, 0, 10, 55))")).alias("w")).select("key", F.col("w.col1").alias("id"), F.col("w.col2").alias("l"), F.col("w.col3").alias("c"), F.col("w.col4").alias("r"))
+    met = spark.createDataFrame([(8, 1, 0, 9), (8, 1, 61, 70), (8, 2, 0, 9)], "key long, id long, i int, j int")
     none = spark.createDataFrame([], "doc_id long, start int, end int, first_id long, first_start int, first_end int, similarity double")
-    got = substring_dedup.exact_repeats(rows, met, none, 5, 47).collect()
+    got = substring_dedup.exact_repeats(rows, met, none, 5, 47, Tables(spark)).collect()
     assert {(r["doc_id"], r["start"], r["end"], r["first_id"], r["first_start"], r["first_end"]) for r in got} == {(2, 0, 60, 1, 0, 60), (1, 61, 121, 2, 0, 60)}
 
 
-def test_many_copies_of_a_passage_give_a_region_each():
-    for copies in (8, 9, 40):
-        # Six functions' least tokens of a passage of 60 that the other document holds once, at 5.
-        hits = [(f, 100 * k, 100 * k + 7 * f + 10, 100 * k + 59, 5, 15 + 7 * f, 64) for k in range(copies) for f in range(6)]
-        found = substring_dedup.candidate_regions(hits, 3, 47)
-        assert sorted(found) == [(100 * k, 100 * k + 59, 5, 64) for k in range(copies)]
-        # The same with the sides changed: hits of all copies come in turn.
-        turned = [(f, l2, c2, r2, l, c, r) for f, l, c, r, l2, c2, r2 in hits]
-        found = substring_dedup.candidate_regions(turned, 3, 47)
-        assert sorted(found) == sorted((5, 64, 100 * k, 100 * k + 59) for k in range(copies))
+def test_stretches_are_the_joined_windows_of_two_functions():
+    rnd = np.random.default_rng(6)
+    tokens = rnd.integers(0, 2**63, 300).astype(np.uint64)
+    tokens[100:180] = np.tile(tokens[100:104], 20)
+    offsets = np.array([0, 0, 120, 130, 300])
+    want = []
+    for p in (0, 2):
+        for text, (a, b) in enumerate(zip(offsets[:-1], offsets[1:])):
+            part, before = tokens[a:b], None
+            values = [substring_dedup.function_hash(part, p + q) for q in (0, 1)]
+            trees = [substring_dedup.compact_windows(v, 12) for v in values]
+            for s in range(max(0, b - a - 11)):
+                owners = [next(w for w in t if w[0] <= s <= w[1] <= s + 11 <= w[2]) for t in trees]
+                signature = tuple(int(part[w[1]]) for w in owners)
+                if signature == before:
+                    want[-1][2] = s
+                else:
+                    want.append([text, s, s, owners[0][1]])
+                before = signature
+    got = zip(*substring_dedup.stretches(tokens, offsets, 12, 4))
+    assert [(t, i, j, c) for t, _, i, j, c in got] == [tuple(w) for w in want]
+
+
+def test_recall_of_near_repeats(spark):
+    """Passages with a changed word in about 50, at the contract's similarity, in texts of other words."""
+    rnd = random.Random(12)
+    fresh = lambda n: [f"w{rnd.randrange(10**5)}" for _ in range(n)]
+    rows, planted = [], []
+    for k in range(200):
+        passage = fresh(rnd.randrange(60, 160))
+        near = list(passage)
+        while True:
+            changed = list(near)
+            changed[rnd.randrange(len(near))] = f"c{rnd.randrange(10**6)}"
+            if len(grams(" ".join(passage), 5) & grams(" ".join(changed), 5)) < 0.8 * len(grams(" ".join(passage), 5) | grams(" ".join(changed), 5)):
+                break
+            near = changed
+        rows += [(2 * k, " ".join(fresh(40) + passage + fresh(60))), (2 * k + 1, " ".join(fresh(70) + near + fresh(30)))]
+        planted.append((2 * k, 2 * k + 1))
+    got = substring_dedup.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    found = {tuple(sorted((r["doc_id"], r["first_id"]))) for r in got}
+    assert found <= set(planted) and len(found) >= 0.95 * len(planted)
 
 
 def test_matches_on_two_far_diagonals_are_no_failure():
