@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexloom.llm import bpe_codec, language_id, mixing, ngram_join, secrets
-from lexloom.llm.common import importable
+from lexloom.llm.common import BROADCAST_IDS, importable, sized
 from lexloom.session import checkpoint_dir
 
 #: Near-duplicates of the corpus: five-word shingles, similarity of 0.8 or more.
@@ -40,8 +40,7 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     importable(spark)
     join = ngram_join.JaccardJoin(docs, SHINGLE, PERCENT)
     dropped = join.duplicates()
-    small = dropped.count() <= ngram_join.BROADCAST_IDS
-    kept = docs.join(F.broadcast(dropped) if small else dropped, docs["doc_id"] == dropped["id"], "left_anti")
+    kept = docs.join(sized(dropped, BROADCAST_IDS), docs["doc_id"] == dropped["id"], "left_anti")
     twice = docs.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").limit(1).count()
     if twice:
         kept = kept.where("doc_id is not null").dropDuplicates(["doc_id"]).unionByName(kept.where("doc_id is null"))
