@@ -12,13 +12,14 @@ from __future__ import annotations
 
 import hashlib
 import json
+import struct
 import unicodedata
 
 import ahocorasick
 import numpy as np
 import regex
 
-from lexloom.llm.common import Memo
+from lexloom.llm.common import Memo, Recent
 
 #: Stands for the end-of-word mark: no byte is shown as this character.
 END = "\x00"
@@ -73,11 +74,15 @@ class PrefixBpe:
             if whole[i]:
                 self._automaton.add_word(t, (i, len(t)))
         self._automaton.make_automaton()
-        self._memo = Memo(self._word, memo)
+        self._longest = max(map(len, ids), default=1)
+        self._memo = Recent(self._word, memo)
         # Pre-tokens hold no white space, so each run between white space is encoded on its own, once.
-        self.word_counts = Memo(lambda w: len(self._word(w)), memo)
-        self.chunk_counts = Memo(lambda c: sum(map(self.word_counts.__getitem__, self.words(c))), memo)
-        self.packed = Memo(self._packed, memo * 3 // 4)
+        self.word_counts = Recent(self._last_count, memo)
+        self.chunk_counts = Recent(lambda c: sum(map(self.word_counts.__getitem__, self.words(c))), memo)
+        self.word_packed = Recent(self._packed_word, memo)
+        self.packed = Recent(self._packed, 2 * memo)
+        # Whether runs of letters are pre-tokens of their own, with or without one sign after them.
+        self._letters = all(self._words.findall(w + s) == [w, *s] for w in ("a", "ab", "the", "s", "ll") for s in ("", *".,;:!?"))
 
     def _edge(self, token: int, side: int) -> list[tuple[int, int]]:
         """Pieces along one edge of the token, each with the rank of the merge that ends it."""
@@ -109,13 +114,17 @@ class PrefixBpe:
         fits = self._fits
         done = -1
         for end, (token, length) in self._automaton.iter(shown):
-            if end == done:
-                continue
-            start = end + 1 - length
-            if start == 0 or ((before := last[start]) >= 0 and fits[before, token]):
+            if end != done:
+                start = end + 1 - length
+                if start:
+                    before = last[start]
+                    if before < 0 or not fits[before, token]:
+                        continue
                 done = end
-                at = end + 1
-                last[at], size[at], count[at] = token, length, count[start] + 1
+                end += 1
+                last[end] = token
+                size[end] = length
+                count[end] = count[start] + 1
         return last, size, count
 
     def _word(self, word: str) -> list[int]:
@@ -127,9 +136,24 @@ class PrefixBpe:
             at -= size[at]
         return ids[::-1]
 
+    def _last_count(self, word: str) -> int:
+        """The count at the word's last prefix, which is the word with its end mark."""
+        return self._table("".join(map(self._bytes.__getitem__, word.encode())) + END)[2][-1]
+
+    def _packed_word(self, word: str) -> tuple[bytes, str]:
+        ids = self._word(word)
+        return struct.pack(f"<{len(ids)}I", *ids), " ".join(map(self.pieces.__getitem__, ids))
+
     def _packed(self, chunk: str) -> tuple[bytes, str]:
-        ids = [i for w in self.words(chunk) for i in self._word(w)]
-        return np.array(ids, "<u4").tobytes(), " ".join(map(self.pieces.__getitem__, ids))
+        if self._letters and chunk.isascii():
+            get = self.word_packed
+            if chunk.isalpha():
+                return get[chunk.lower()]
+            if chunk[-1] in ".,;:!?" and chunk[:-1].isalpha():
+                (a, s), (b, t) = get[chunk[:-1].lower()], get[chunk[-1]]
+                return a + b, f"{s} {t}"
+        words = list(map(self.word_packed.__getitem__, self.words(chunk)))
+        return words[0] if len(words) == 1 else (b"".join([w[0] for w in words]), " ".join([w[1] for w in words]))
 
     def word_prefix_counts(self, word: str) -> list[int]:
         """Tokens of word[:1], word[:2], ... each as a word of its own, from one table.
@@ -142,7 +166,7 @@ class PrefixBpe:
         cuts = np.cumsum([len(c.encode()) for c in word]).tolist()
         found = []
         for cut in cuts:
-            tail = shown[max(0, cut - 64) : cut] + END
+            tail = shown[max(0, cut - self._longest) : cut] + END
             best = None
             for end, (token, length) in self._automaton.iter(tail):
                 start = cut + 1 - length
@@ -176,7 +200,7 @@ class PrefixBpe:
 
     def parts(self, text: str) -> list[tuple[bool, str]]:
         """The text cut at special strings: (is special, string)."""
-        if self._specials is None or "<" not in text:
+        if self._specials is None or not self._specials.search(text):
             return [(False, text)]
         return [(i % 2 == 1, x) for i, x in enumerate(self._specials.split(text)) if x]
 
@@ -198,8 +222,22 @@ class PrefixBpe:
         """The tokens joined by a space each: the file names no decoder."""
         return " ".join(map(self.pieces.__getitem__, ids))
 
-    def prefix_counts(self, text: str) -> tuple[list[int], list[int]]:
-        """(end, tokens so far) at the end of every pre-token, ends in code points of the normalised text."""
+    def spans(self, text: str) -> tuple[str, list[tuple[int, int]]]:
+        """The normalised text without special strings and the places of its pre-tokens."""
+        if not text.isascii():
+            if "Cn" in map(unicodedata.category, text):
+                self._newer_words("")
+                shown = self._library.normalizer.normalize_str(text)
+                return shown, [place for _, place in self._library.pre_tokenizer.pre_tokenize_str(shown)]
+            text = unicodedata.normalize("NFC", text).replace("Σ", "σ")
+        text = text.lower()
+        return text, [m.span() for m in self._words.finditer(text)]
+
+    def prefix_counts(self, text: str, inside: bool = False) -> tuple[list[int], list[int]]:
+        """(end, tokens so far) at the end of every pre-token, ends in code points of the normalised text.
+
+        With ``inside``, at every prefix that ends in a pre-token too.
+        """
         ends, counts, at, total = [], [], 0, 0
         for special, x in self.parts(text):
             if special:
@@ -207,11 +245,16 @@ class PrefixBpe:
                 ends.append(at)
                 counts.append(total)
                 continue
-            shown = unicodedata.normalize("NFC", x).replace("Σ", "σ").lower()
-            for m in self._words.finditer(shown):
-                total += self.word_counts[m[0]]
-                ends.append(at + m.end())
-                counts.append(total)
+            shown, spans = self.spans(x)
+            for a, b in spans:
+                if inside:
+                    counts += [total + c for c in self.word_prefix_counts(shown[a:b])]
+                    ends += range(at + a + 1, at + b + 1)
+                    total = counts[-1]
+                else:
+                    total += self.word_counts[shown[a:b]]
+                    ends.append(at + b)
+                    counts.append(total)
             at += len(shown)
         return ends, counts
 
@@ -222,7 +265,7 @@ class PrefixBpe:
         for special, x in self.parts(text):
             if special:
                 i = self.special[x]
-                packed.append((np.array([i], "<u4").tobytes(), self.pieces[i]))
+                packed.append((struct.pack("<I", i), self.pieces[i]))
             else:
                 packed += map(get, self.chunks(x))
         ids = b"".join([p[0] for p in packed])

@@ -37,6 +37,24 @@ class Memo(dict):
         return value
 
 
+class Recent(dict):
+    """key -> made(key) with at most ``limit`` entries: half of them new, half from before, which come back when asked for."""
+
+    def __init__(self, make: Callable, limit: int):
+        super().__init__()
+        self.make, self.half, self.before = make, max(1, limit // 2), {}
+
+    def __missing__(self, key):
+        value = self.before.pop(key, None)
+        if value is None:
+            value = self.make(key)
+        if len(self) >= self.half:
+            self.before = dict(self)
+            self.clear()
+        self[key] = value
+        return value
+
+
 def map_texts(
     df: DataFrame,
     columns: list[str],
@@ -121,8 +139,16 @@ def importable(spark: SparkSession) -> None:
         spark.sparkContext.environment["PYTHONPATH"] = os.pathsep.join(filter(None, (known, root)))
 
 
+def small_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """Texts go to Python in batches of at most so many rows, which bounds a worker's memory."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if int(spark.conf.get(name)) > rows:
+        spark.conf.set(name, str(rows))
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     importable(spark)
+    small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 

@@ -6,10 +6,10 @@ Decoding sums a logistic loss per bit, weighted by the bit's accuracy on the tra
 and takes the codeword of least loss; a small gap to the second codeword marks the document
 as ambiguous.
 
-Up to seven languages get the exhaustive code (2**(k-1) - 1 bits), more get words drawn by
-hash, with a distance check. Training takes at most ``per_lang`` documents of each language,
-chosen by a hash of the id; n-gram counts of that sample are summed on the driver into one
-table of ``BUCKETS`` rows per bit, so the model's size is fixed. Whole texts are scored.
+Up to seven languages get the exhaustive code (2**(k-1) - 1 bits), more get words drawn at
+random, of which any two differ in a quarter of the bits or more. Training takes at most ``per_lang``
+documents of each language, chosen by a hash of the id; executors send their n-gram counts, at most ``BUCKETS`` of
+each document, and never texts to the driver. The model is one table of ``BUCKETS`` rows per bit. Whole texts are scored.
 
 Null texts and texts without a letter give ``und`` with score 0. Without any labelled
 document every text is ``und``. A single learned language is predicted for every text with a
@@ -60,12 +60,15 @@ def code(k: int) -> np.ndarray:
         bits = 2 ** max(k - 1, 1) - 1
         # Column b separates the languages by the binary digits of b; the first language always has 1.
         return np.array([[1] * bits] + [[(b >> i) & 1 for b in range(bits)] for i in range(k - 1)], np.int8)[:k]
-    bits = 15 * max(1, int(np.ceil(np.log2(k))))
-    draw = lambda i, b, r: zlib.crc32(f"{i}:{b}:{r}".encode()) & 1
-    return max(
-        (np.array([[draw(i, b, r) for b in range(bits)] for i in range(k)], np.int8) for r in range(8)),
-        key=lambda c: min((c[i] != c[j]).sum() for i in range(k) for j in range(i)),
-    )
+    bits = 15 * int(np.ceil(np.log2(k)))
+    while True:
+        for seed in range(16):
+            drawn = np.random.default_rng([k, bits, seed]).integers(0, 2, (k, bits)).astype(np.int8)
+            signs = 2 * drawn.astype(np.int64) - 1
+            apart = (bits - signs @ signs.T) // 2
+            if apart[~np.eye(k, dtype=bool)].min() * 4 >= bits and 0 < drawn.sum(0).min() and drawn.sum(0).max() < k:
+                return drawn
+        bits += bits // 2
 
 
 @dataclass
@@ -77,10 +80,6 @@ class Model:
     scale: np.ndarray
     weight: np.ndarray
 
-    def margins(self, texts: list[str]) -> np.ndarray:
-        scores = WordScores(self.table)
-        return np.array([self.margin(scores.total(t)) for t in texts]).reshape(len(texts), -1)
-
     def margin(self, total: np.ndarray) -> np.ndarray:
         return self.scale * (total[:-1] / max(total[-1], 1) - self.bias)
 
@@ -122,21 +121,28 @@ class WordScores:
         return total
 
 
-def fit(rows: list[tuple[str, str]]) -> Model | None:
-    """A model from (text, language) pairs."""
-    langs = sorted({lang for _, lang in rows})
+def gram_counts(texts: list[str]) -> list[tuple[np.ndarray, np.ndarray]]:
+    """(n-grams, counts) of each text."""
+    memo, found = Memo(word_grams, 200_000), []
+    for text in texts:
+        grams = np.bincount([g for w in text_words(text) for g in memo[w]] or np.empty(0, np.int64), minlength=1)
+        found.append((np.flatnonzero(grams), grams[grams > 0]))
+    return found
+
+
+def fit(rows: list[tuple[np.ndarray, np.ndarray, str]]) -> Model | None:
+    """A model from (n-grams, counts, language) of documents."""
+    langs = sorted({lang for *_, lang in rows})
     if not langs:
         return None
     words = code(len(langs))
-    memo = Memo(word_grams, 200_000)
     shares = np.zeros((len(langs), BUCKETS))
     texts, of = [], []
-    for text, lang in rows:
-        grams = [g for w in text_words(text) for g in memo[w]]
-        if grams:
+    for grams, counts, lang in rows:
+        if len(grams):
             # Square roots keep one long or repetitive document from setting a language's shares.
-            shares[langs.index(lang)] += np.sqrt(np.bincount(grams, minlength=BUCKETS))
-            texts.append(text)
+            shares[langs.index(lang), grams] += np.sqrt(counts)
+            texts.append((grams, counts))
             of.append(langs.index(lang))
     shares = shares / np.maximum(shares.sum(1, keepdims=True), 1)
     table = np.zeros((BUCKETS, words.shape[1]))
@@ -147,7 +153,7 @@ def fit(rows: list[tuple[str, str]]) -> Model | None:
     bits = words.shape[1]
     model = Model(langs, 2.0 * words - 1, table, np.zeros(bits), np.ones(bits), np.ones(bits))
     if texts:
-        got, want = model.margins(texts), model.words[of]
+        got, want = np.array([model.margin(np.append(c @ table[g], c.sum())) for g, c in texts]), model.words[of]
         for b in range(bits):
             up, down = got[want[:, b] > 0, b], got[want[:, b] < 0, b]
             if len(up) and len(down):
@@ -159,18 +165,32 @@ def fit(rows: list[tuple[str, str]]) -> Model | None:
     return model
 
 
-def labelled_sample(df: DataFrame, per_lang: int, id_col: str, text_col: str, lang_col: str) -> list[tuple[str, str]]:
-    """At most ``per_lang`` (text, language) pairs of each language.
+def labelled_sample(df: DataFrame, per_lang: int, id_col: str, text_col: str, lang_col: str) -> list[tuple[np.ndarray, np.ndarray, str]]:
+    """(n-grams, counts, language) of at most ``per_lang`` documents of each language.
 
-    Ids alone are ranked, cut per task before they are shuffled, and the chosen ids (bounded by
-    per_lang times languages) are broadcast to fetch the texts.
+    Ids of the least hashes are taken. All but about four times as many of a language as are wanted go by
+    their hash alone; the rest are ranked, and the chosen ids (bounded by per_lang times languages)
+    are broadcast to fetch the texts, which are counted where they are.
     """
     rank = F.row_number().over(W.partitionBy("lang").orderBy(F.xxhash64("id"), "id"))
     rows = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
-    ids = rows.where("lang is not null and id is not null").select("id", "lang").withColumn("r", rank).where(F.col("r") <= per_lang)
+    named = rows.where("lang is not null and id is not null").select("id", "lang")
+    share = (F.xxhash64("id").cast("double") + 2.0**63) / 2.0**64
+    few = named.groupBy("lang").agg((F.lit(4.0 * per_lang + 100) / F.count("*")).alias("most"))
+    ids = named.join(few, "lang").where(share <= F.col("most")).withColumn("r", rank).where(F.col("r") <= per_lang)
     chosen = rows.where("lang is not null and text is not null").join(F.broadcast(ids.select("id", "lang").distinct()), ["id", "lang"], "left_semi")
-    got = sorted((r["id"], r["lang"], r["text"]) for r in chosen.collect())
-    return [(text, lang) for _, lang, text in got]
+
+    def make():
+        def f(ids, langs, texts):
+            found = gram_counts(texts)
+            return {"id": ids, "lang": langs, "grams": [x[0] for x in found], "counts": [x[1] for x in found]}
+
+        return f
+
+    arrow = pa.schema([("id", pa.int64()), ("lang", pa.string()), ("grams", pa.list_(pa.int32())), ("counts", pa.list_(pa.int32()))])
+    sent = map_texts(chosen, ["id", "lang", "text"], make, "id long, lang string, grams array<int>, counts array<int>", arrow)
+    got = sorted((r["id"], r["lang"], r["grams"], r["counts"]) for r in sent.collect())
+    return [(np.array(grams, np.int64), np.array(counts, np.int64), lang) for _, lang, grams, counts in got]
 
 
 def train(

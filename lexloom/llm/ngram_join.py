@@ -45,7 +45,7 @@ from lexloom.llm.components import components
 
 N, PERCENT = 4, 85
 #: N-grams that may be told to be frequent, and n-grams of distinct sets of one local count.
-HOT, CHUNK = 1 << 18, 4_000_000
+HOT, CHUNK = 1 << 18, 2_000_000
 #: A local count below this is not sent on: the n-gram stays among the rare ones.
 LEAST = 2
 FRAGMENTS = 8

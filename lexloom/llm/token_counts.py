@@ -24,14 +24,19 @@ from lexloom.llm.common import documents, map_texts
 LIMIT = 2048
 
 
-def token_prefix_counts(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, ends array<int>, counts array<int>): tokens up to the end of every pre-token."""
+def token_prefix_counts(
+    df: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", inside: bool = False
+) -> DataFrame:
+    """(id, ends array<int>, counts array<int>): tokens up to the end of every pre-token.
+
+    With ``inside``, also up to every code point of a pre-token, so very long ones can be cut as well.
+    """
 
     def make():
         e = encoder(path)
 
         def f(ids, texts):
-            found = [e.prefix_counts(t or "") for t in texts]
+            found = [e.prefix_counts(t or "", inside) for t in texts]
             return {"id": ids, "ends": [x[0] for x in found], "counts": [x[1] for x in found]}
 
         return f
@@ -57,7 +62,8 @@ def token_totals(
 ) -> DataFrame:
     """(id, n_bytes, n_tokens, over_limit): the last entry of each text's prefix table.
 
-    Per-word tables are summed as they come, so the arrays of long texts are never built.
+    Pre-tokens are encoded apart, so that entry is the sum of the last entries of their prefix tables;
+    the arrays of long texts are never built.
     """
 
     def make():
