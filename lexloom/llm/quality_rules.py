@@ -67,11 +67,6 @@ def compile_rules(rules: tuple[Rule, ...]) -> Column:
     return verdict
 
 
-def failed_rules(rules: tuple[Rule, ...]) -> Column:
-    """The names of the rules that a document breaks, in table order."""
-    return F.array_compact(F.array(*[F.when(~compile_rules((r,)), F.lit(r.name)) for r in rules]))
-
-
 def measures(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, base counts and every measure that rules may name)."""
     text = F.coalesce(F.col(text_col), F.lit(""))
@@ -118,7 +113,7 @@ def measures(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     count = lambda array, test: F.size(F.filter(array, test))
     chars = F.length(F.regexp_replace("text", SPACE, "")).cast("long")
     symbols = (F.length("text") - F.length(F.translate("text", "#*$%&|<>", ""))).cast("long")
-    return out.select(
+    out = out.select(
         id_col,
         "n_words",
         chars.alias("word_chars"),
@@ -135,12 +130,16 @@ def measures(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
         per_line(count("lines", lambda x: x.rlike(r"(\.\.\.|…) *$"))).alias("ellipses_per_line"),
         per_word(covered).alias("repeats_per_word"),
     )
+    # A filter on the measures stays above this row of one struct; below it, each would be written out in
+    # full as often as the steps before name it, and planning would not end.
+    row = F.explode(F.array(F.struct(*[F.col(c) for c in out.columns if c != id_col]))).alias("row")
+    return out.select(id_col, row).select(id_col, "row.*")
 
 
 def apply_rules(
     df: DataFrame, rules: tuple[Rule, ...] = RULES, id_col: str = "doc_id", text_col: str = "text"
 ) -> DataFrame:
-    """(id, n_words, base counts, base_failed, kept, failed): the table's verdict on every document."""
+    """(id, n_words, base counts, base_failed, kept): the table's verdict on every document."""
     base_failed = (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
     return measures(df, id_col, text_col).select(
         id_col,
