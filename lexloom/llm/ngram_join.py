@@ -329,18 +329,18 @@ class JaccardJoin:
         posted = single.select("id", F.explode("prefix").alias("s"))
         extremes = (F.min("id").alias("hub"), F.max("id").alias("last"))
         hubs = write(posted.groupBy("s").agg(*extremes, F.count("*").alias("c")).where("hub < last").select("s", "hub", "c"))
-        shared = write(posted.join(sized(hubs, BROADCAST_IDS), "s"))
+        buckets = write(posted.join(sized(hubs, BROADCAST_IDS), "s"))
         if FINE <= self.percent < 100:
             # Documents of crowded buckets meet by the contents of fine fragments instead.
-            crowd = write(shared.where(F.col("c") > CROWD).select("id").distinct())
+            crowd = write(buckets.where(F.col("c") > CROWD).select("id").distinct())
             texts = self.texts.join(sized(crowd, BROADCAST_IDS), "id", "left_semi")
             keyed = texts.mapInArrow(_fragments(self.n, self.percent), "s long, id long")
             led = write(keyed.groupBy("s").agg(*extremes).where("hub < last").select("s", "hub"))
             fine = keyed.join(sized(led, BROADCAST_IDS), "s").select("s", "id", "hub", F.lit(True).alias("fine"))
-            shared = write(shared.where(F.col("c") <= CROWD).select("s", "id", "hub", F.lit(False).alias("fine")).union(fine))
-            drop(crowd, led)
+            shared = write(buckets.where(F.col("c") <= CROWD).select("s", "id", "hub", F.lit(False).alias("fine")).union(fine))
+            drop(crowd, led, buckets)
         else:
-            shared = shared.withColumn("fine", F.lit(True))
+            shared = buckets = write(buckets.select("s", "id", "hub", F.lit(True).alias("fine")))
         stats = sets.select("id", "n", "wide", *SKETCH)
         first = shared.where("id > hub").select(F.col("hub").alias("a"), F.col("id").alias("b")).distinct()
         near = self._near(first, stats)

@@ -72,6 +72,41 @@ def test_join_matches_brute_force(spark):
         assert {r["id"]: (r["n"], r["component"]) for r in got} == {i: (sizes[i], least[i]) for i in sizes}
 
 
+def test_linked_sets_share_a_fragment():
+    rnd = np.random.default_rng(3)
+    for percent in (75, 80, 85, 95):
+        for size in (1, 2, 5, 9, 20, 60, 200, 700, 3000):
+            for _ in range(12):
+                a = np.unique(rnd.integers(-(2**63), 2**63 - 1, size))
+                # As many n-grams changed or dropped as the threshold allows.
+                gone, new = rnd.permutation(len(a)), 0
+                b = a
+                for k in range(len(a) + 1):
+                    new = k if rnd.random() < 0.5 else new
+                    other = np.unique(np.concatenate([np.delete(a, gone[:k]), rnd.integers(-(2**63), 2**63 - 1, min(new, k))]))
+                    same = len(np.intersect1d(a, other))
+                    if not len(other) or 100 * same < percent * (len(a) + len(other) - same):
+                        break
+                    b = other
+                of, keys = ngram_join.fragment_keys(np.concatenate([a, b]), np.array([0, len(a), len(a) + len(b)]), percent)
+                assert set(keys[of == 0].tolist()) & set(keys[of == 1].tolist())
+
+
+def test_crowded_buckets_lose_no_link(spark):
+    """Over 32 documents in every bucket: one text with edits, linked in chains, beside others that share half of it."""
+    rnd = random.Random(4)
+    base = [f"b{k}" for k in range(120)]
+    rows, text = [], list(base)
+    for i in range(60):
+        rows.append((i, " ".join(text)))
+        text = list(text if i % 3 else base)
+        text[rnd.randrange(120)] = f"v{rnd.randrange(99)}"
+    rows += [(100 + k, " ".join(base[:60] + [f"o{k}x{j}" for j in range(40)])) for k in range(40)]
+    sizes, least = brute_join(rows, 4, 85)
+    got = ngram_join.JaccardJoin(spark.createDataFrame(rows, "doc_id long, text string"), 4, 85).classes().collect()
+    assert {r["id"]: (r["n"], r["component"]) for r in got} == {i: (sizes[i], least[i]) for i in sizes}
+
+
 def test_join_on_odd_rows(odd, empty):
     got = ngram_join.JaccardJoin(odd).classes().collect()
     assert len(got) == 9 and all(r["component"] == r["id"] for r in got)
