@@ -1,9 +1,11 @@
 """Operator 7: quality classifier from Naive Bayes support vectors.
 
-A document is the set of its features: hashed word ends, word shapes, pairs of
-neighbouring shapes, pairs of equal neighbours and the share of fresh words. Each indicator is scaled by the log
-ratio of its share among good and bad documents, and a linear model with hinge loss is fitted
-to the scaled indicators by dual coordinate descent, then interpolated with the ratios' mean.
+A document is the set of its features, hashed, in two families. The first is its n-grams of one to ``GRAMS``
+code points. The second is its n-grams of words in coarser alphabets: word ends, single shapes, pairs of
+neighbouring shapes, and, as an n-gram's indicator does not tell a text that repeats itself, the shares of equal
+neighbours and of fresh words. Each indicator is scaled by the log ratio of its share among good and bad documents
+and by the size of its family in the document, and a linear model with hinge loss is fitted to the scaled
+indicators by dual coordinate descent, then interpolated with the ratios' mean.
 
 Training takes at most ``sample`` labelled documents chosen by a hash of the id; the model is
 one table of ``BUCKETS`` weights. Whole texts are scored.
@@ -27,7 +29,11 @@ from pyspark.sql import functions as F
 from lexloom.llm.common import Memo, bounded_sample, documents, map_texts
 from lexloom.llm.language_id import remainder
 
-BUCKETS = 1 << 16
+#: Buckets of one family, and code points of the longest n-gram.
+FAMILY, GRAMS = 1 << 16, 3
+BUCKETS = 2 * FAMILY
+#: Code points of a text whose n-grams are hashed at once.
+PIECE = 1 << 18
 SAMPLE = 3000
 #: Hinge-loss bound of the dual variables, epochs and the share of the fitted weights.
 C, EPOCHS, BETA = 1.0, 12, 0.5
@@ -35,15 +41,29 @@ C, EPOCHS, BETA = 1.0, 12, 0.5
 _LOWER = re.compile(r"[^\W\d_A-Z]+")
 _UPPER = re.compile(r"[A-Z]+")
 _DIGIT = re.compile(r"\d+")
+_MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
 def shape(word: str) -> str:
     """Runs of lower-case letters, capitals and digits as one sign each; other signs stay."""
-    return _UPPER.sub("X", _DIGIT.sub("9", _LOWER.sub("x", word)))[:12]
+    return _UPPER.sub("X", _DIGIT.sub("9", _LOWER.sub("x", word)))
 
 
 def _bucket(text: str) -> int:
-    return zlib.crc32(text.encode()) % BUCKETS
+    return FAMILY + zlib.crc32(text.encode("utf-8", "surrogatepass")) % FAMILY
+
+
+def grams(text: str, longest: int = GRAMS) -> np.ndarray:
+    """The buckets of the n-grams of one to ``longest`` code points, in pieces that overlap by an n-gram."""
+    seen = np.zeros(FAMILY, bool)
+    for at in range(0, len(text), PIECE):
+        points = np.frombuffer(text[at : at + PIECE + longest - 1].encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+        made = np.zeros(len(points), np.uint64)
+        for n in range(1, min(longest, len(points)) + 1):
+            made = (made[: len(points) - n + 1] ^ points[n - 1 :]) * _MIX
+            made ^= made >> np.uint64(29)
+            seen[(made >> np.uint64(20)) % np.uint64(FAMILY)] = True
+    return np.flatnonzero(seen)
 
 
 class Features:
@@ -58,7 +78,12 @@ class Features:
         look, bucket = self.looks[shape(word)]
         return look, bucket, _bucket("e:" + word[-3:].lower())
 
-    def of(self, text: str) -> np.ndarray:
+    def of(self, text: str) -> tuple[np.ndarray, np.ndarray]:
+        """The buckets of a text's features, and the scale of each: a family counts alike however many it has."""
+        families = grams(text), self.forms(text)
+        return np.concatenate(families), np.concatenate([np.full(len(f), 1 / np.sqrt(max(len(f), 1))) for f in families])
+
+    def forms(self, text: str) -> np.ndarray:
         words = text.split()
         if not words:
             return np.empty(0, np.int64)
@@ -81,8 +106,8 @@ class Model:
     slope: float
     offset: float
 
-    def score(self, features: np.ndarray) -> float:
-        margin = self.weights[features].sum() / np.sqrt(max(len(features), 1)) + self.bias
+    def score(self, features: np.ndarray, scale: np.ndarray) -> float:
+        margin = self.weights[features] @ scale + self.bias
         return float(1 / (1 + np.exp(-np.clip(self.slope * margin + self.offset, -30, 30))))
 
 
@@ -118,15 +143,16 @@ def fit(texts: list[str], labels: list[int], c: float = C, epochs: int = EPOCHS,
     if len(set(labels)) < 2:
         return Model(np.zeros(BUCKETS), 0.0, 0.0, 0.0)
     features = Features()
-    rows = [features.of(t) for t in texts]
+    made = [features.of(t) for t in texts]
+    rows = [x for x, _ in made]
     ratio = log_ratios(rows, y)
-    values = [ratio[x] / np.sqrt(max(len(x), 1)) for x in rows]
+    values = [ratio[x] * scale for x, scale in made]
     # Both classes pull alike, however rare one is.
     share = np.where(y == 1, len(y) / (2 * y.sum()), len(y) / (2 * (len(y) - y.sum())))
     w, b = dual_descent(rows, values, np.where(y == 1, 1.0, -1.0), c * share, epochs)
     mean = np.abs(w).mean()
     weights = ratio * ((1 - beta) * mean + beta * w)
-    raw = np.array([weights[x].sum() / np.sqrt(max(len(x), 1)) for x in rows]) + beta * b
+    raw = np.array([weights[x] @ scale for x, scale in made]) + beta * b
     slope, offset = 1.0, 0.0
     prior = np.log(y.sum() / (len(y) - y.sum()))
     spread = max(raw.std(), 1e-9)
@@ -159,7 +185,7 @@ def score(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "
 
     def make():
         features = Features()
-        return lambda ids, texts: {"id": ids, "score": [model.score(features.of(t or "")) for t in texts]}
+        return lambda ids, texts: {"id": ids, "score": [model.score(*features.of(t or "")) for t in texts]}
 
     arrow = pa.schema([("id", pa.int64()), ("score", pa.float64())])
     return map_texts(df, [id_col, text_col], make, "id long, score double", arrow).withColumnRenamed("id", id_col)

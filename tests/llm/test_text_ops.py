@@ -106,6 +106,17 @@ def test_quality_held_out(spark, sf, docs, odd, empty):
     assert quality_classifier.score(empty, model).count() == 0
 
 
+def test_grams_cover_whole_texts(monkeypatch):
+    text = "é😀 \ud800 ab&&& " + "".join(chr(97 + i * i % 23) for i in range(300))
+    pieces = set().union(*(quality_classifier.grams(text[i : i + n]).tolist() for n in (1, 2, 3) for i in range(len(text) - n + 1)))
+    assert set(quality_classifier.grams(text).tolist()) == pieces
+    monkeypatch.setattr(quality_classifier, "PIECE", 7)
+    assert set(quality_classifier.grams(text).tolist()) == pieces
+    assert not len(quality_classifier.grams(""))
+    long_word = quality_classifier.Features().of("x1" * 50_000)
+    assert len(long_word[0]) == len(long_word[1])
+
+
 def test_mixing_matches_sql(spark, sf, same):
     same(mixing.op6_mixing(spark, sf), mixing.ORACLE)
 
