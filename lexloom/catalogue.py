@@ -9,7 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from lexloom.functions import text as t
-from lexloom.operators import audit, dedup, forms, index, links, search
+from lexloom.operators import audit, dedup, forms, index, links, search, word_search
 from lexloom.plans import lexicon as lx
 from lexloom.session import checkpoint_dir, table
 from lexloom.sources import jsonl, sinks
@@ -691,6 +691,18 @@ def romanization_words(spark, sf):
     return words.select("w", F.inline(keys))
 
 
+@query()
+def search_all_stages(spark, sf):
+    # Parts as entries, under the language that has sound keys and a romanisation profile; all words of their names are asked.
+    names = table(spark, sf, "part").select(
+        F.col("p_partkey").alias("id"), t.tokens(F.col("p_name")).alias("names"), F.lower(F.split_part("p_type", F.lit(" "), F.lit(1))).alias("pos"),
+        F.col("p_retailprice").cast("double").alias("freq"), F.array("p_name", "p_type").alias("glosses"),
+    ).where(F.size("names") > 0)
+    entries = names.select("id", F.lit("el").alias("lang"), F.get("names", 0).alias("word"), "pos", "freq", F.col("names").alias("forms"), "glosses", F.col("names").alias("romanizations"))
+    asked = names.select(F.explode("names").alias("q"), F.lit("el").alias("lang")).distinct()
+    return word_search.search(entries, asked, checkpoint_dir(spark)).select("q", "word", "id", "quality", "stage", "rank")
+
+
 @query()
 def reservoir_sample(spark, sf):
     return dedup.seeded_sample(_docs(spark, sf).select("doc_id", "lang"), "doc_id", 42, 100)
