@@ -9,7 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from lexloom.functions import text as t
-from lexloom.operators import audit, dedup, forms, index, links, search, word_search
+from lexloom.operators import audit, dedup, forms, index, links, readings, search, verbs, word_search
 from lexloom.plans import lexicon as lx
 from lexloom.session import checkpoint_dir, table
 from lexloom.sources import jsonl, sinks
@@ -691,6 +691,51 @@ def romanization_words(spark, sf):
     return words.select("w", F.inline(keys))
 
 
+@query(
+    r"""WITH raw AS (
+  SELECT DISTINCT form, p_size % 2 = 0 AS tagged FROM part, unnest([p_name, p_brand, p_type, split_part(p_name, ' ', 1)]) u(form) WHERE form IS NOT NULL)
+SELECT form, tagged, lang, CASE lang
+    WHEN 'fr' THEN NOT contains(form, '''') AND NOT contains(form, '{') AND (NOT contains(form, ' ') OR contains(form, ' - ')) AND form <> '-' AND NOT regexp_matches(form, '[\x{0250}-\x{036f}]')
+    WHEN 'fi' THEN trim(form) NOT IN ('', '-') AND regexp_full_match(trim(form), '[\p{L}\p{Mn} ''’‑-]*')
+    WHEN 'nl' THEN regexp_matches(form, '\p{L}') AND regexp_full_match(form, '[\p{L}\p{M}''’-]*')
+    WHEN 'sv' THEN tagged AND form = trim(form) AND regexp_matches(form, '\p{L}') AND regexp_full_match(form, '[\p{L}\p{M} ''’-]*')
+    ELSE regexp_full_match(form, '\p{L}+') END AS kept
+FROM raw, unnest(['fr', 'fi', 'nl', 'sv', 'pt']) l(lang)"""
+)
+def verb_form_filters(spark, sf):
+    texts = F.array("p_name", "p_brand", "p_type", F.split_part("p_name", F.lit(" "), F.lit(1)))
+    rows = table(spark, sf, "part").select(F.explode(texts).alias("form"), (F.col("p_size") % 2 == 0).alias("tagged")).where("form is not null").distinct()
+    rows = rows.select("*", F.explode(F.array(*map(F.lit, ("fr", "fi", "nl", "sv", "pt")))).alias("lang"))
+    tags = F.when(F.col("tagged"), F.array(F.lit("indicative"))).otherwise(F.array().cast("array<string>"))
+    form = F.array(F.struct(F.col("form"), F.lit("conjugation").alias("source"), tags.alias("tags")))
+    return rows.select("form", "tagged", "lang", (F.size(verbs.clean_forms(form, F.col("lang"))) > 0).alias("kept"))
+
+
+_PART_TAGS = readings.Vocabulary(
+    ("cold", "hot", "widget", "bolt", "gear"), usage=frozenset({"small", "standard"}), related=frozenset({"economy"}), variants=frozenset({"medium"}), internal=frozenset({"large"})
+)
+
+
+@query(
+    """WITH sets AS (SELECT DISTINCT list_sort(list_distinct(string_split(lower(p_type || ' ' || p_name), ' '))) AS tags FROM part WHERE p_type IS NOT NULL AND p_name IS NOT NULL),
+read AS (
+  SELECT tags, list_filter(['cold', 'hot', 'widget', 'bolt', 'gear'], lambda x: list_contains(tags, x)) AS grammar,
+    list_filter(tags, lambda x: x IN ('small', 'standard')) AS usage, list_contains(tags, 'economy') AS related,
+    list_filter(tags, lambda x: x NOT IN ('cold', 'hot', 'widget', 'bolt', 'gear', 'small', 'standard', 'economy', 'medium', 'large')) AS unknown FROM sets),
+kinds AS (SELECT *, CASE WHEN len(grammar) > 0 THEN 'inflection' WHEN related THEN 'related' WHEN list_contains(tags, 'medium') THEN 'variant' ELSE 'other' END AS kind FROM read)
+SELECT array_to_string(tags, ' ') AS tags, array_to_string(grammar, ' ') AS grammar, kind, array_to_string(unknown, ' ') AS unknown,
+  array_to_string(CASE WHEN kind = 'related' THEN list_concat(['economy'], usage) ELSE usage END, ' ') AS qualifiers
+FROM kinds"""
+)
+def reading_tag_sets(spark, sf):
+    # Words of parts stand for tags; a related reading has its relation before its qualifiers.
+    named = table(spark, sf, "part").where("p_type is not null and p_name is not null")
+    sets = named.select(F.array_sort(F.array_distinct(F.split(F.lower(F.concat_ws(" ", "p_type", "p_name")), " "))).alias("tags")).distinct()
+    rows = sets.select("tags", readings.reading(F.col("tags"), _PART_TAGS).alias("r"))
+    joined = [F.array_join(f"r.{name}", " ").alias(name) for name in ("grammar", "qualifiers", "unknown")]
+    return rows.select(F.array_join("tags", " ").alias("tags"), "r.kind", *joined)
+
+
 @query()
 def search_all_stages(spark, sf):
     # Parts as entries, under the language that has sound keys and a romanisation profile; all words of their names are asked.

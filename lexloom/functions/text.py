@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import json
 import sys
 import unicodedata
 from functools import cache
@@ -38,27 +37,26 @@ JUNK_GLOSS_PREFIXES = (
     "post-1990",
 )
 GLOSS_STOP_WORDS = (
-    "the and for not out off has are was but can may all any its also been into from with that this than when very "
-    "more most such other something someone oneself one's etc e.g e.g. especially synonym spelling chiefly usually "
-    "often sometimes"
-).split()
-ROMANIZATION = json.loads(
-    """{
-  "el": {"ch": "kh", "χ": "kh"},
-  "ru": {"šč": "shch", "š": "sh", "č": "ch", "ž": "zh", "x": "kh", "j": "y", "ʹ": "", "ʺ": ""},
-  "uk": {"šč": "shch", "š": "sh", "č": "ch", "ž": "zh", "x": "kh", "j": "y", "ʹ": "", "ʺ": ""},
-  "bg": {"št": "sht", "š": "sh", "č": "ch", "ž": "zh", "j": "y"},
-  "mk": {"dž": "dzh", "ǵ": "gj", "ḱ": "kj", "š": "sh", "č": "ch", "ž": "zh"},
-  "sh": {"dž": "dz", "đ": "dj"},
-  "ka": {"š": "sh", "č": "ch", "ž": "zh", "ǯ": "j", "ʒ": "dz", "ɣ": "gh", "x": "kh", "c": "ts", "ch": "ch"},
-  "grc": {"ch": "kh"},
-  "sa": {"ś": "sh", "ṣ": "sh"},
-  "ko": {},
-  "hi": {"ś": "sh", "ṣ": "sh", "c": "ch", "ch": "ch"},
-  "he": {"ḥ": "kh", "ḵ": "kh", "š": "sh", "ṣ": "ts", "ʿ": "", "ʾ": ""},
-  "fa": {"š": "sh", "č": "ch", "ž": "zh", "x": "kh", "ā": "â"}
-}"""
+    "the", "and", "for", "not", "out", "off", "has", "are", "was", "but", "can", "may", "all", "any", "its",
+    "also", "been", "into", "from", "with", "that", "this", "than", "when", "very", "more", "most", "such",
+    "other", "something", "someone", "oneself", "one's", "etc", "e.g", "e.g.", "especially", "synonym",
+    "spelling", "chiefly", "usually", "often", "sometimes",
 )
+ROMANIZATION = {
+    "el": {"ch": "kh", "χ": "kh"},
+    "ru": {"šč": "shch", "š": "sh", "č": "ch", "ž": "zh", "x": "kh", "j": "y", "ʹ": "", "ʺ": ""},
+    "uk": {"šč": "shch", "š": "sh", "č": "ch", "ž": "zh", "x": "kh", "j": "y", "ʹ": "", "ʺ": ""},
+    "bg": {"št": "sht", "š": "sh", "č": "ch", "ž": "zh", "j": "y"},
+    "mk": {"dž": "dzh", "ǵ": "gj", "ḱ": "kj", "š": "sh", "č": "ch", "ž": "zh"},
+    "sh": {"dž": "dz", "đ": "dj"},
+    "ka": {"š": "sh", "č": "ch", "ž": "zh", "ǯ": "j", "ʒ": "dz", "ɣ": "gh", "x": "kh", "c": "ts", "ch": "ch"},
+    "grc": {"ch": "kh"},
+    "sa": {"ś": "sh", "ṣ": "sh"},
+    "ko": {},
+    "hi": {"ś": "sh", "ṣ": "sh", "c": "ch", "ch": "ch"},
+    "he": {"ḥ": "kh", "ḵ": "kh", "š": "sh", "ṣ": "ts", "ʿ": "", "ʾ": ""},
+    "fa": {"š": "sh", "č": "ch", "ž": "zh", "x": "kh", "ā": "â"},
+}
 
 
 @cache

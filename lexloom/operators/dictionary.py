@@ -13,17 +13,20 @@ from lexloom.operators.forms import gender
 
 # Parts of speech, labels and genders that records are held against.
 INCLUDED_POS = (
-    "noun verb adj adv prep conj pron det intj num particle affix prefix suffix phrase name article contraction postp "
-    "ambiposition circumpos infix interfix circumfix combining_form root proverb prep_phrase adv_phrase classifier counter "
-    "preverb converb adj_noun adj_verb adnominal"
-).split()
+    "noun", "verb", "adj", "adv", "prep", "conj", "pron", "det", "intj", "num", "particle", "affix", "prefix",
+    "suffix", "phrase", "name", "article", "contraction", "postp", "ambiposition", "circumpos", "infix",
+    "interfix", "circumfix", "combining_form", "root", "proverb", "prep_phrase", "adv_phrase", "classifier",
+    "counter", "preverb", "converb", "adj_noun", "adj_verb", "adnominal",
+)
 SENSE_TAGS = (
-    "formal informal colloquial literary archaic dated rare vulgar slang figurative transitive intransitive obsolete "
-    "nonstandard dialectal regional misspelling historical poetic humorous offensive derogatory Early Old-Latin "
-    "Classical-Latin Late-Latin Medieval-Latin New-Latin Ecclesiastical-Latin reflexive impersonal ditransitive countable "
-    "uncountable usually-plural plural-only singular-only figuratively plural-normally ambitransitive familiar invariable "
-    "emphatic intensifier idiomatic"
-).split()
+    "formal", "informal", "colloquial", "literary", "archaic", "dated", "rare", "vulgar", "slang",
+    "figurative", "transitive", "intransitive", "obsolete", "nonstandard", "dialectal", "regional",
+    "misspelling", "historical", "poetic", "humorous", "offensive", "derogatory", "Early", "Old-Latin",
+    "Classical-Latin", "Late-Latin", "Medieval-Latin", "New-Latin", "Ecclesiastical-Latin", "reflexive",
+    "impersonal", "ditransitive", "countable", "uncountable", "usually-plural", "plural-only",
+    "singular-only", "figuratively", "plural-normally", "ambitransitive", "familiar", "invariable",
+    "emphatic", "intensifier", "idiomatic",
+)
 GENDER_TAGS = {"masculine": "m", "feminine": "f", "neuter": "n", "common-gender": "c"}
 VALID_GENDERS = ("m", "f", "n", "c", "m-f", "mf", "m-p", "f-p", "n-p")
 INHERITANCE = ("inh", "inherited", "bor", "borrowed", "der", "derived")
