@@ -1,5 +1,9 @@
 """All search stages on entries written by hand."""
 
+import random
+import re
+import unicodedata
+
 import pytest
 
 from lexloom.operators import word_search as s
@@ -69,3 +73,67 @@ def test_absent_columns_and_empty_tables(spark, tmp_path):
     assert [r.word for r in s.search(bare, asked, str(tmp_path)).orderBy("rank").collect()] == ["fer", "Fer", "chemin de fer"]
     assert s.search(bare.limit(0), asked, str(tmp_path)).count() == 0
     assert s.search(bare, asked.limit(0), str(tmp_path)).count() == 0
+
+
+def _plain(text):
+    return "".join(c for c in unicodedata.normalize("NFD", text.lower()) if unicodedata.category(c) != "Mn")
+
+
+def _split(text):
+    return re.findall(r"[^\W_]+", text)
+
+
+def _brute(entries, q):
+    """The stages one after the other over a dict, as a reader of their table would do them; no sounds or romanised words."""
+    key, seen, hits = q.strip().lower(), {}, 0
+    spoken, terms = _split(key), _split(_plain(key))
+    if not terms:
+        return []
+    typed = terms[:-1] if len(terms) > 1 and len(terms[-1]) < 2 else terms
+    entries = sorted(entries)
+
+    def held(text):
+        words = _split(_plain(text))
+        return all(x in words for x in typed[:-1]) and any(w.startswith(typed[-1]) for w in words)
+
+    def put(e, quality, stage, adds_only=False):
+        k = e[2], e[3]
+        if k not in seen or (not adds_only and quality < seen[k][0]):
+            seen[k] = (0 if stage == s.WORD and e[2].lower() == key else quality, stage, e)
+
+    for e in entries:
+        if e[2].lower() == key:
+            put(e, 0, s.EXACT)
+    for e in sorted(entries, key=lambda e: (-e[4], e[0])):
+        if key in [f.lower() for f in e[5] or []]:
+            put(e, 5, s.INFLECTED, True)
+    for stage, quality, text in ((s.WORD, 10, lambda e: e[2]), (s.FORMS, 20, lambda e: " ".join(e[5] or [])), (s.GLOSS, 40, lambda e: " ".join(g for g in e[6] or [] if g))):
+        rows = [e for e in entries if held(text(e))][:50]
+        hits += len(rows) if stage == s.WORD else 0
+        for e in rows:
+            put(e, quality, stage)
+    usable = [x for x in spoken if len(x) >= 3]
+    if hits < 5 and usable:
+        for e in [e for e in entries if all(x in e[2].lower() for x in usable)][:50]:
+            put(e, 50, s.PART, True)
+    words = {}
+    for quality, stage, e in seen.values():
+        if e[2] not in words or (quality, -e[4]) < (words[e[2]][0], -words[e[2]][2][4]):
+            words[e[2]] = (quality, stage, e)
+    place = lambda e: next((i for i, g in enumerate(x for x in e[6] or [] if x) if key in g.lower()), s.NO_GLOSS)
+    order = lambda x: (x[0], place(x[2]) if x[0] == 40 else 0, x[2][3] == "name", x[2][2][0] != x[2][2][0].lower(), -x[2][4], len(x[2][2]))
+    return [(e[2], e[0], quality, stage) for quality, stage, e in sorted(words.values(), key=order)[:50]]
+
+
+def test_equals_the_stages_one_by_one(spark, tmp_path):
+    rng = random.Random(5)
+    word = lambda: "".join(rng.choice("aàbcd") for _ in range(rng.randint(1, 6)))
+    texts = lambda n: [" ".join(word() for _ in range(rng.randint(1, 3))) for _ in range(rng.randint(0, n))] or None
+    entries = [(i, "fr", rng.choice([word(), word().title(), word() + " " + word()]), rng.choice(["noun", "verb", "name"]), float(rng.randint(1, 5)), texts(3), texts(3), None) for i in range(400)]
+    queries = {word() for _ in range(40)} | {word() + " " + word() for _ in range(20)} | {"a", "b", "à", "Ab", "ab a", "cd-ab", " abc "} | {e[2] for e in entries[:15]}
+    asked = spark.createDataFrame([(q, "fr") for q in sorted(queries)], "q string, lang string")
+    rows = s.search(spark.createDataFrame(entries, SCHEMA), asked, str(tmp_path)).orderBy("rank").collect()
+    got = {q: [(r.word, r.id, r.quality, r.stage) for r in rows if r.q == q] for q in queries}
+    assert {x[3] for found in got.values() for x in found} == {s.EXACT, s.INFLECTED, s.WORD, s.FORMS, s.GLOSS, s.PART}
+    for q in sorted(queries):
+        assert (q, got[q]) == (q, _brute(entries, q))
