@@ -21,6 +21,8 @@ ENTRIES = [
     (9, "fr", "chemin de fer", "noun", 4.0, None, ["railway"], None),
     (10, "fr", "Fer", "name", 9.0, None, ["a name"], None),
     (11, "fr", "fer", "noun", 5.0, None, ["iron"], None),
+    (12, "ja", "カメラ", "noun", 3.0, None, ["camera"], None),
+    (13, "hi", "शांति", "noun", 3.0, None, ["peace"], ["śānti"]),
 ]
 SCHEMA = "id long, lang string, word string, pos string, freq double, forms array<string>, glosses array<string>, romanizations array<string>"
 
@@ -28,7 +30,7 @@ SCHEMA = "id long, lang string, word string, pos string, freq double, forms arra
 @pytest.fixture(scope="module")
 def found(spark, tmp_path_factory):
     folder, entries = str(tmp_path_factory.mktemp("search")), spark.createDataFrame(ENTRIES, SCHEMA)
-    texts = [("suis", "fr"), ("etre", "fr"), ("being", "fr"), ("omme", "fr"), ("chemin de f", "fr"), ("chemin fe", "fr"), ("fer", "fr"), ("spiti", "el"), ("σπίτι", "el"), ("suis", "el"), ("!", "fr"), (None, "fr"), ("suis", "fr")]
+    texts = [("suis", "fr"), ("etre", "fr"), ("being", "fr"), ("omme", "fr"), ("chemin de f", "fr"), ("chemin fe", "fr"), ("fer", "fr"), ("spiti", "el"), ("σπίτι", "el"), ("suis", "el"), ("かめら", "ja"), ("śānti", "hi"), ("shānti", "hi"), ("shā", "hi"), ("!", "fr"), (None, "fr"), ("suis", "fr")]
     rows = s.search(entries, spark.createDataFrame(texts, "q string, lang string"), folder).collect()
     return {(q, lang): [(r.word, r.quality, r.stage) for r in sorted(rows, key=lambda r: r["rank"]) if (r.q, r.lang) == (q, lang)] for q, lang in {(r.q, r.lang) for r in rows}}
 
@@ -63,6 +65,13 @@ def test_sounds_and_romanised_words(found):
     assert found["spiti", "el"] == [("σπίτι", 5, s.SOUND), ("σπιτικός", 40, s.SOUND_PREFIX)]
 
 
+def test_aliases_and_romanised_spellings(found):
+    assert found["かめら", "ja"] == [("カメラ", 5, s.ALIAS)]
+    assert found["śānti", "hi"] == [("शांति", 5, s.ROMAN)]
+    assert found["shānti", "hi"] == [("शांति", 6, s.ROMAN)]
+    assert found["shā", "hi"] == [("शांति", 40, s.ROMAN_PREFIX)]
+
+
 def test_other_languages_and_empty_queries_find_nothing(found):
     assert not {("suis", "el"), ("!", "fr"), (None, "fr")} & set(found)
 
