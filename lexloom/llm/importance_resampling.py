@@ -26,23 +26,23 @@ from pyspark.sql import functions as F
 
 from lexloom.llm.common import Tables, documents
 
-#: Everything but digits, letters of a-z and characters beyond ASCII, once A-Z are lower-cased.
-GAP = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+#: Everything but digits, ASCII letters and characters beyond ASCII; A-Z are lower-cased in the words.
+GAP = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 ORDERS, BUCKETS = 3, 10_000
 SEED, PERCENT, MIN_WORDS = "42", 5, 20
 
 
 def numbered(df: DataFrame, tables: Tables, id_col: str, text_col: str) -> DataFrame:
-    """(doc_id, variant, copies, text): rows told apart by (doc_id, variant), equal rows counted.
+    """(doc_id, text), with (variant, copies) if ids are null or stand more than once.
 
-    Ids that stand once, the usual case, need no variant; only rows of other ids are grouped by text.
+    (doc_id, variant) then tells rows apart and equal rows are counted; only rows of such ids are grouped by text.
     """
     rows = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    whole = rows.select("doc_id", F.lit(None).cast("string").alias("variant"), F.lit(1).cast("long").alias("copies"), "text")
     shared = rows.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1 or doc_id is null").select("doc_id")
     if not shared.limit(1).count():
-        return whole
+        return rows
+    whole = rows.select("doc_id", F.lit(None).cast("string").alias("variant"), F.lit(1).cast("long").alias("copies"), "text")
     shared = tables.write(shared).withColumnRenamed("doc_id", "_shared")
     same = F.col("doc_id").eqNullSafe(F.col("_shared"))
     again = rows.join(shared, same, "left_semi").groupBy("doc_id", "text").agg(F.count("*").alias("copies"))
@@ -57,19 +57,24 @@ def bucket(*words: Column) -> Column:
 
 def position_table(rows: DataFrame) -> DataFrame:
     """(doc_id, variant, copies, b1, b2, b3): one row a word at least one a document; nulls where no n-gram begins."""
-    lowered = F.translate(F.coalesce("text", F.lit("")), UPPER, LOWER)
-    dealt = rows.repartition("doc_id", "variant")
-    words = dealt.select("doc_id", "variant", "copies", F.posexplode(F.split(lowered, GAP)).alias("place", "word"))
-    by_place = Window.partitionBy("doc_id", "variant").orderBy("place")
-    words = words.withColumns({f"next{k}": F.lead("word", k).over(by_place) for k in range(1, ORDERS)})
+    by = [c for c in ("doc_id", "variant") if c in rows.columns]
+    own = [c for c in ("doc_id", "variant", "copies") if c in rows.columns]
+    split = F.split(F.coalesce("text", F.lit("")), GAP)
+    words = rows.repartition(*by).select(*own, F.posexplode(split).alias("place", "word"))
+    # Of ASCII words ``lower`` lowers A-Z alone, and faster.
+    lowered = F.when(F.octet_length("word") == F.length("word"), F.lower("word")).otherwise(F.translate("word", UPPER, LOWER))
+    by_place = Window.partitionBy(*by).orderBy("place")
+    words = words.withColumn("word", lowered).withColumns({f"next{k}": F.lead("word", k).over(by_place) for k in range(1, ORDERS)})
     # Splitting leaves an empty string at either end only.
     names = ["word", *(f"next{k}" for k in range(1, ORDERS))]
-    found = {}
+    found = {"doc_id": F.col("doc_id")}
+    found["variant"] = F.col("variant") if "variant" in own else F.lit(None).cast("string")
+    found["copies"] = F.col("copies") if "copies" in own else F.lit(1).cast("long")
     for order in range(1, ORDERS + 1):
         parts = [F.col(n) for n in names[:order]]
         there = parts[0] != "" if order == 1 else (parts[0] != "") & (parts[-1] != "")
         found[f"b{order}"] = F.when(there, bucket(*parts))
-    return words.select("doc_id", "variant", "copies", *(c.alias(n) for n, c in found.items()))
+    return words.select(*(c.alias(n) for n, c in found.items()))
 
 
 def bucket_counts(places: DataFrame, name: str) -> DataFrame:
