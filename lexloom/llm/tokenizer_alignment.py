@@ -55,13 +55,13 @@ _packer, _unpacker = zstandard.ZstdCompressor(level=3), zstandard.ZstdDecompress
 
 def pack(values: np.ndarray, kind: str = "<u4") -> bytes:
     """Compressed integers; bytes of equal weight stand together."""
-    planes = np.ascontiguousarray(values.astype(kind)).view(np.uint8).reshape(len(values), -1).T
+    planes = np.ascontiguousarray(values.astype(kind)).view(np.uint8).reshape(len(values), np.dtype(kind).itemsize).T
     return _packer.compress(np.ascontiguousarray(planes).tobytes())
 
 
 def unpack(data: bytes, kind: str = "<u4") -> np.ndarray:
     raw = np.frombuffer(_unpacker.decompress(data), np.uint8)
-    return np.ascontiguousarray(raw.reshape(np.dtype(kind).itemsize, -1).T).view(kind).ravel().astype(np.int64)
+    return np.ascontiguousarray(raw.reshape(np.dtype(kind).itemsize, len(raw) // np.dtype(kind).itemsize).T).view(kind).ravel().astype(np.int64)
 
 
 def ranges(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
