@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from lexloom.functions import text as t
 from lexloom.operators import audit, dedup, forms, index, links, readings, search, verbs, word_search
+from lexloom.operators.index_tables import lexicon_index
 from lexloom.plans import lexicon as lx
 from lexloom.session import checkpoint_dir, table
 from lexloom.sources import jsonl, sinks
@@ -154,7 +155,7 @@ def form_lookup_build(spark, sf):
 )
 def reverse_form_lookup(spark, sf):
     asked = lx.query_words(table(spark, sf, "benchmark")).select("q", t.strip_diacritics(F.col("q")).alias("form_key"))
-    found = index.form_lookup(lx.token_rows(_docs(spark, sf))).join(asked, "form_key").select("q", "doc_id")
+    found = lexicon_index(_docs(spark, sf))["form_lookup"].lookup(asked, "form_key").select("q", "doc_id")
     return found.join(_docs(spark, sf).select("doc_id", "source"), "doc_id").select("q", "doc_id", "source")
 
 
@@ -193,9 +194,11 @@ SELECT item_id, doc_id FROM (SELECT *, row_number() OVER (PARTITION BY item_id O
 def fts_prefix_and(spark, sf):
     words = t.tokens(F.col("text"))
     asked = table(spark, sf, "benchmark").select("item_id", F.get(words, 0).alias("a"), F.substring(F.get(words, 1), 1, 3).alias("b")).where("b is not null")
-    postings = lx.token_rows(_docs(spark, sf)).select("doc_id", "w").distinct()
-    whole = asked.join(postings.withColumnRenamed("w", "a"), "a").select("item_id", "doc_id", "b")
-    heads = postings.select("doc_id", F.explode(F.transform(F.sequence(F.lit(1), F.least(F.lit(3), F.length("w"))), lambda i: F.substring(F.col("w"), F.lit(1), i))).alias("b")).distinct()
+    found = lexicon_index(_docs(spark, sf))
+    whole = found["postings"].lookup(asked, "a").select("item_id", "doc_id", "b")
+    starts = asked.select("b", t.strip_diacritics(F.col("b")).alias("head")).distinct()
+    begun = found["heads"].lookup(starts, "head").where(F.col("w").startswith(F.col("b"))).select("b", "w").distinct()
+    heads = found["postings"].lookup(begun, "w").select("b", "doc_id").distinct()
     both = whole.join(heads, ["doc_id", "b"]).select("item_id", "doc_id").distinct()
     return index.capped_postings(both, ["item_id"], [F.col("doc_id")], 50).select("item_id", "doc_id")
 
@@ -242,7 +245,7 @@ kept AS (SELECT *, row_number() OVER (PARTITION BY lang, prefix ORDER BY id) AS
 SELECT lang, prefix, string_agg(id::VARCHAR, ',' ORDER BY id) AS ids FROM kept WHERE r <= 200 GROUP BY ALL"""
 )
 def prefix_index_200(spark, sf):
-    return index.prefix_index(lx.lexicon(_docs(spark, sf))).select("lang", "prefix", F.array_join(F.col("ids").cast("array<string>"), ",").alias("ids"))
+    return lexicon_index(_docs(spark, sf))["prefixes"].rows().select("lang", "prefix", F.array_join(F.col("ids").cast("array<string>"), ",").alias("ids"))
 
 
 _STOPS = ", ".join("'" + w.replace("'", "''") + "'" for w in t.GLOSS_STOP_WORDS)
@@ -271,8 +274,7 @@ kept AS (SELECT id, prefix, row_number() OVER (PARTITION BY prefix ORDER BY id)
 
 
 def _whole_index(spark, sf):
-    lex = lx.entries(_docs(spark, sf)).select(F.lit("*").alias("lang"), "w", F.col("gid").alias("id"))
-    return index.prefix_index(lex).select("prefix", "ids")
+    return lexicon_index(_docs(spark, sf))["all_prefixes"].rows()
 
 
 @query(
@@ -301,6 +303,23 @@ def bucket_union_search(spark, sf):
     return search.bucket_union(_whole_index(spark, sf), asked).withColumn("place", F.col("place").cast("long"))
 
 
+@query(
+    f"""WITH {_LEX}
+SELECT lang, count(*) AS words, sum(n)::BIGINT AS tokens, max(freq) AS top FROM lex GROUP BY lang"""
+)
+def index_metadata(spark, sf):
+    return lexicon_index(_docs(spark, sf))["metadata"].rows()
+
+
+@query(
+    f"""WITH {_LEX}, f AS (SELECT gid, strip_accents(w) AS f FROM lex WHERE length(strip_accents(w)) >= 3)
+SELECT gram, count(*) AS words, min(gid) AS first FROM (SELECT DISTINCT gid, substr(f, k, 3) AS gram FROM f, unnest(range(1, length(f) - 1)) u(k)) GROUP BY gram"""
+)
+def index_trigrams(spark, sf):
+    grams = lexicon_index(_docs(spark, sf))["trigrams"].rows()
+    return grams.groupBy("gram").agg(F.count("*").alias("words"), F.min("gid").alias("first"))
+
+
 # --- staged search --------------------------------------------------------------------------
 
 _STAGES = f"""{_LEX}, {_QUERIES},
@@ -323,7 +342,7 @@ matches AS (
 
 @query(f"WITH {_STAGES} SELECT q, w, lang, quality, first_stage FROM matches")
 def search_stage_union(spark, sf):
-    found = search.staged_search(lx.entries(_docs(spark, sf)), lx.query_words(table(spark, sf, "benchmark")))
+    found = search.indexed_search(lexicon_index(_docs(spark, sf)), lx.query_words(table(spark, sf, "benchmark")))
     return found.select("q", "w", "lang", "quality", "first_stage")
 
 
@@ -336,7 +355,7 @@ ranked AS (
 SELECT q, rank, w, lang, quality, freq FROM ranked WHERE rank <= 50"""
 )
 def search_rank_top50(spark, sf):
-    found = search.staged_search(lx.entries(_docs(spark, sf)), lx.query_words(table(spark, sf, "benchmark")))
+    found = search.indexed_search(lexicon_index(_docs(spark, sf)), lx.query_words(table(spark, sf, "benchmark")))
     return search.rank_matches(found).select("q", F.col("rank").cast("long").alias("rank"), "w", "lang", "quality", "freq")
 
 
@@ -349,7 +368,8 @@ SELECT q, id, quality FROM joined QUALIFY row_number() OVER (PARTITION BY q ORDE
 )
 def conj_search_rank(spark, sf):
     asked = lx.query_words(table(spark, sf, "benchmark"))
-    native = lx.token_rows(_docs(spark, sf)).select("doc_id", F.col("w").alias("q")).join(asked, "q").select("q", F.col("doc_id").alias("id"), F.lit(0).alias("quality")).distinct()
+    postings = lexicon_index(_docs(spark, sf))["postings"].lookup(asked.select("q", F.col("q").alias("key")), "key")
+    native = postings.select("q", F.col("doc_id").alias("id"), F.lit(0).alias("quality"))
     keyed = asked.where(F.length("q") >= 3).select("q", F.substring("q", 1, 3).alias("key"))
     parts = table(spark, sf, "part").select(F.col("p_partkey").alias("id"), F.lower("p_name").alias("name"))
     gloss = search.substring_matches(parts, keyed, "name").select("q", "id", F.lit(3).alias("quality")).distinct()
@@ -367,9 +387,10 @@ tiers AS (
 SELECT q, w, lang, tier FROM tiers QUALIFY tier = min(tier) OVER (PARTITION BY q)"""
 )
 def getword_cascade(spark, sf):
-    lex = lx.token_totals(_docs(spark, sf)).select("lang", "w", t.strip_diacritics(F.col("w")).alias("f"))
+    found = lexicon_index(_docs(spark, sf))
     asked = lx.query_words(table(spark, sf, "benchmark")).select("q", F.concat(F.upper(F.substring("q", 1, 1)), F.expr("substr(q, 2)")).alias("shown"), t.strip_diacritics(F.col("q")).alias("key"))
-    tiers = [asked.join(lex, on).select("q", "w", "lang") for on in (asked["shown"] == lex["w"], asked["q"] == lex["w"], asked["key"] == lex["f"])]
+    asked = asked.withColumn("same", F.col("q"))
+    tiers = [found[name].lookup(asked.select("q", key), key).select("q", "w", "lang") for name, key in (("words", "shown"), ("words", "same"), ("forms", "key"))]
     return search.cascade(tiers, "q").select("q", "w", "lang", "tier")
 
 

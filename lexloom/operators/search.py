@@ -6,12 +6,15 @@ first characters or on a trigram, so neither the vocabulary nor the batch is bro
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from lexloom.functions import text as t
 from lexloom.operators.index import trigrams
+from lexloom.sources.versions import Table
 
 LIMIT = 50
 
@@ -44,18 +47,40 @@ def staged_search(entries: DataFrame, queries: DataFrame) -> DataFrame:
     """
     words = entries.select("w", "lang", "freq", "gid", t.strip_diacritics(F.col("w")).alias("f"))
     keyed = queries.select("q", t.strip_diacritics(F.lower("q")).alias("key"))
-    exact = words.join(queries, words["w"] == queries["q"]).select("q", "w", "lang", "freq", "gid", F.lit(1).alias("stage"), F.lit(0).alias("quality"))
-    form = words.join(keyed, words["f"] == keyed["key"]).select("q", "w", "lang", "freq", "gid", F.lit(2).alias("stage"), F.lit(5).alias("quality"))
-    prefix = _first(prefix_matches(words, keyed, "f"), LIMIT, "gid")
+    exact = words.join(queries.withColumn("w", F.col("q")), "w")
+    form = words.join(keyed.withColumnRenamed("key", "f"), "f")
+    return _staged(exact, form, prefix_matches(words, keyed, "f"), lambda few: substring_matches(words, few, "f"), keyed)
+
+
+def indexed_search(tables: dict[str, Table], queries: DataFrame) -> DataFrame:
+    """``staged_search`` over the published tables of ``index_tables``."""
+    keyed = queries.select("q", t.strip_diacritics(F.lower("q")).alias("key"))
+    exact = tables["words"].lookup(queries.select("q", F.col("q").alias("key")), "key")
+    form = tables["forms"].lookup(keyed, "key")
+    begun = keyed.where("key <> ''").select("q", "key", F.substring("key", 1, 3).alias("head"))
+    prefix = tables["heads"].lookup(begun, "head").where(F.col("f").startswith(F.col("key")))
+
+    def part(few: DataFrame) -> DataFrame:
+        asked = few.where(F.length("key") >= 3).select("q", "key", F.substring("key", 1, 3).alias("gram"))
+        return tables["trigrams"].lookup(asked, "gram").where(F.col("f").contains(F.col("key")))
+
+    return _staged(exact, form, prefix, part, keyed)
+
+
+def _staged(exact: DataFrame, form: DataFrame, prefix: DataFrame, part: Callable[[DataFrame], DataFrame], keyed: DataFrame) -> DataFrame:
+    of = ("q", "w", "lang", "freq", "gid")
+    exact = exact.select(*of, F.lit(1).alias("stage"), F.lit(0).alias("quality"))
+    form = form.select(*of, F.lit(2).alias("stage"), F.lit(5).alias("quality"))
+    prefix = _first(prefix, LIMIT, "gid")
     hits = prefix.groupBy("q").agg(F.count("*").alias("hits"))
-    prefix = prefix.select("q", "w", "lang", "freq", "gid", F.lit(4).alias("stage"), F.when(F.col("w") == F.col("q"), 0).otherwise(10).alias("quality"))
+    prefix = prefix.select(*of, F.lit(4).alias("stage"), F.when(F.col("w") == F.col("q"), 0).otherwise(10).alias("quality"))
     few = keyed.join(hits, "q", "left").where(F.coalesce("hits", F.lit(0)) < 5).drop("hits")
-    part = _first(substring_matches(words, few, "f"), LIMIT, "gid").select("q", "w", "lang", "freq", "gid", F.lit(6).alias("stage"), F.lit(50).alias("quality"))
-    rows = exact.unionByName(form).unionByName(prefix).unionByName(part)
+    found = _first(part(few), LIMIT, "gid").select(*of, F.lit(6).alias("stage"), F.lit(50).alias("quality"))
+    rows = exact.unionByName(form).unionByName(prefix).unionByName(found)
     key = W.partitionBy("q", "w", "lang")
     rows = rows.withColumn("first_stage", F.min("stage").over(key)).where("stage not in (2, 6) or stage = first_stage")
     best = F.row_number().over(key.orderBy("quality", "stage"))
-    return rows.withColumn("b", best).where("b = 1").select("q", "w", "lang", "freq", "gid", "quality", "first_stage")
+    return rows.withColumn("b", best).where("b = 1").select(*of, "quality", "first_stage")
 
 
 def rank_matches(matches: DataFrame, limit: int = LIMIT) -> DataFrame:
