@@ -8,10 +8,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from lexloom.functions import normal
 from lexloom.functions import text as t
-from lexloom.operators import audit, dedup, forms, index, links, readings, search, verbs, word_search
+from lexloom.operators import audit, conjugation, dedup, forms, index, links, readings, search, verbs, word_search
 from lexloom.operators.index_tables import lexicon_index
 from lexloom.plans import lexicon as lx
+from lexloom.plans import paradigms
 from lexloom.session import checkpoint_dir, table
 from lexloom.sources import jsonl, sinks
 from lexloom.streaming.ingest import stream_distinct
@@ -320,6 +322,123 @@ def index_trigrams(spark, sf):
     return grams.groupBy("gram").agg(F.count("*").alias("words"), F.min("gid").alias("first"))
 
 
+# --- verb tables ----------------------------------------------------------------------------
+
+# Twenty parts in a row stand for a verb's table: their names are the forms, their sizes the person, number and markers.
+_BLOCKS = """parts AS (
+  SELECT p_partkey // 20 AS verb, p_partkey AS place, split_part(lower(p_name), ' ', 1) AS a, split_part(lower(p_name), ' ', 2) AS b, p_size AS n FROM part WHERE p_name IS NOT NULL AND p_size IS NOT NULL),
+persons(k, person, number) AS (VALUES (0, 'first-person', 'singular'), (1, 'second-person', 'singular'), (2, 'third-person', 'singular'), (3, 'first-person', 'plural'), (4, 'second-person', 'plural'), (5, 'third-person', 'plural'))"""
+
+
+def _verb_blocks(spark, sf, form, tags):
+    """(verb, _forms): the parts of a block as forms, in order."""
+    parts = table(spark, sf, "part").where("p_name is not null and p_size is not null").select(
+        F.floor(F.col("p_partkey") / 20).cast("long").alias("verb"), F.col("p_partkey").alias("place"),
+        F.split_part(F.lower("p_name"), F.lit(" "), F.lit(1)).alias("a"), F.split_part(F.lower("p_name"), F.lit(" "), F.lit(2)).alias("b"), F.col("p_size").alias("n"),
+    )
+    of = F.struct("place", form.alias("form"), F.array_sort(tags).alias("tags"), F.lit("conjugation").alias("source"))
+    rows = parts.groupBy("verb").agg(F.array_sort(F.collect_list(of)).alias("x"))
+    return rows.select("verb", F.transform("x", lambda f: F.struct(f["form"].alias("form"), f["tags"].alias("tags"), f["source"].alias("source"))).alias("_forms"))
+
+
+def _person(n):
+    names = F.array(*[F.array(F.lit(p), F.lit(k)) for p, k in conjugation.SIX])
+    return F.get(names, (n % 6).cast("int"))
+
+
+@query(
+    f"""WITH {_BLOCKS},
+hits AS (
+  SELECT verb, k, CASE WHEN n % 7 = 0 THEN '[' || a || ']' ELSE a END AS form, min(place) AS place
+  FROM parts JOIN persons ON n % 6 = k WHERE n % 11 <> 0 GROUP BY ALL)
+SELECT verb, k, string_agg(form, '/' ORDER BY place) AS cell FROM hits GROUP BY verb, k"""
+)
+def conjugation_cells(spark, sf):
+    n = F.col("n")
+    extra = F.concat(F.when(n % 7 == 0, F.array(F.lit("archaic"))).otherwise(F.array().cast("array<string>")), F.when(n % 11 == 0, F.array(F.lit("proscribed"))).otherwise(F.array().cast("array<string>")))
+    tags = F.concat(_person(n), F.array(F.lit("present"), F.lit("indicative")), extra)
+    found = conjugation.by_tense(conjugation.cells(F.col("_forms"), "pt"), "pt")
+    at = [t.name for t in paradigms.tenses("pt")].index("pt_indic_pres")
+    rows = _verb_blocks(spark, sf, F.col("a"), tags).select("verb", F.posexplode(F.get(found, at)).alias("k", "cell"))
+    return rows.where("cell <> ''").select("verb", F.col("k").cast("long").alias("k"), "cell")
+
+
+@query(
+    f"""WITH {_BLOCKS}, sum_(k, auxiliary) AS (VALUES (0, 'sum'), (1, 'es'), (2, 'est'), (3, 'sumus'), (4, 'estis'), (5, 'sunt')),
+genders(gender, one, many) AS (VALUES ('masculine', 'us', 'ī'), ('feminine', 'a', 'ae'), ('neuter', 'um', 'a')),
+made AS (
+  SELECT verb, a || CASE WHEN number = 'singular' THEN one ELSE many END || ' ' || auxiliary || ' (' || gender || ')' AS form
+  FROM parts, persons JOIN sum_ USING (k), genders WHERE (n % 3 = 0 AND n % 6 = k) OR n % 3 = 1)
+SELECT verb, form, count(*) AS n FROM made GROUP BY ALL"""
+)
+def latin_compounds(spark, sf):
+    n = F.col("n")
+    text = F.concat("a", F.lit("us"), F.when(n % 3 == 2, "").otherwise(" + present active indicative of sum"))
+    tags = F.concat(F.array(F.lit("indicative"), F.lit("perfect"), F.lit("passive")), F.when(n % 3 == 0, _person(n)).otherwise(F.array().cast("array<string>")))
+    made = conjugation.latin_forms(F.col("_forms"), F.lit("amo"))
+    rows = _verb_blocks(spark, sf, text, tags).select("verb", F.explode(made).alias("f"))
+    return rows.where(F.array_contains("f.tags", "multiword-construction")).groupBy("verb", "f.form").agg(F.count("*").alias("n"))
+
+
+@query(
+    f"""WITH {_BLOCKS}, said AS (SELECT *, CASE WHEN n % 5 = 0 THEN (b < 'm')::INT WHEN n % 7 = 0 THEN 0 END AS event FROM parts),
+state AS (SELECT *, coalesce(last_value(event IGNORE NULLS) OVER (PARTITION BY verb ORDER BY place ROWS UNBOUNDED PRECEDING), 0) AS up FROM said)
+SELECT verb, string_agg(a, ' ' ORDER BY place) AS kept FROM state WHERE up = 0 GROUP BY verb"""
+)
+def flagged_forms(spark, sf):
+    n = F.col("n")
+    text = F.concat_ws(" ", "a", "b")
+    tags = F.when(n % 5 == 0, F.array(F.lit("inflection-template"))).when(n % 7 == 0, F.array(F.lit("table-tags"))).otherwise(F.array().cast("array<string>"))
+    sets = lambda f: F.when(F.array_contains(f["tags"], "inflection-template"), F.split_part(f["form"], F.lit(" "), F.lit(2)) < "m")
+    kept = conjugation.without_flagged(F.col("_forms"), sets, lambda f: F.array_contains(f["tags"], "table-tags"))
+    words = F.array_join(F.transform(kept, lambda f: F.split_part(f["form"], F.lit(" "), F.lit(1))), " ")
+    return _verb_blocks(spark, sf, text, tags).select("verb", words.alias("kept")).where("kept <> ''")
+
+
+@query(
+    f"""WITH {_BLOCKS}, auxiliaries(k, auxiliary) AS (VALUES (0, 'vaig'), (1, 'vas'), (1, 'vares'), (2, 'va'), (3, 'vam'), (3, 'vàrem'), (4, 'vau'), (4, 'vàreu'), (5, 'van'), (5, 'varen')),
+first AS (SELECT verb, arg_min(a, place) AS word, min(place) AS opens FROM parts GROUP BY verb),
+own AS (SELECT verb, word FROM first WHERE word ~ '^[a-z]+$'),
+past AS (SELECT DISTINCT p.verb, n % 6 AS k FROM parts p JOIN first f USING (verb) WHERE place > opens AND n % 2 = 0 AND a ~ '^[a-z]+$')
+SELECT verb, auxiliary || ' ' || word AS form FROM own JOIN past USING (verb) JOIN auxiliaries USING (k)"""
+)
+def catalan_past(spark, sf):
+    # The first part's name is the infinitive, those of even size are preterites.
+    n = F.col("n")
+    tags = F.when(n % 2 == 0, F.concat(_person(n), F.array(F.lit("preterite"), F.lit("indicative")))).otherwise(F.array(F.lit("gerund")))
+    blocks = _verb_blocks(spark, sf, F.col("a"), tags)
+    named = blocks.withColumn("_forms", F.transform("_forms", lambda f, i: F.when(i == 0, F.struct(f["form"].alias("form"), F.array(F.lit("infinitive")).alias("tags"), f["source"].alias("source"))).otherwise(f)))
+    made = conjugation.catalan_forms(F.col("_forms"), F.get("_forms", 0)["form"])
+    rows = named.select("verb", F.explode(made).alias("f")).where(F.array_contains("f.tags", "periphrastic"))
+    return rows.select("verb", "f.form").distinct()
+
+
+@query(
+    f"""WITH {_LEX},
+pairs AS (
+  SELECT x.lang, x.w AS common, y.w AS formal FROM lex x JOIN lex y ON x.lang = y.lang AND ends_with(x.w, 't') AND length(x.w) > 1
+    AND (y.w = left(x.w, length(x.w) - 1) || 'et' OR (ends_with(x.w, 'st') AND length(x.w) > 2 AND y.w = left(x.w, length(x.w) - 2) || 'est')))
+SELECT lang, common, formal, common || '/{{' || formal || '}}' AS cell FROM pairs"""
+)
+def full_endings(spark, sf):
+    # Pairs of words of a language that differ in a full ending meet by the stem; the operator tells which is formal.
+    words = lexicon_index(_docs(spark, sf))["lexicon"].rows().select("lang", "w")
+    stems = F.array(*[F.when(F.col("w").endswith(e) & (F.length("w") > len(e)), F.concat(F.lit(f"{end}:"), F.expr(f"left(w, length(w) - {len(e)})"))) for ends in conjugation.FULL_ENDINGS for e in ends for end in (ends[0],)])
+    keyed = words.select("lang", "w", F.explode(F.array_distinct(F.filter(stems, lambda x: x.isNotNull()))).alias("stem"))
+    both = keyed.alias("x").join(keyed.alias("y"), ["lang", "stem"]).where("x.w < y.w").select("lang", F.col("x.w").alias("a"), F.col("y.w").alias("b")).distinct()
+    cell = both.select("lang", "a", "b", conjugation.german_cell(F.array("a", "b")).alias("c")).where(F.get("c", 1).startswith("{"))
+    formal = F.btrim(F.get("c", 1), F.lit("{}"))
+    return cell.select("lang", F.get("c", 0).alias("common"), formal.alias("formal"), F.array_join("c", "/").alias("cell"))
+
+
+@query(f"WITH {_LEX} SELECT lang, w, nfc_normalize(w) AS composed, nfc_normalize(lower(w)) AS key FROM lex")
+def composed_words(spark, sf):
+    # Words are decomposed first, so that every letter with a mark is composed anew.
+    words = lexicon_index(_docs(spark, sf))["lexicon"].rows().select("lang", "w")
+    loose = words.withColumn("loose", normal.nfd("w"))
+    return loose.select("lang", "w", normal.nfc("loose").alias("composed"), t.word_key(normal.nfc("loose"), F.col("lang")).alias("key"))
+
+
 # --- staged search --------------------------------------------------------------------------
 
 _STAGES = f"""{_LEX}, {_QUERIES},
