@@ -29,7 +29,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, DoubleType, StringType, StructField, StructType
 
-from lexloom.llm.common import Memo, documents, map_texts
+from lexloom.llm.common import BROADCAST_IDS, Memo, documents, map_texts
 
 UNKNOWN = "und"
 BUCKETS = 1 << 15
@@ -174,11 +174,14 @@ def labelled_sample(df: DataFrame, per_lang: int, id_col: str, text_col: str, la
     """
     rank = F.row_number().over(W.partitionBy("lang").orderBy(F.xxhash64("id"), "id"))
     rows = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
-    named = rows.where("lang is not null and id is not null").select("id", "lang")
+    named = rows.where("lang is not null and id is not null").select("id", "lang").distinct()
     share = (F.xxhash64("id").cast("double") + 2.0**63) / 2.0**64
     few = named.groupBy("lang").agg((F.lit(4.0 * per_lang + 100) / F.count("*")).alias("most"))
+    few = F.broadcast(few) if few.count() <= BROADCAST_IDS else few
     ids = named.join(few, "lang").where(share <= F.col("most")).withColumn("r", rank).where(F.col("r") <= per_lang)
     chosen = rows.where("lang is not null and text is not null").join(F.broadcast(ids.select("id", "lang").distinct()), ["id", "lang"], "left_semi")
+    # Of the rows of one id and language the smallest text, so that repeated ids do not swell the sample.
+    chosen = chosen.groupBy("id", "lang").agg(F.min("text").alias("text"))
 
     def make():
         def f(ids, langs, texts):

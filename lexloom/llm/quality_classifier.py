@@ -80,8 +80,10 @@ class Features:
 
     def of(self, text: str) -> tuple[np.ndarray, np.ndarray]:
         """The buckets of a text's features, and the scale of each: a family counts alike however many it has."""
-        families = grams(text), self.forms(text)
-        return np.concatenate(families), np.concatenate([np.full(len(f), 1 / np.sqrt(max(len(f), 1))) for f in families])
+        return scaled(self.families(text))
+
+    def families(self, text: str) -> tuple[np.ndarray, np.ndarray]:
+        return grams(text), self.forms(text)
 
     def forms(self, text: str) -> np.ndarray:
         words = text.split()
@@ -99,6 +101,10 @@ class Features:
         return np.fromiter(found, np.int64, len(found))
 
 
+def scaled(families: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    return np.concatenate(families), np.concatenate([np.full(len(f), 1 / np.sqrt(max(len(f), 1))) for f in families])
+
+
 @dataclass
 class Model:
     weights: np.ndarray
@@ -138,12 +144,11 @@ def dual_descent(rows: list[np.ndarray], values: list[np.ndarray], labels: np.nd
     return w, b
 
 
-def fit(texts: list[str], labels: list[int], c: float = C, epochs: int = EPOCHS, beta: float = BETA) -> Model:
+def fit(families: list[tuple[np.ndarray, np.ndarray]], labels: list[int], c: float = C, epochs: int = EPOCHS, beta: float = BETA) -> Model:
     y = np.array(labels)
     if len(set(labels)) < 2:
         return Model(np.zeros(BUCKETS), 0.0, 0.0, 0.0)
-    features = Features()
-    made = [features.of(t) for t in texts]
+    made = [scaled(f) for f in families]
     rows = [x for x, _ in made]
     ratio = log_ratios(rows, y)
     values = [ratio[x] * scale for x, scale in made]
@@ -173,11 +178,26 @@ def train(
     text_col: str = "text",
     label_col: str = "quality",
 ) -> Model:
-    chosen = bounded_sample(labels.where(F.col(label_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("y")), sample, "id")
-    # At most ``sample`` ids: small enough to broadcast, at any size of the corpus.
-    pairs = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).join(F.broadcast(chosen), "id")
-    got = sorted((r["id"], r["y"], r["text"]) for r in pairs.collect())
-    return fit([x[2] for x in got], [x[1] for x in got])
+    known = labels.where(F.col(label_col).isNotNull()).groupBy(F.col(id_col).alias("id")).agg(F.min(F.col(label_col).cast("int")).alias("y"))
+    chosen = bounded_sample(known, sample, "id")
+    # At most ``sample`` ids, one row each: small enough to broadcast, at any size of the corpus.
+    texts = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    # Of the rows of one id the smallest text. Buckets and not texts reach the driver: a bounded number a document.
+    pairs = texts.join(F.broadcast(chosen), "id").groupBy("id", "y").agg(F.min("text").alias("text"))
+
+    def make():
+        features = Features()
+
+        def f(ids, ys, texts):
+            found = [features.families(t) for t in texts]
+            return {"id": ids, "y": ys, "grams": [x[0] for x in found], "forms": [x[1] for x in found]}
+
+        return f
+
+    arrow = pa.schema([("id", pa.int64()), ("y", pa.int32()), ("grams", pa.list_(pa.int32())), ("forms", pa.list_(pa.int32()))])
+    sent = map_texts(pairs, ["id", "y", "text"], make, "id long, y int, grams array<int>, forms array<int>", arrow)
+    got = sorted((r["id"], r["y"], r["grams"], r["forms"]) for r in sent.collect())
+    return fit([(np.array(g, np.int64), np.array(f, np.int64)) for _, _, g, f in got], [y for _, y, _, _ in got])
 
 
 def score(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -7,16 +7,18 @@ in a tree: tiles within a task, tasks within a group, groups within a query.
 A block holds at most ``block`` queries, which is the only thing that is broadcast; further
 blocks take further scans, so memory is the same at every size. Scores are integer inner
 products of ``floor(256 * x)``: float64 products are exact while their sums stay below 2**53,
-which is checked for each tile; beyond it, Python integers are used.
+which is checked for each tile; beyond it, Python integers are used. Scores beyond 64 bits rank and
+are reported as the largest or the smallest long (the smallest is -(2**63 - 1)).
 
 Vectors that are null, empty, of another length than a query's, or that hold null or
 non-finite components take no part in that query's result, and such queries give no rows. Ties
-go to the smaller id; repeated ids count as rows of their own, but a query never meets rows of
-its own id. Empty tables give an empty result. Other columns are not read.
+go to the smaller id; repeated ids are candidates of their own, but a query never meets rows of
+its own id, and an id that is asked more than once is asked with its smallest vector. Empty tables give an empty result. Other columns are not read.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,6 +30,8 @@ from lexloom.llm.common import importable
 
 #: Queries of one block and vectors of one tile.
 BLOCK, TILE = 4096, 2048
+#: The largest score that is reported.
+MOST = 2**63 - 1
 #: Groups of tasks that are merged before queries are.
 FAN = 64
 
@@ -35,18 +39,26 @@ _OUT = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa
 
 
 def _grid(lists: list) -> np.ndarray:
-    """floor(256 * x) as float64; every value is a whole number."""
-    return np.floor(256.0 * np.asarray(lists, dtype=np.float64))
+    """floor(256 * x) as float64, or as Python integers where that leaves a double's range; all are whole numbers."""
+    x = np.asarray(lists, dtype=np.float64)
+    with np.errstate(over="ignore"):
+        grid = np.floor(256.0 * x)
+    if np.isfinite(grid).all():
+        return grid
+    # Doubles this large are whole numbers themselves.
+    return np.array([[256 * int(v) if abs(v) >= 2**53 else math.floor(256 * v) for v in row] for row in x], object)
 
 
 def _product(queries: np.ndarray, tile: np.ndarray) -> np.ndarray:
-    """Exact integer inner products."""
-    top = np.abs(queries).max(initial=0) * np.abs(tile).max(initial=0) * max(1, tile.shape[1])
-    if top < 2**53:
-        return (queries @ tile.T).astype(np.int64)
-    whole = np.array([[int(x) for x in row] for row in queries], object)
-    other = np.array([[int(x) for x in row] for row in tile], object)
-    return whole.dot(other.T)
+    """Exact integer inner products; those beyond 64 bits are the largest or the smallest long."""
+    if object not in (queries.dtype, tile.dtype):
+        with np.errstate(over="ignore"):
+            top = np.abs(queries).max(initial=0) * np.abs(tile).max(initial=0) * max(1, tile.shape[1])
+        if top < 2**53:
+            return (queries @ tile.T).astype(np.int64)
+    whole = np.array([[int(x) for x in row] for row in queries], object).reshape(queries.shape)
+    other = np.array([[int(x) for x in row] for row in tile], object).reshape(tile.shape)
+    return np.clip(whole.dot(other.T), -MOST, MOST).astype(np.int64)
 
 
 def _best(scores: np.ndarray, ids: np.ndarray, own: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -143,7 +155,7 @@ def top_k(
         for p in range(parts):
             # Each query is in one part by its hash; a part's size is checked before it is used.
             mine = of.where(F.pmod(F.xxhash64("id"), F.lit(parts)) == p)
-            pieces = mine.select("id", "vec").toArrow()
+            pieces = mine.groupBy("id").agg(F.min("vec").alias("vec")).toArrow()
             ids = np.asarray(pieces.column(0).combine_chunks()) if pieces.num_rows else np.empty(0, np.int64)
             if not len(ids):
                 continue
