@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from lexloom.functions import normal
 from lexloom.functions import text as t
-from lexloom.operators import audit, conjugation, dedup, forms, index, links, readings, search, verbs, word_search
+from lexloom.operators import audit, conjugation, dedup, form_quality, forms, index, links, readings, search, verbs, word_search
 from lexloom.operators.index_tables import lexicon_index
 from lexloom.plans import lexicon as lx
 from lexloom.plans import paradigms
@@ -439,6 +439,66 @@ def composed_words(spark, sf):
     return loose.select("lang", "w", normal.nfc("loose").alias("composed"), t.word_key(normal.nfc("loose"), F.col("lang")).alias("key"))
 
 
+# --- quality of forms -----------------------------------------------------------------------
+
+_SOURCE_TEXTS = """texts AS (
+  SELECT p_partkey AS id, ['nn', 'lv', 'fr', 'hu', 'ru', 'uk', 'de', 'el'][p_partkey % 8 + 1] AS lang,
+    CASE p_size % 9 WHEN 0 THEN '?' WHEN 1 THEN 'since ' || (1900 + p_size) WHEN 2 THEN p_name || '|x=y' WHEN 3 THEN 'infinitive' WHEN 4 THEN 'not used'
+      WHEN 5 THEN split_part(p_name, ' ', 1) || ' or ' || split_part(p_name, ' ', 2) WHEN 6 THEN 'pronunciation: ' || p_name WHEN 7 THEN 'es' ELSE p_name END AS text
+  FROM part WHERE p_name IS NOT NULL AND p_size IS NOT NULL),
+judged AS (
+  SELECT *, CASE WHEN lang = 'lv' AND contains(text, '|') AND contains(text, '=') THEN 'unexpanded-template' WHEN lang = 'lv' AND text = 'es' THEN 'table-pronoun'
+    WHEN lang = 'nn' AND regexp_full_match(text, 'since [0-9]{4}') THEN 'usage-note' WHEN text = '?' THEN 'placeholder' WHEN lang IN ('de', 'ru') AND text = 'infinitive' THEN 'table-header'
+    WHEN lang = 'ru' AND text = 'not used' THEN 'unavailable-form' WHEN lang = 'de' AND starts_with(text, 'pronunciation:') THEN 'pronunciation-note'
+    WHEN lang = 'uk' AND regexp_matches(text, '[A-Za-z]') THEN 'transliteration-in-table' END AS reason
+  FROM texts)"""
+
+
+def _source_texts(spark, sf):
+    name, n = F.col("p_name"), F.col("p_size")
+    word = lambda k: F.split_part(name, F.lit(" "), F.lit(k))
+    made = [F.lit("?"), F.concat(F.lit("since "), (n + 1900).cast("string")), F.concat(name, F.lit("|x=y")), F.lit("infinitive"), F.lit("not used"), F.concat(word(1), F.lit(" or "), word(2)), F.concat(F.lit("pronunciation: "), name), F.lit("es"), name]
+    rows = table(spark, sf, "part").where("p_name is not null and p_size is not null")
+    langs = F.array(*map(F.lit, ("nn", "lv", "fr", "hu", "ru", "uk", "de", "el")))
+    rows = rows.select(F.col("p_partkey").alias("id"), F.get(langs, (F.col("p_partkey") % 8).cast("int")).alias("lang"), F.get(F.array(*made), (n % 9).cast("int")).alias("text"))
+    none = F.lit(None).cast("array<struct<name:string,expansion:string>>")
+    return rows.select("id", "lang", "text", form_quality.normalized(F.col("lang"), F.lit("verb"), F.col("text"), F.array().cast("array<string>"), F.lit("conjugation"), none).alias("x"))
+
+
+@query(f"WITH {_SOURCE_TEXTS} SELECT lang, reason, count(*) AS n, min(id) AS sample FROM judged WHERE reason IS NOT NULL GROUP BY lang, reason")
+def form_reasons(spark, sf):
+    rows = _source_texts(spark, sf).select("id", "lang", "x.reason")
+    return audit.reasons(rows, ["lang"], F.col("reason"), F.col("id"), "id")
+
+
+@query(
+    f"""WITH {_SOURCE_TEXTS}
+SELECT id, form FROM (
+  SELECT id, unnest(CASE WHEN lang = 'hu' THEN list_filter(list_transform(string_split(text, ' or '), lambda x: trim(x)), lambda x: x <> '') WHEN lang = 'el' THEN [] ELSE [text] END) AS form
+  FROM judged WHERE reason IS NULL)"""
+)
+def form_variants(spark, sf):
+    return _source_texts(spark, sf).select("id", F.explode("x.variants").alias("v")).select("id", "v.form")
+
+
+@query(
+    f"""WITH {_BLOCKS},
+cells AS (SELECT verb, place, a, n, row_number() OVER (PARTITION BY verb ORDER BY place) - 1 AS i, count(*) OVER (PARTITION BY verb) AS size FROM parts),
+six AS (SELECT *, CASE WHEN verb % 3 = 0 THEN i % 6 WHEN verb % 3 = 1 AND i % 6 < 4 THEN i % 6 + 2 END AS said FROM cells WHERE i < 18)
+SELECT verb, i, a AS form, CASE WHEN verb % 3 < 2 AND size >= 18 THEN least(person, number) || ' ' || greatest(person, number) ELSE '' END AS persons FROM six JOIN persons ON k = i % 6"""
+)
+def person_columns(spark, sf):
+    # Of each block the first eighteen forms: in the right columns, shifted by two, or without persons.
+    blocks = _verb_blocks(spark, sf, F.col("a"), F.array(F.lit("aorist"))).withColumn("_forms", F.slice("_forms", 1, 18))
+    empty = F.array().cast("array<string>")
+    person = lambda k: F.get(F.array(*[F.array(F.lit(p), F.lit(n)) for p, n in conjugation.SIX]), k)
+    said = lambda i: F.when(F.col("verb") % 3 == 0, person(i % 6)).when((F.col("verb") % 3 == 1) & (i % 6 < 4), person(i % 6 + 2)).otherwise(empty)
+    marked = F.transform("_forms", lambda f, i: F.struct(f["form"].alias("form"), F.array_sort(F.concat(f["tags"], said(i))).alias("tags"), f["source"].alias("source")))
+    rows = blocks.withColumn("_forms", marked).select("verb", F.posexplode(form_quality.person_columns(F.col("_forms"))).alias("i", "f"))
+    persons = F.array_join(F.array_remove("f.tags", "aorist"), " ")
+    return rows.select("verb", F.col("i").cast("long").alias("i"), "f.form", persons.alias("persons"))
+
+
 # --- staged search --------------------------------------------------------------------------
 
 _STAGES = f"""{_LEX}, {_QUERIES},
