@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from lexloom.functions import normal
 from lexloom.functions import text as t
-from lexloom.operators import audit, conjugation, dedup, form_quality, forms, index, links, readings, search, verbs, word_search
+from lexloom.operators import audit, conjugation, dedup, form_quality, forms, index, links, readings, search, verb_search, verbs, word_search
 from lexloom.operators.index_tables import lexicon_index
 from lexloom.plans import lexicon as lx
 from lexloom.plans import paradigms
@@ -139,9 +139,9 @@ def first_wins_by_key(spark, sf):
     return dedup.first_wins(rows, ["lang", "source"], "doc_id", F.col("n_chars") > 500)
 
 
-@query("SELECT role, text, count(*) AS n FROM conversations GROUP BY ALL HAVING count(*) > 1")
+@query("SELECT user_id, event_type, count(*) AS n FROM events GROUP BY ALL HAVING count(*) > 1")
 def unique_key_violations(spark, sf):
-    return dedup.key_violations(table(spark, sf, "conversations"), ["role", "text"])
+    return dedup.key_violations(table(spark, sf, "events"), ["user_id", "event_type"])
 
 
 # --- indexes and lookups --------------------------------------------------------------------
@@ -499,6 +499,36 @@ def person_columns(spark, sf):
     return rows.select("verb", F.col("i").cast("long").alias("i"), "f.form", persons.alias("persons"))
 
 
+@query(
+    """WITH verbs AS (
+  SELECT p_partkey AS verb, CASE WHEN p_partkey % 2 = 0 THEN 'de' ELSE 'pt' END AS lang, split_part(lower(p_name), ' ', 1) AS name, p_retailprice::DOUBLE AS freq,
+    CASE WHEN p_partkey % 2 = 0 THEN [split_part(lower(p_name), ' ', 1), split_part(lower(p_type), ' ', -1)]
+      ELSE [split_part(lower(p_name), ' ', 1), split_part(lower(p_name), ' ', 2), split_part(lower(p_type), ' ', 1)] END AS forms
+  FROM part WHERE p_name IS NOT NULL AND p_type IS NOT NULL AND p_retailprice IS NOT NULL),
+spelled AS (SELECT DISTINCT verb, lang, freq, unnest(forms) AS matched FROM verbs),
+asked AS (SELECT DISTINCT lang, left(name, 2 + verb % 3) AS q FROM verbs WHERE name <> ''),
+hits AS (SELECT q, lang, verb, matched, freq, CASE WHEN lang = 'pt' AND matched <> q THEN 2 ELSE 0 END AS surface FROM spelled JOIN asked USING (lang) WHERE contains(matched, q))
+SELECT q, lang, verb, matched, rank FROM (
+  SELECT *, row_number() OVER (PARTITION BY q, lang ORDER BY surface, freq DESC, length(matched), verb, matched) AS rank FROM hits) WHERE rank <= 50"""
+)
+def verb_native_match(spark, sf):
+    word = lambda c, k: F.split_part(F.lower(c), F.lit(" "), F.lit(k))
+    parts = table(spark, sf, "part").where("p_name is not null and p_type is not null and p_retailprice is not null")
+    german = F.array(F.concat(F.lit("hat "), word("p_type", -1)), F.concat(F.lit("x "), word("p_type", -1), F.lit(" haben")))
+    listed = F.array(F.concat(word("p_name", 2), F.lit("/["), word("p_type", 1), F.lit(" (Brazil)]")), F.lit(None).cast("string"))
+    lang = F.when(F.col("p_partkey") % 2 == 0, "de").otherwise("pt")
+    rows = parts.select(F.col("p_partkey").alias("verb"), lang.alias("lang"), word("p_name", 1).alias("name"), F.col("p_retailprice").cast("double").alias("freq"), F.when(F.col("p_partkey") % 2 == 0, german).otherwise(listed).alias("cells"))
+    asked = rows.where("name <> ''").select("lang", F.expr("left(name, cast(2 + verb % 3 as int))").alias("q")).distinct()
+    found = verb_search.ranked_matches(verb_search.native_matches(rows, asked), 50)
+    return found.select("q", "lang", "verb", "matched", F.col("rank").cast("long").alias("rank"))
+
+
+@query("SELECT n_nationkey, row_number() OVER (ORDER BY lower(n_name), n_nationkey::VARCHAR) AS place FROM nation")
+def language_places(spark, sf):
+    rows = table(spark, sf, "nation").select(F.col("n_nationkey"), F.col("n_nationkey").cast("string").alias("code"), F.initcap("n_name").alias("name"))
+    return verb_search.language_order(rows).select("n_nationkey", F.col("place").cast("long").alias("place"))
+
+
 # --- staged search --------------------------------------------------------------------------
 
 _STAGES = f"""{_LEX}, {_QUERIES},

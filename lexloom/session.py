@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 from pathlib import Path
 
@@ -42,11 +43,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared checkpoint folder of the session; a local one is set only where none is named."""
+    """The shared checkpoint folder of the session; only a local session without one gets a temporary folder.
+
+    A cluster has to name a folder that all its machines reach.
+    """
     sc = spark.sparkContext
     named = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
     current = sc._jsc.sc().getCheckpointDir()
     if current.isDefined():
         return current.get()
+    if not named and not re.fullmatch(r"local(\[[^]]*\])?", sc.master):
+        raise ValueError("spark.checkpoint.dir names no folder that the cluster shares")
     sc.setCheckpointDir(named or os.path.join(tempfile.gettempdir(), "lexloom-checkpoints"))
     return sc._jsc.sc().getCheckpointDir().get()

@@ -64,5 +64,5 @@ def split_languages(df: DataFrame, wanted: DataFrame, path: str, lang: str = "la
 
 def installed_version(versions: DataFrame, current: str) -> DataFrame:
     """Per language the current hash if it is installed, else the newest."""
-    order = F.struct((F.col("hash") == current), F.col("installed_at"))
+    order = F.struct((F.col("hash") == current), F.col("installed_at"), F.col("hash"))
     return versions.groupBy("lang").agg(F.max_by("hash", order).alias("hash"))
