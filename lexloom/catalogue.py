@@ -351,7 +351,7 @@ def _person(n):
 hits AS (
   SELECT verb, k, CASE WHEN n % 7 = 0 THEN '[' || a || ']' ELSE a END AS form, min(place) AS place
   FROM parts JOIN persons ON n % 6 = k WHERE n % 11 <> 0 GROUP BY ALL)
-SELECT verb, k, string_agg(form, '/' ORDER BY place) AS cell FROM hits GROUP BY verb, k"""
+SELECT verb, k::BIGINT AS k, string_agg(form, '/' ORDER BY place) AS cell FROM hits GROUP BY verb, k"""
 )
 def conjugation_cells(spark, sf):
     n = F.col("n")
