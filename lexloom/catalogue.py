@@ -529,6 +529,31 @@ def language_places(spark, sf):
     return verb_search.language_order(rows).select("n_nationkey", F.col("place").cast("long").alias("place"))
 
 
+@query(
+    """WITH words AS (SELECT p_partkey AS id, p_size % 4 AS kind, split_part(p_name, ' ', 1) AS a, split_part(p_name, ' ', 2) AS b, split_part(p_type, ' ', 1) AS c FROM part
+  WHERE p_name IS NOT NULL AND p_type IS NOT NULL AND p_size IS NOT NULL),
+terms AS (
+  SELECT id, 'la' AS lang, a AS word, CASE WHEN kind = 0 THEN b ELSE c END AS label FROM words WHERE kind < 2
+  UNION ALL SELECT id, 'en', a, c FROM words WHERE kind = 2 UNION ALL SELECT id, 'la', b, NULL FROM words WHERE kind = 2)
+SELECT DISTINCT id, word, lang, CASE WHEN label <> word AND label <> '' THEN label END AS label FROM terms WHERE word <> ''"""
+)
+def etymology_links(spark, sf):
+    # A part's name and type are the arguments of a borrowing, a mention, a compound or another template.
+    parts = table(spark, sf, "part").where("p_name is not null and p_type is not null and p_size is not null")
+    word = lambda c, k: F.split_part(c, F.lit(" "), F.lit(k))
+    a, b, c = word("p_name", 1), word("p_name", 2), word("p_type", 1)
+    args = lambda *pairs: F.create_map(*[F.lit(x) if isinstance(x, str) else x for x in pairs])
+    layouts = F.array(
+        F.struct(F.lit("bor").alias("name"), args("1", "en", "2", "la", "3", a, "4", b).alias("args")),
+        F.struct(F.lit("m+").alias("name"), args("1", "la", "2", a, "3", F.lit("no"), "alt", c).alias("args")),
+        F.struct(F.lit("compound").alias("name"), args("1", "en", "2", a, "3", b, "alt1", c, "lang2", "la").alias("args")),
+        F.struct(F.lit("other").alias("name"), args("1", "en", "2", a).alias("args")),
+    )
+    template = F.array(F.get(layouts, (F.col("p_size") % 4).cast("int")))
+    rows = parts.select(F.col("p_partkey").alias("id"), F.explode(links.etymology_links(template, {"Latin": "la"})).alias("x"))
+    return rows.select("id", "x.word", "x.lang", "x.label")
+
+
 # --- staged search --------------------------------------------------------------------------
 
 _STAGES = f"""{_LEX}, {_QUERIES},
