@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from lexloom.functions import normal
 from lexloom.functions import text as t
-from lexloom.operators import audit, conjugation, dedup, form_quality, forms, index, links, readings, search, verb_search, verbs, word_search
+from lexloom.operators import audit, conjugation, dedup, entry_details, form_quality, forms, index, links, readings, search, verb_search, verbs, word_search
 from lexloom.operators.index_tables import lexicon_index
 from lexloom.plans import lexicon as lx
 from lexloom.plans import paradigms
@@ -554,6 +554,68 @@ def etymology_links(spark, sf):
     return rows.select("id", "x.word", "x.lang", "x.label")
 
 
+# --- details of entries ---------------------------------------------------------------------
+
+
+@query(
+    f"""WITH lines AS (
+  SELECT doc_id, k, xs[k] AS x FROM (SELECT doc_id, string_split(text, chr(10)) AS xs FROM documents WHERE text IS NOT NULL), unnest(range(1, len(xs) + 1)) u(k)),
+trimmed AS (SELECT doc_id, k, x, trim(x, chr(9) || chr(11) || chr(12) || chr(13) || chr(32) || chr(160)) AS t, length(x) % 2 = 1 AS quotation FROM lines),
+good AS (
+  SELECT *, row_number() OVER (PARTITION BY doc_id, t ORDER BY quotation, k) AS r FROM trimmed
+  WHERE t <> '' AND length(t) <= 1200 AND NOT contains(t, repeat(chr(39), 3)) AND (regexp_matches(t, '^\\p{{L}}+$') OR NOT regexp_matches(t, '{_MARKUP}'))),
+placed AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY quotation, k) AS place FROM good WHERE r = 1)
+SELECT doc_id, place, t AS text, quotation, CASE WHEN starts_with(x, t) AND length(t) >= 3 THEN 3 END AS bold_stop FROM placed WHERE place <= 3"""
+)
+def usage_examples(spark, sf):
+    # Lines of a text are its examples, those of odd length its quotations; the first three code points are bold.
+    line = lambda x: F.to_json(F.struct(F.concat(F.lit(" "), x).alias("text"), F.when(F.length(x) % 2 == 1, "quotation").otherwise("example").alias("type"), F.expr("array(array(1, 4))").alias("bold_text_offsets")))
+    found = entry_details.usage_examples(F.transform(F.split("text", "\n", -1), line))
+    rows = _docs(spark, sf).select("doc_id", F.posexplode(found).alias("p", "x"))
+    return rows.select("doc_id", (F.col("p") + 1).cast("long").alias("place"), "x.text", "x.quotation", F.get("x.bold", 0)["stop"].alias("bold_stop"))
+
+
+@query(
+    """WITH words AS (
+  SELECT p_partkey AS id, p_size % 4 AS kind, split_part(p_name, ' ', 1) AS a, split_part(p_name, ' ', 2) AS b, split_part(p_type, ' ', 1) AS c, split_part(p_type, ' ', 2) AS d
+  FROM part WHERE p_name IS NOT NULL AND p_type IS NOT NULL AND p_size IS NOT NULL),
+rows AS (
+  SELECT id, 1 AS k, b AS word, 'fr' AS lang, NULL AS label FROM words
+  UNION ALL SELECT id, 2, a, 'fr', NULL FROM words WHERE kind = 0 AND a <> b
+  UNION ALL SELECT id, 2, a, 'fr', c FROM words WHERE kind IN (1, 2) AND a <> b
+  UNION ALL SELECT id, 2, d, 'fr', NULL FROM words WHERE kind = 3 AND d <> ''
+  UNION ALL SELECT id, 3, a, 'en', c FROM words WHERE kind = 3 AND a <> b)
+SELECT id, row_number() OVER (PARTITION BY id ORDER BY k) AS place, word, lang, label FROM rows"""
+)
+def sense_references(spark, sf):
+    # A gloss links a part's name under a label and a Latin word; it is a form of what is shown, or of a word that is not.
+    parts = table(spark, sf, "part").where("p_name is not null and p_type is not null and p_size is not null")
+    word = lambda c, k: F.split_part(c, F.lit(" "), F.lit(k))
+    a, b, c, d = word("p_name", 1), word("p_name", 2), word("p_type", 1), word("p_type", 2)
+    form = F.get(F.array(a, c, F.concat(c, F.lit(" impf")), d), (F.col("p_size") % 4).cast("int"))
+    sense = F.struct(
+        F.array(F.array(c, a), F.array(b, F.concat(b, F.lit("#Latin")))).alias("links"),
+        F.array(F.struct(form.alias("word"))).alias("form_of"),
+        F.array(F.struct(b.alias("word"))).alias("alt_of"),
+    )
+    rows = parts.select(F.col("p_partkey").alias("id"), F.posexplode(entry_details.sense_references(sense, F.lit("fr"), {"Latin": "la"})["links"]).alias("p", "x"))
+    return rows.select("id", (F.col("p") + 1).cast("long").alias("place"), "x.word", "x.lang", "x.label")
+
+
+@query(
+    rf"""WITH {_TOK}, good AS (
+  SELECT doc_id, w, min(p) AS p FROM tok WHERE regexp_matches(w, '\p{{Latin}}') AND NOT regexp_matches(regexp_replace(w, '\p{{Latin}}', '', 'g'), '\p{{L}}') GROUP BY ALL)
+SELECT doc_id, count(*) AS readings, min_by(w, p) AS first, max_by(w, p) AS last FROM good GROUP BY doc_id"""
+)
+def headword_romanizations(spark, sf):
+    # The words of a text are the readings that an entry states, once as tags and once in a table.
+    form = lambda source: lambda w: F.struct(w.alias("form"), F.array(F.lit("romanization")).alias("tags"), F.lit(source).alias("source"), F.lit(None).cast("string").alias("roman"))
+    words = t.tokens(F.col("text"))
+    rows = _docs(spark, sf).select("doc_id", F.lit("ru").alias("lang_code"), F.lit("слово").alias("word"), F.concat(F.transform(words, form(None)), F.transform(F.array(F.lit("cell")), form("declension"))).alias("forms"))
+    found = rows.select("doc_id", entry_details.romanizations().alias("r")).where(F.size("r") > 0)
+    return found.select("doc_id", F.size("r").cast("long").alias("readings"), F.get("r", 0).alias("first"), F.element_at("r", -1).alias("last"))
+
+
 # --- staged search --------------------------------------------------------------------------
 
 _STAGES = f"""{_LEX}, {_QUERIES},

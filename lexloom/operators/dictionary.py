@@ -37,14 +37,19 @@ def category_names(categories: Column) -> Column:
     return F.transform(categories, lambda c: F.coalesce(F.get_json_object(c, "$.name"), c))
 
 
-def is_valid() -> Column:
-    """Whether an entry is a headword: part of speech, spelling and no category of its language that bars it."""
+def is_valid(trusted_persian: Column | None = None) -> Column:
+    """Whether an entry is a headword: part of speech, spelling and no category of its language that bars it.
+
+    Entries of ``trusted_persian`` keep their place though their category says nonstandard script.
+    """
     script = F.col("lang_code").isin("zh", "ja") & (F.col("pos") == "character")
     stem = (F.col("lang_code") == "nv") & (F.col("pos") == "stem")
     barred = F.array(F.concat("lang", F.lit(" multiword forms")), F.concat("lang", F.lit(" terms in nonstandard scripts")))
     native_latin = (F.col("lang") == "Navajo") & F.col("word").rlike(r"^[\P{L}\p{IsLatin}ʼ]*$")
     names = F.coalesce(category_names(F.col("categories")), F.array().cast("array<string>"))
     names = F.when(native_latin, F.array_remove(names, "Navajo terms in nonstandard scripts")).otherwise(names)
+    if trusted_persian is not None:
+        names = F.when(trusted_persian, F.array_remove(names, "Persian terms in nonstandard scripts")).otherwise(names)
     return (F.col("pos").isin(*INCLUDED_POS) | script | stem) & (F.col("word") != "") & ~F.arrays_overlap(names, barred)
 
 
