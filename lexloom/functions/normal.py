@@ -38,3 +38,13 @@ def nfkc(c: Column | str) -> Column:
 def nfc_each(c: Column | str) -> Column:
     """Composed texts of an array."""
     return _of("NFC", "array<string>")(c)
+
+
+def searchable(c: Column | str, lang: Column | str) -> Column:
+    """Text as aliases are made from: Japanese with width variants folded, other languages composed."""
+
+    def each(texts, langs):
+        forms = langs.map({"ja": "NFKC"}).fillna("NFC")
+        return pd.Series([x if x is None or x.isascii() else unicodedata.normalize(f, x) for x, f in zip(texts, forms, strict=True)], dtype=object)
+
+    return F.pandas_udf(each, "string")(c, lang)

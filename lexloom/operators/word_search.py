@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from lexloom.functions import normal
 from lexloom.functions import text as t
 from lexloom.operators.index import trigrams
 
@@ -45,23 +46,33 @@ def romanized(c: Column, lang: Column) -> Column:
 
 
 def prepared(entries: DataFrame) -> DataFrame:
-    """Entries with the keys and tokens of every stage; write it once and search it often."""
+    """Entries with the keys and tokens of every stage; write it once and search it often.
+
+    Keys and tokens are those of composed text, so spellings of equal letters meet; ``word`` stays as it is.
+    """
     lang = F.col("lang")
-    forms, readings = F.concat(_strings(entries, "forms"), _strings(entries, "aliases")), _strings(entries, "romanizations")
+    rows = entries.select(
+        "id", "lang", "word", "pos", "freq",
+        normal.nfc("word").alias("_word"),
+        normal.searchable("word", "lang").alias("_alias"),
+        *[normal.nfc_each(_strings(entries, name)).alias(name) for name in ("forms", "aliases", "glosses", "romanizations")],
+    )
+    forms, readings = F.concat("forms", "aliases"), F.col("romanizations")
     keys = F.transform(forms, lambda x: t.word_key(x, lang))
-    sounds = F.when(lang == "el", F.transform(F.concat(F.array("word"), _strings(entries, "forms")), lambda x: t.greek_phonetic(x)))
-    return entries.select(
+    sounds = F.when(lang == "el", F.transform(F.concat(F.array("_word"), "forms"), lambda x: t.greek_phonetic(x)))
+    key, alias = t.word_key(F.col("_word"), lang), t.search_key(F.col("_alias"), lang)
+    return rows.select(
         "id", "lang", "word", "pos", "freq",
-        t.word_key(F.col("word"), lang).alias("key"),
-        t.search_key(F.col("word"), lang).alias("alias_key"),
+        key.alias("key"),
+        alias.alias("alias_key"),
         F.array_distinct(keys).alias("form_keys"),
-        _words(F.array(t.search_text(F.col("word"), lang))).alias("word_tokens"),
+        _words(F.array(key, alias)).alias("word_tokens"),
         _words(forms).alias("form_tokens"),
-        _words(_strings(entries, "glosses")).alias("gloss_tokens"),
-        F.transform(_strings(entries, "glosses"), lambda x: F.lower(x)).alias("glosses"),
+        _words(F.col("glosses")).alias("gloss_tokens"),
+        F.transform("glosses", lambda x: F.lower(x)).alias("glosses"),
         F.get(sounds, 0).alias("sound"),
         _words(F.coalesce(sounds, F.array().cast(_NONE))).alias("sound_tokens"),
-        F.concat_ws(" ", F.lower("word"), F.concat_ws(" ", F.coalesce(sounds, F.array().cast(_NONE)))).alias("surface"),
+        F.concat_ws(" ", F.lower("_word"), F.concat_ws(" ", F.coalesce(sounds, F.array().cast(_NONE)))).alias("surface"),
         F.array_distinct(F.transform(readings, lambda x: F.lower(x))).alias("readings"),
         F.array_distinct(F.filter(F.transform(readings, lambda x: romanized(x, lang)), lambda x: x.isNotNull() & (x != ""))).alias("roman_keys"),
     )
@@ -69,13 +80,15 @@ def prepared(entries: DataFrame) -> DataFrame:
 
 def asked(queries: DataFrame) -> DataFrame:
     """Distinct queries with their keys and terms; those without a letter or number go."""
-    q, lang = F.trim("q"), F.col("lang")
+    q, lang = F.trim("_q"), F.col("lang")
     # A last term of one character among several is a word that is still being typed.
     typed = lambda c: F.when((F.size(c) > 1) & (F.length(F.element_at(c, -1)) < 2), F.slice(c, 1, F.greatest(F.size(c) - 1, F.lit(1)))).otherwise(c)
-    lookup = t.search_key(q, lang)
+    lookup = t.search_key(F.trim("_alias"), lang)
     sound = F.when(lang == "el", t.greek_phonetic(q))
     return (
         queries.select("q", "lang").where("q is not null and lang is not null").distinct()
+        .withColumn("_q", normal.nfc("q"))
+        .withColumn("_alias", normal.searchable("q", "lang"))
         .withColumn("key", t.word_key(q, lang))
         .withColumn("lookup", lookup)
         .withColumn("low", F.lower(q))
@@ -87,6 +100,7 @@ def asked(queries: DataFrame) -> DataFrame:
         .withColumn("sound_terms", t.tokens(sound))
         .withColumn("roman_key", romanized(q, lang))
         .withColumn("latin", t.is_latin(t.word_key(q, lang)))
+        .drop("_q", "_alias")
     )
 
 

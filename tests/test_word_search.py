@@ -146,3 +146,15 @@ def test_equals_the_stages_one_by_one(spark, tmp_path):
     assert {x[3] for found in got.values() for x in found} == {s.EXACT, s.INFLECTED, s.WORD, s.FORMS, s.GLOSS, s.PART}
     for q in sorted(queries):
         assert (q, got[q]) == (q, _brute(entries, q))
+
+
+def test_composed_and_decomposed_texts_are_equal(spark, tmp_path):
+    nfd = lambda x: unicodedata.normalize("NFD", x)
+    words = [("fr", "étreindre"), ("vi", "tiếng việt"), ("ko", "한국어"), ("ja", "ガラス"), ("tr", "İğne")]
+    entries = [(i, lang, f(w), "noun", 1.0, [f(w)], [f("é")], None) for i, ((lang, w), f) in enumerate([(x, f) for x in words for f in (str, nfd)])]
+    asked = [(f(w), lang) for lang, w in words for f in (str, nfd)] + [("ｶﾞﾗｽ", "ja"), ("がらす", "ja")]
+    rows = s.search(spark.createDataFrame(entries, SCHEMA), spark.createDataFrame(asked, "q string, lang string"), str(tmp_path)).collect()
+    got = {(q, lang): {(r.word, r.quality) for r in rows if (r.q, r.lang) == (q, lang)} for q, lang in asked}
+    for lang, w in words:
+        assert got[w, lang] == got[nfd(w), lang] == {(w, 0), (nfd(w), 0)}
+    assert {w for w, _ in got["ｶﾞﾗｽ", "ja"]} == {w for w, _ in got["がらす", "ja"]} == {"ガラス", nfd("ガラス")}
