@@ -17,6 +17,7 @@ from lexloom.plans import paradigms
 from lexloom.session import checkpoint_dir, table
 from lexloom.sources import jsonl, sinks
 from lexloom.streaming.ingest import stream_distinct
+from lexloom.streaming.serving import ServingTable, keep_current
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -1092,6 +1093,20 @@ def stream_ingest_dedup(spark, sf):
     return rows.groupBy("user_id", "event_type").agg(F.count("*").alias("n"))
 
 
+@query(
+    """SELECT user_id, event_id, event_type, value FROM events WHERE user_id IS NOT NULL
+QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC NULLS LAST, event_id DESC) = 1"""
+)
+def stream_serving(spark, sf):
+    # The newest event of each user, kept current by a stream.
+    base = f"{checkpoint_dir(spark)}/serving-{uuid.uuid4().hex}"
+    schema = table(spark, sf, "events").schema
+    source = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf)
+    served = ServingTable(spark, f"{base}/table", schema, "user_id", ["ts", "event_id"], 16)
+    keep_current(source, served, f"{base}/state")
+    return served.rows().select("user_id", "event_id", "event_type", "value")
+
+
 @query(
     """SELECT lang, source, CASE WHEN count(n_chars) < count(*) THEN NULL ELSE sum(n_chars) END::BIGINT AS chars FROM documents GROUP BY ALL"""
 )
