@@ -617,6 +617,20 @@ def headword_romanizations(spark, sf):
     return found.select("doc_id", F.size("r").cast("long").alias("readings"), F.get("r", 0).alias("first"), F.element_at("r", -1).alias("last"))
 
 
+@query(
+    """WITH tags AS (
+  SELECT p_partkey AS id, list_sort(list_distinct(list_filter(string_split(p_type || ' ' || p_name || ' in-' || lower(split_part(p_type, ' ', 1)), ' '), lambda x: x <> ''))) AS tags
+  FROM part WHERE p_type IS NOT NULL AND p_name IS NOT NULL)
+SELECT id, array_to_string(list_transform(list_filter(tags, lambda x: x IN ('red', 'blue', 'in-small', 'in-large') OR regexp_full_match(x, '[A-Z][A-Za-z0-9_-]*')), lambda x: replace(x, '-', ' ')), '|') AS labels FROM tags"""
+)
+def usage_labels(spark, sf):
+    # Words of a part's type and name are its tags; four of them are usage, and capitals are names.
+    parts = table(spark, sf, "part").where("p_type is not null and p_name is not null")
+    extra = F.concat(F.lit("in-"), F.lower(F.split_part("p_type", F.lit(" "), F.lit(1))))
+    tags = F.filter(F.split(F.concat_ws(" ", "p_type", "p_name", extra), " "), lambda x: x != "")
+    return parts.select(F.col("p_partkey").alias("id"), F.array_join(readings.labels(tags, ["red", "blue", "in-small", "in-large"]), "|").alias("labels"))
+
+
 # --- staged search --------------------------------------------------------------------------
 
 _STAGES = f"""{_LEX}, {_QUERIES},

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lexloom.functions import text as t
-from lexloom.operators import dictionary, links, verbs
+from lexloom.operators import dictionary, links, readings, verbs
 
 # Requests for missing details, languages with readings, labels of readings, and limits.
 REQUEST = "(?i)please (?:add|provide|specify)"
@@ -23,6 +23,15 @@ KANA = "^[ぁ-ゖァ-ヶー ・]+$"
 CONTROLS = r"[\x00-\x08\x0b\x0c\x0e-\x1f\x7f]"
 DASHES = ("-", "—", "–", "?")
 EXAMPLE_LENGTH, EXAMPLES = 1200, 3
+# Languages whose records are enhanced, those without gender, what is no example, and templates that state a gender by argument.
+ENHANCED = (
+    "grc", "az", "eu", "br", "et", "ka", "he", "hi", "is", "ga", "ko", "lt", "mk", "ms", "oc", "fa", "sa", "sh", "sk", "cy", "nn", "lv",
+    "bg", "mt", "tl", "gd", "fo", "ang", "non", "ar", "zh", "ja", "ast", "nv", "sq", "te", "sw", "hy", "th", "ceb", "ta", "bn", "pa", "ur",
+)
+GENDERLESS = ("az", "eu", "et", "ka", "ko", "ms", "fa", "tl")
+LINKAGE = "^(?:Near-synonyms?|Synonyms?|Antonyms?|Hypernyms?|Hyponyms?|Coordinate terms?):"
+BROKEN_ENTITY = r"[A-Za-z]#\d+;|&#?\d+;.*#\d+;"
+GENDER_ARGUMENTS = {"grc-noun": "3", "sa-noun": "1", "sh-noun": "2", "mk-noun": "1"}
 
 SPACE = r"(?U)^[\s\x1c-\x1f]+"
 _EXAMPLE = (
@@ -231,9 +240,59 @@ def soft_redirects(entries: DataFrame) -> DataFrame:
     return rows.select("src_ord", "lang_code", "word", F.array_distinct(targets).alias("targets")).where(F.size("targets") > 0)
 
 
-def detailed_records(entries: DataFrame, anchors: dict[str, str]) -> DataFrame:
+def _array(c: Column) -> Column:
+    return F.coalesce(c, _empty("array<string>"))
+
+
+def enhanced_sense(sense: Column, source: Column, usage: list[str]) -> Column:
+    """The sense with the source's labels after its tags, and without examples that list related words or hold broken entities."""
+    tags = F.array_distinct(F.concat(_array(sense["tags"]), _array(readings.labels(source["tags"], usage)), _array(readings.raw_labels(source["raw_tags"]))))
+    examples = F.filter(sense["examples"], lambda x: ~x["text"].rlike(LINKAGE) & ~x["text"].rlike(BROKEN_ENTITY))
+    return sense.withField("tags", tags).withField("examples", examples)
+
+
+def pronunciations(usage: list[str]) -> Column:
+    """Distinct (ipa, label) of the sounds in order; the label joins note, labels and raw labels. Ancient Greek needs a label."""
+
+    def one(v: Column) -> Column:
+        s = F.from_json(v, "ipa string, note string, tags array<string>, raw_tags array<string>")
+        note = F.filter(F.array(_clean(s["note"])), lambda x: x.isNotNull())
+        parts = F.array_distinct(F.concat(note, _array(readings.labels(s["tags"], usage)), _array(readings.raw_labels(s["raw_tags"]))))
+        return F.struct(_clean(s["ipa"]).alias("ipa"), F.nullif(F.array_join(parts, ", "), F.lit("")).alias("label"))
+
+    made = F.transform(F.filter("sounds", lambda v: v.startswith("{")), one)
+    kept = F.filter(made, lambda x: x["ipa"].isNotNull() & ((F.col("lang_code") != "grc") | x["label"].isNotNull()))
+    return F.coalesce(F.array_distinct(kept), _empty("array<struct<ipa:string,label:string>>"))
+
+
+def head_gender() -> Column:
+    """Genders that the headword itself states, in the order m, f, n, c: canonical forms, heads of Nynorsk, else arguments of head templates."""
+    canonical = _array(F.flatten(F.transform(F.filter("forms", lambda f: F.coalesce(F.array_contains(f["tags"], "canonical"), F.lit(False))), lambda f: f["tags"])))
+    named = F.array(*[F.when(F.array_contains(canonical, tag), F.lit(sign)) for tag, sign in dictionary.GENDER_TAGS.items()])
+    heads = F.transform("head_templates", lambda h: F.regexp_extract(h["name"], r"^nn-noun-([mfn])[0-9u]*$", 1))
+    heads = F.when(F.col("lang_code") == "nn", _array(heads)).otherwise(_empty("array<string>"))
+    stated = F.concat(named, heads)
+
+    def argument(h: Column) -> Column:
+        value = F.lit(None).cast("string")
+        for name, place in GENDER_ARGUMENTS.items():
+            value = F.when(h["name"] == name, F.try_element_at(h["args"], F.lit(place))).otherwise(value)
+        return F.when(value.rlike("^[mfn](?:[,-][mfn])*$"), F.split(value, "[,-]")).otherwise(_empty("array<string>"))
+
+    signs = lambda found: F.concat_ws("-", *[F.when(F.array_contains(found, x), F.lit(x)) for x in "mfnc"])
+    # Compact: array_contains with nulls gives null where nothing is found, which concat_ws leaves out.
+    first = _bound(stated, signs)
+    second = _bound(_array(F.flatten(F.transform("head_templates", argument))), signs)
+    gender = F.coalesce(F.nullif(first, F.lit("")), F.nullif(second, F.lit("")))
+    return F.when(F.col("pos").isin("noun", "name"), gender)
+
+
+def detailed_records(entries: DataFrame, anchors: dict[str, str], usage: list[str] | None = None) -> DataFrame:
     """Dictionary records with the examples and references of each sense, readings and etymology links.
 
+    With ``usage``, the tags that are labels of usage, records of some languages are enhanced: labels of senses,
+    labelled pronunciations, the head's own gender, no broken examples.
+
     A trusted Persian head stays though its category bars it. Soft redirects are records of their own
     table, see ``soft_redirects``.
     """
@@ -242,8 +301,17 @@ def detailed_records(entries: DataFrame, anchors: dict[str, str]) -> DataFrame:
 
     def joined(base: Column, s: Column) -> Column:
         refs = sense_references(s, F.col("lang_code"), anchors)
-        return _bound(refs, lambda r: F.struct(*[base[c].alias(c) for c in ("gloss", "tags", "topics", "qualifier")], usage_examples(s["examples"]).alias("examples"), *[r[c].alias(c) for c in ("form_of", "alt_of", "links")]))
-
+        made = _bound(refs, lambda r: F.struct(*[base[c].alias(c) for c in ("gloss", "tags", "topics", "qualifier")], usage_examples(s["examples"]).alias("examples"), *[r[c].alias(c) for c in ("form_of", "alt_of", "links")]))
+        return made if usage is None else F.when(better, _bound(made, lambda m: enhanced_sense(m, s, usage))).otherwise(made)
+
+    better = F.col("lang_code").isin(*ENHANCED)
+    gender, sounds = dictionary.entry_gender(), dictionary.pronunciation()
+    spoken = _empty("array<struct<ipa:string,label:string>>")
+    if usage is not None:
+        gender = F.when(F.col("lang_code").isin(*GENDERLESS), None).when(better, F.coalesce(head_gender(), gender)).otherwise(gender)
+        all_ = pronunciations(usage)
+        sounds = F.when(better, F.get(all_, 0)["ipa"]).otherwise(sounds)
+        spoken = F.when(better & ((F.size(all_) > 1) | F.exists(all_, lambda x: x["label"].isNotNull())), all_).otherwise(spoken)
     return kept.select(
         "src_ord",
         "lang_code",
@@ -251,9 +319,10 @@ def detailed_records(entries: DataFrame, anchors: dict[str, str]) -> DataFrame:
         "pos",
         F.zip_with(dictionary.senses(F.col("senses")), F.col("senses"), joined).alias("senses"),
         dictionary.summary_gloss(F.col("senses")).alias("gloss"),
-        dictionary.entry_gender().alias("gender"),
+        gender.alias("gender"),
         dictionary.distinct_forms().alias("forms"),
-        dictionary.pronunciation().alias("pronunciation"),
+        sounds.alias("pronunciation"),
+        spoken.alias("pronunciations"),
         dictionary.etymology().alias("etymology"),
         links.etymology_links(F.col("etymology_templates"), anchors).alias("etymology_links"),
         romanizations().alias("romanizations"),

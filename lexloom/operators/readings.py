@@ -96,6 +96,12 @@ def reading(tags: Column, vocabulary: Vocabulary) -> Column:
     return F.struct(grammar.alias("grammar"), qualifiers.alias("qualifiers"), kind.alias("kind"), unknown.alias("unknown"))
 
 
+def labels(tags: Column, usage: list[str]) -> Column:
+    """Distinct labels of usage among the tags, and names (places, periods, scripts: one word with a capital), in order of the tags."""
+    named = F.filter(F.array_sort(F.array_distinct(tags)), lambda x: x.isin(*usage) | x.rlike(r"^\p{Lu}[\p{L}\p{N}_-]*$"))
+    return F.array_distinct(F.transform(named, _plain))
+
+
 def raw_labels(tags: Column) -> Column:
     """Distinct clean source labels of 160 characters or fewer; unmatched quotes go, unmatched brackets drop the label."""
     count = lambda x, sign: F.length(x) - F.length(F.replace(x, F.lit(sign), F.lit("")))

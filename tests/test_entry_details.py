@@ -130,3 +130,24 @@ def test_soft_redirects(spark):
 
 def test_no_entries(spark):
     assert entry_details.detailed_records(entries(spark, {}).where("false"), ANCHORS).collect() == []
+
+
+def test_enhanced_records(spark):
+    usage = ["rare", "plural-only"]
+    sense = {"glosses": ["x"], "tags": ["rare", "Old-Attic", "other", "plural-only"], "raw_tags": ["in \"Homer", "bad [x]"], "examples": [{"text": "Synonyms: a"}, {"text": "b#39; c"}, {"text": "good"}]}
+    greek = {"lang_code": "grc", "lang": "Ancient Greek", "word": "λόγος", "senses": [{"glosses": ["{{x}}"]}, sense]}
+    made = entries(
+        spark,
+        greek | {"sounds": [{"ipa": "/a/"}, {"ipa": "/b/", "tags": ["Koine", "zz"], "note": "late"}, {"ipa": "/b/", "tags": ["Koine"], "note": "late"}], "head_templates": [{"name": "grc-noun", "args": {"3": "m,f"}}]},
+        greek | {"lang_code": "et", "lang": "Estonian", "sounds": [{"ipa": "/a/"}], "senses": [sense | {"tags": ["masculine"]}]},
+        greek | {"lang_code": "nn", "lang": "Norwegian Nynorsk", "forms": [{"form": "x", "tags": ["canonical", "neuter"]}], "head_templates": [{"name": "nn-noun-m1", "args": {}}]},
+        {"senses": [sense], "sounds": [{"ipa": "/a/"}, {"ipa": "/b/"}]},
+    )
+    got = [r.asDict(recursive=True) for r in entry_details.detailed_records(made, ANCHORS, usage).orderBy("src_ord").collect()]
+    a, b, c, d = got
+    assert a["senses"][0]["tags"] == ["rare", "plural-only", "Old Attic", "plural only", "in Homer"]
+    assert [x["text"] for x in a["senses"][0]["examples"]] == ["good"]
+    assert (a["pronunciation"], [tuple(x.values()) for x in a["pronunciations"]], a["gender"]) == ("/b/", [("/b/", "late, Koine")], "m-f")
+    assert (b["gender"], b["pronunciation"], b["pronunciations"]) == (None, "/a/", [])
+    assert c["gender"] == "m-n"
+    assert (len(d["senses"][0]["examples"]), d["pronunciation"], d["pronunciations"], d["senses"][0]["tags"][:1]) == (3, "/a/", [], ["rare"])
