@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from lexloom.functions import normal
+from lexloom.functions import normal, segments
 from lexloom.functions import text as t
 from lexloom.operators import audit, conjugation, dedup, entry_details, form_quality, forms, index, links, readings, search, verb_search, verbs, word_search
 from lexloom.operators.index_tables import lexicon_index
@@ -1087,11 +1087,57 @@ def reservoir_sample(spark, sf):
 
 @query()
 def abbreviate_variants(spark, sf):
-    from lexloom.functions.display import abbreviate
-
     words = lx.token_totals(_docs(spark, sf)).where(F.length("w") >= 7).select("lang", "w", F.substring("w", 1, 6).alias("stem"))
     groups = words.groupBy("lang", "stem").agg(F.array_sort(F.collect_list("w")).alias("variants")).where("size(variants) > 1")
-    return groups.select("lang", "stem", abbreviate("variants").alias("shown"))
+    return groups.select("lang", "stem", segments.shown_variants(F.col("variants")).alias("shown"))
+
+
+_LONG = r"[\p{L}\p{M}\p{N}]{8,}"
+
+
+@query(
+    r"""SELECT doc_id, CASE WHEN text IS NOT NULL THEN len(regexp_extract_all(text, '[\p{L}\p{M}\p{N}]{8,}')) END AS n_links,
+  md5(regexp_replace(text, '([\p{L}\p{M}\p{N}]{8,})', '[\1]', 'g')) AS shown FROM documents"""
+)
+def linked_words(spark, sf):
+    # Every long word of a text is a label; all its places are linked.
+    labels = F.array_distinct(F.regexp_extract_all("text", F.lit(_LONG), 0))
+    links = F.transform(labels, lambda x: F.struct(F.lower(x).alias("word"), F.lit("en").alias("lang"), F.lit(None).cast("string").alias("anchor"), x.alias("label")))
+    parts = _docs(spark, sf).select("doc_id", segments.linked_text(F.col("text"), links).alias("parts"))
+    shown = F.transform("parts", lambda p: F.when(p["link"].isNotNull(), F.concat(F.lit("["), p["text"], F.lit("]"))).otherwise(p["text"]))
+    n = F.size(F.filter("parts", lambda p: p["link"].isNotNull()))
+    return parts.select("doc_id", F.when(F.col("parts").isNotNull(), n.cast("long")).alias("n_links"), F.md5(F.array_join(shown, "")).alias("shown"))
+
+
+@query("SELECT doc_id, md5(regexp_replace(text, '((?:the)+)', '[\\1]', 'g')) AS shown FROM documents")
+def bold_segments(spark, sf):
+    # Every 'the' is a range; those that touch are one.
+    before = F.transform(F.split("text", "the", -1), lambda x: F.length(x))
+    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,stop:int>>").alias("found"))
+
+    def step(acc, n):
+        at = acc["at"] + n
+        return F.struct((at + 3).alias("at"), F.array_append(acc["found"], F.struct(at.alias("start"), (at + 3).alias("stop"))).alias("found"))
+
+    places = F.aggregate(F.slice(before, F.lit(1), F.size(before) - 1), start, step, lambda acc: acc["found"])
+    parts = segments.bold_text(F.col("text"), places)
+    shown = F.transform(parts, lambda p: F.when(p["bold"], F.concat(F.lit("["), p["text"], F.lit("]"))).otherwise(p["text"]))
+    return _docs(spark, sf).select("doc_id", F.md5(F.array_join(shown, "")).alias("shown"))
+
+
+@query(
+    """SELECT p_partkey, p_name || '||;' || p_brand || '|rare|/;' || p_type || CASE WHEN p_size % 2 = 0 THEN '|rare,formal| - ;' ELSE '|formal| - ;' END
+  || p_size || CASE WHEN p_size % 2 = 0 THEN '|rare|/' ELSE '||/' END AS shown, p_name || '/' || p_brand || ' - ' || p_type || '/' || p_size AS bare
+FROM part"""
+)
+def marked_forms(spark, sf):
+    # The brand is rare; where its bracket isn't closed, so are the type and the size after it.
+    size = F.col("p_size").cast("string")
+    closing = F.when(F.col("p_size") % 2 == 0, "").otherwise("]")
+    form = F.concat("p_name", F.lit("/["), "p_brand", closing, F.lit(" - {"), "p_type", F.lit("}/"), size)
+    rows = table(spark, sf, "part").select("p_partkey", form.alias("form"))
+    shown = F.transform(segments.form_segments(F.col("form")), lambda s: F.concat(s["text"], F.lit("|"), F.array_join(s["markers"], ","), F.lit("|"), F.coalesce(s["separator"], F.lit(""))))
+    return rows.select("p_partkey", F.array_join(shown, ";").alias("shown"), segments.strip_form_markers(F.col("form")).alias("bare"))
 
 
 @query("SELECT doc_id, md5(text) AS digest FROM documents")

@@ -13,7 +13,7 @@ def abbreviated(parts: list[str]) -> str:
     """Variants with what they share written once.
 
     Whole words that all variants begin or end with are factored out; a variant that only adds to
-    the one before it is its suffix in brackets; others drop the shortest shared start of four
+    the one before it is its suffix in brackets, the last of several alone; others drop the shortest shared start of four
     letters or more.
     """
     if len(parts) < 2:
@@ -28,7 +28,7 @@ def abbreviated(parts: list[str]) -> str:
     words = [" ".join(r[: len(r) - tail]) for r in rest]
     items: list[list[str]] = []
     for w in words:
-        if items and not items[-1][1] and w.startswith(items[-1][0]) and len(w) > len(items[-1][0]):
+        if items and w.startswith(items[-1][0]) and len(w) > len(items[-1][0]):
             items[-1][1] = w[len(items[-1][0]) :]
         else:
             items.append([w, ""])
@@ -40,16 +40,8 @@ def abbreviated(parts: list[str]) -> str:
         for item, n in zip(items[1:], shared, strict=True):
             if n >= 4 and not first.endswith(item[0][cut:]):
                 item[0] = "-" + item[0][cut:]
-    return front + "/".join(w + (f"({more})" if more else "") for w, more in items) + back
-
-
-def _abbreviated_series(variants):
-    return variants.map(lambda v: None if v is None else abbreviated(list(v)))
-
-
-def abbreviate(variants: str) -> Column:
-    """The shown form of a column of variants."""
-    return pandas_udf(_abbreviated_series, "string")(variants)
+    shown = [w + (f"({more})" if more else "") for w, more in items]
+    return front + shown[0] + "".join(x if x.startswith("(") else "/" + x for x in shown[1:]) + back
 
 
 def emphasised(text: str, ranges: list[tuple[int, int]]) -> list[tuple[str, bool]]:
