@@ -262,24 +262,24 @@ def _literal(c: Column) -> Column:
 
 def _any_of(labels: Column) -> Column:
     """A pattern of labels between borders of words, longest first, that branches by the first character."""
-    size = lambda x: F.struct((-F.length(x)).alias("n"), x.alias("label"))
-    return _let(F.transform(F.array_sort(F.transform(labels, size)), lambda x: x["label"]), _branches)
+    first = lambda x: F.substring(x, 1, 1)
+    order = lambda x: F.struct(first(x).alias("first"), (-F.length(x)).alias("n"), x.alias("label"))
 
+    def branches(rows: Column) -> Column:
+        # Sorted rows open a branch where their first character differs from the row's before.
+        def each(x: Column, i: Column) -> Column:
+            label = x["label"]
+            fresh = F.concat(F.when(i > 0, ")|").otherwise(""), _literal(x["first"]), F.lit("(?:"))
+            rest = F.concat(_literal(F.substr(label, F.lit(2))), F.when(label.rlike(rf"(?s){LETTER}\z"), rf"(?!{LETTER})").otherwise(""))
+            same = F.coalesce(F.get(rows, i - 1)["first"] == x["first"], F.lit(False))
+            return F.concat(F.when(same, "|").otherwise(fresh), rest)
 
-def _branches(ordered: Column) -> Column:
-    firsts = F.array_distinct(F.transform(ordered, lambda x: F.substring(x, 1, 1)))
-
-    def rest(x: Column) -> Column:
-        return F.concat(_literal(F.substr(x, F.lit(2))), F.when(F.regexp_like(x, F.lit(rf"(?s){LETTER}\z")), rf"(?!{LETTER})").otherwise(""))
-
-    def branch(c: Column) -> Column:
-        own = F.transform(F.filter(ordered, lambda x: F.substring(x, 1, 1) == c), rest)
-        return F.concat(_literal(c), F.lit("(?:"), F.array_join(own, "|"), F.lit(")"))
+        return F.concat(F.array_join(F.transform(rows, each), ""), F.lit("))"))
 
     def side(letters: bool) -> Column:
-        chosen = F.filter(firsts, lambda c: c.rlike(LETTER) if letters else ~c.rlike(LETTER))
-        joined = F.concat(F.lit(rf"(?<!{LETTER})(?:" if letters else "(?:"), F.array_join(F.transform(chosen, branch), "|"), F.lit(")"))
-        return F.when(F.size(chosen) > 0, joined)
+        chosen = F.filter(labels, lambda x: first(x).rlike(LETTER) if letters else ~first(x).rlike(LETTER))
+        joined = F.concat(F.lit(rf"(?<!{LETTER})(?:" if letters else "(?:"), _let(F.array_sort(F.transform(chosen, order)), branches))
+        return F.when(F.exists(labels, lambda x: first(x).rlike(LETTER) if letters else ~first(x).rlike(LETTER)), joined)
 
     return F.concat_ws("|", side(True), side(False))
 
