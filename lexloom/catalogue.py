@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from lexloom.functions import normal, segments
 from lexloom.functions import text as t
-from lexloom.operators import audit, conjugation, dedup, entry_details, form_quality, forms, index, links, readings, search, verb_search, verbs, word_search
+from lexloom.operators import audit, bundle_audit, conjugation, dedup, entry_details, form_quality, forms, history, index, links, readings, search, verb_search, verbs, word_search
 from lexloom.operators.index_tables import lexicon_index
 from lexloom.plans import lexicon as lx
 from lexloom.plans import paradigms
@@ -1092,6 +1092,67 @@ def abbreviate_variants(spark, sf):
     return groups.select("lang", "stem", segments.shown_variants(F.col("variants")).alias("shown"))
 
 
+_PARTS_AS_TABLES = """tables AS (
+  SELECT p_name AS name, p_retailprice / 120 AS freq, p_size, CASE WHEN p_size % 4 = 0 THEN [[p_brand, p_type]] WHEN p_size % 4 = 1 THEN [[p_brand], ['']]
+    WHEN p_size % 4 = 2 THEN [['', ''], ['']] ELSE [[p_brand, ''], ['<' || p_type || '>']] END AS rows FROM part WHERE p_size IS NOT NULL)"""
+_TABLE_SHAPE = [("present", 2), ("past", 1)]
+
+
+def _part_tables(spark, sf):
+    # Brands and types stand for cells; sizes decide what is wrong with a table.
+    size, none = F.col("p_size") % 4, F.lit("")
+    rows = (
+        F.when(size == 0, F.array(F.array("p_brand", "p_type")))
+        .when(size == 1, F.array(F.array("p_brand"), F.array(none)))
+        .when(size == 2, F.array(F.array(none, none), F.array(none)))
+        .otherwise(F.array(F.array(F.col("p_brand"), none), F.array(F.concat(F.lit("<"), "p_type", F.lit(">")))))
+    )
+    return table(spark, sf, "part").where("p_size is not null").select(F.col("p_name").alias("name"), rows.alias("conjugation"), (F.col("p_retailprice") / 120).alias("freq"))
+
+
+@query(
+    f"""WITH {_PARTS_AS_TABLES}, found AS (
+  SELECT name, 'duplicate root' AS reason, NULL AS tense, count(*) - 1 AS n FROM tables GROUP BY name
+  UNION ALL SELECT name, 'wrong tense count', NULL, count(*) FILTER (p_size % 4 = 0) FROM tables GROUP BY name
+  UNION ALL SELECT name, 'wrong row shape', 'present', count(*) FILTER (p_size % 4 = 1) FROM tables GROUP BY name
+  UNION ALL SELECT name, 'empty table', NULL, count(*) FILTER (p_size % 4 = 2) FROM tables GROUP BY name
+  UNION ALL SELECT name, 'dirty cell', NULL, count(*) FILTER (p_size % 4 = 3) FROM tables GROUP BY name
+  UNION ALL SELECT name, 'invalid frequency', NULL, count(*) FILTER (p_size % 4 <> 0 AND freq > 8) FROM tables GROUP BY name)
+SELECT * FROM found WHERE n > 0"""
+)
+def conjugation_violations(spark, sf):
+    return bundle_audit.record_violations(_part_tables(spark, sf), _TABLE_SHAPE)
+
+
+@query(
+    f"""WITH {_PARTS_AS_TABLES}, cells AS (SELECT r.k, unnest(tables.rows[r.k]) AS cell FROM tables, unnest([1, 2]) r(k) WHERE r.k <= len(tables.rows))
+SELECT CASE k WHEN 1 THEN 'present' ELSE 'past' END AS tense, count(*) FILTER (cell <> '') AS filled, count(*) AS total FROM cells GROUP BY k"""
+)
+def tense_filled_cells(spark, sf):
+    return bundle_audit.filled_cells(_part_tables(spark, sf), _TABLE_SHAPE)
+
+
+@query(
+    r"""WITH a AS (SELECT unnest(regexp_extract_all(text, '[\p{L}]+')) AS word FROM documents), b AS (SELECT unnest(regexp_extract_all(text, '[\p{L}]+')) AS word FROM conversations),
+more AS (FROM b EXCEPT ALL FROM a), less AS (FROM a EXCEPT ALL FROM b)
+SELECT word, count(*) AS surplus FROM more GROUP BY word UNION ALL SELECT word, -count(*) FROM less GROUP BY word"""
+)
+def artifact_difference(spark, sf):
+    words = lambda df: df.select(F.explode(F.regexp_extract_all("text", F.lit(r"[\p{L}]+"), 0)).alias("word"))
+    return bundle_audit.difference(words(_docs(spark, sf)), words(table(spark, sf, "conversations")))
+
+
+@query(
+    """WITH newest AS (SELECT user_id, event_type, floor(value)::BIGINT AS item, max(ts) AS seen FROM events GROUP BY ALL)
+SELECT user_id, event_type, item, row_number() OVER (PARTITION BY user_id ORDER BY seen DESC NULLS LAST, event_type NULLS FIRST, item NULLS FIRST) AS rank FROM newest
+QUALIFY rank <= 30"""
+)
+def recent_items(spark, sf):
+    # An event's type and whole value stand for a language and a word; 30 a user is the feature.
+    views = table(spark, sf, "events").select("user_id", "event_type", F.floor("value").alias("item"), F.col("ts").alias("seen"))
+    return history.recent(views, ["user_id"], ["event_type", "item"], "seen").select("user_id", "event_type", "item", F.col("rank").cast("long").alias("rank"))
+
+
 _LONG = r"[\p{L}\p{M}\p{N}]{8,}"
 
 
