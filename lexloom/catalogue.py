@@ -8,9 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from lexloom.functions import normal, segments
+from lexloom.functions import entry_view, normal, segments
 from lexloom.functions import text as t
-from lexloom.operators import audit, bundle_audit, conjugation, dedup, entry_details, form_quality, forms, history, index, links, readings, search, verb_search, verbs, word_search
+from lexloom.operators import audit, bundle_audit, conjugation, dedup, entry_details, form_quality, forms, history, index, links, point_reads, readings, search, verb_search, verbs, word_search
 from lexloom.operators.index_tables import lexicon_index
 from lexloom.plans import lexicon as lx
 from lexloom.plans import paradigms
@@ -1153,6 +1153,61 @@ def recent_items(spark, sf):
     return history.recent(views, ["user_id"], ["event_type", "item"], "seen").select("user_id", "event_type", "item", F.col("rank").cast("long").alias("rank"))
 
 
+@query(
+    f"""WITH {_TOK}, here AS (SELECT DISTINCT unnest(list_filter(regexp_split_to_array(regexp_replace(lower(text), '[^\\p{{L}}\\p{{M}}\\p{{N}}\\s]', ' ', 'g'), '\\s+'), lambda x: x <> '')) AS name FROM conversations),
+there AS (SELECT w AS name, count(*) AS n FROM tok GROUP BY w),
+asked AS (SELECT DISTINCT unnest(list_filter(regexp_split_to_array(regexp_replace(lower(text), '[^\\p{{L}}\\p{{M}}\\p{{N}}\\s]', ' ', 'g'), '\\s+'), lambda x: x <> '')) AS name FROM benchmark)
+SELECT asked.name, CASE WHEN here.name IS NOT NULL THEN 'installed' WHEN there.name IS NOT NULL THEN 'chunk' END AS place,
+  CASE WHEN here.name IS NOT NULL THEN 'here' ELSE there.n::VARCHAR END AS record
+FROM asked LEFT JOIN here ON here.name = asked.name LEFT JOIN there ON there.name = asked.name"""
+)
+def record_fetch(spark, sf):
+    # Words of conversations are installed, those of documents published in chunks; words of the benchmark are asked.
+    words = lambda name: table(spark, sf, name).select(F.explode(t.tokens(F.col("text"))).alias("name"))
+    lang = F.lit("xx").alias("lang")
+    installed = words("conversations").distinct().select(lang, "name", F.lit("here").alias("record"))
+    chunks = words("documents").groupBy("name").agg(F.count("*").cast("string").alias("record")).select(lang, "name", t.chunk_letter(F.col("name")).alias("letter"), "record")
+    return point_reads.record_cascade(words("benchmark").select(lang, "name"), installed, chunks).drop("lang")
+
+
+@query(
+    """SELECT p_partkey, CASE WHEN p_size % 5 <> 0 AND p_size % 3 <> 0 AND p_type < 'M' THEN lower(p_type) END AS local,
+  'https://words.example/' || url_encode(CASE WHEN p_size % 5 = 0 THEN '*' ELSE '' END || p_name || ' & ' || p_brand).replace('%2A', '*') || '#' || url_encode(p_type) AS url
+FROM part"""
+)
+def link_places(spark, sf):
+    # Types stand for languages, installed if early in the alphabet; sizes for reconstructions and families.
+    word = F.concat(F.when(F.col("p_size") % 5 == 0, "*").otherwise(""), "p_name", F.lit(" & "), "p_brand")
+    kind = F.when(F.col("p_size") % 3 == 0, "family").otherwise("language")
+    local = entry_view.local_language(word, F.lower("p_type"), kind, F.col("p_type") < "M")
+    return table(spark, sf, "part").select("p_partkey", local.alias("local"), entry_view.external_url("https://words.example/", word, F.lit(""), F.col("p_type")).alias("url"))
+
+
+@query(
+    """SELECT p_partkey, p_name || '=' || lower(p_type) || ', North Wales' || '=' || replace(p_name, '-', ' ') || ' ' || lower(p_type) || ' · ' || p_brand || ';' || p_brand || '=Vivaro-Alpine=Vivaro-Alpine' AS readings,
+  CASE WHEN p_size % 2 = 0 THEN 'Inflections:' || p_name || ';' || 'Other forms:' || p_brand ELSE 'Spelling variants:' || p_brand || ';Other forms:' || p_name END AS groups FROM part"""
+)
+def form_display(spark, sf):
+    even = F.col("p_size") % 2 == 0
+    tags = lambda *c: F.array(*c)
+    said = F.struct(tags("p_name", F.lower("p_type")).alias("grammar"), tags("p_brand").alias("qualifiers"))
+    none = F.array().cast("array<struct<grammar:array<string>,qualifiers:array<string>>>")
+    detail = lambda form, kind, labels, readings: F.struct(F.col(form).alias("form"), kind.alias("kind"), labels.alias("tags"), readings.alias("readings"))
+    details = F.array(
+        detail("p_name", F.when(even, "inflection"), tags(F.lower("p_type")), F.array(said)), detail("p_brand", F.when(~even, "variant"), tags(F.lit("Vivaro-Alpine")), none),
+        detail("p_name", F.when(even, "inflection"), tags(F.lit("North-Wales")), F.array(said)),
+    )
+    rows = table(spark, sf, "part").select("p_partkey", details.alias("d"), F.array("p_name", "p_brand").alias("forms"))
+    readings = F.transform(entry_view.form_readings(F.col("d")), lambda r: F.concat_ws("=", r["form"], r["labels"], F.array_join(r["readings"], "|")))
+    groups = F.transform(entry_view.form_groups(F.col("d"), F.col("forms")), lambda g: F.concat_ws(":", g["label"], F.array_join(g["forms"], ",")))
+    return rows.select("p_partkey", F.array_join(readings, ";").alias("readings"), F.array_join(groups, ";").alias("groups"))
+
+
+@query("SELECT p_partkey FROM part WHERE contains(lower(coalesce(p_name, '') || ' ' || coalesce(p_brand, '') || ' ' || coalesce(p_type, '')), 'ring brand#1')")
+def typed_filter(spark, sf):
+    return table(spark, sf, "part").where(entry_view.matches_filter(F.lit(" Ring BRAND#1 "), F.col("p_name"), F.col("p_brand"), F.col("p_type"))).select("p_partkey")
+
+
 _LONG = r"[\p{L}\p{M}\p{N}]{8,}"
 
 
