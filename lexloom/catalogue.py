@@ -981,7 +981,11 @@ def romanization_key(spark, sf):
 # emphasis_ranges, merged_link_tags and verified_local_links stop where their SQL does; these three take all.
 
 
-@query()
+@query(
+    """WITH parts AS (SELECT doc_id, string_split(lower(text), 'the') AS p FROM documents WHERE text IS NOT NULL),
+places AS (SELECT doc_id, k, len(p) AS n, sum(length(p[k]) + 3) OVER (PARTITION BY doc_id ORDER BY k) AS stop FROM parts, unnest(range(1, len(p) + 1)) u(k))
+SELECT doc_id, (stop - 3)::BIGINT AS start, stop::BIGINT AS stop FROM places WHERE k < n"""
+)
 def emphasis_places(spark, sf):
     before = F.split(F.lower("text"), "the", -1)
     start = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<bigint>").alias("found"))
@@ -995,14 +999,14 @@ def emphasis_places(spark, sf):
     return rows.select("doc_id", "start", (F.col("start") + 3).alias("stop"))
 
 
-@query()
+@query("SELECT role, list_aggregate(list_sort(list_distinct(list(left(text, 1)))), 'string_agg', ',') AS tags, min(turn) AS turn FROM conversations GROUP BY role")
 def merged_turn_tags(spark, sf):
     rows = table(spark, sf, "conversations").select("role", "turn", F.array(F.substring("text", 1, 1)).alias("tags"))
     small = rows.groupBy("role", "tags").agg(F.min("turn").alias("turn"))
     return links.merged_links(small, ["role"], "turn", "tags").select("role", F.array_join(F.array_sort("tags"), ",").alias("tags"), "turn")
 
 
-@query()
+@query(f"WITH {_LEX} SELECT lang, w AS word, EXISTS (FROM lex e WHERE e.lang = 'en' AND e.w = lex.w) AS verified FROM lex")
 def verified_links(spark, sf):
     words = lx.token_totals(_docs(spark, sf)).select("lang", F.col("w").alias("word"))
     asked = words.select(F.lit("en").alias("lang"), "word", F.col("lang").alias("own"))
