@@ -51,11 +51,19 @@ def file_manifest(df: DataFrame) -> DataFrame:
 
 
 def sitemap_pages(df: DataFrame, lang: str, name: str, base: str, per_page: int = 40_000) -> DataFrame:
-    """(lang, page, url): distinct quoted names in order of name, paged."""
-    names = df.select(lang, name).distinct()
-    place = F.row_number().over(W.partitionBy(lang).orderBy(name)) - 1
-    page = F.floor(place / per_page).cast("long")
-    return names.select(lang, page.alias("page"), F.concat(F.lit(f"{base}/"), F.col(lang), F.lit("/"), t.url_quote(F.col(name))).alias("url"))
+    """(lang, page, url): distinct quoted names in order of name, paged.
+
+    No language is sorted as a whole: names are numbered among those of equal first four characters, and
+    a table of the blocks' sizes gives each block its offset. Rows without a language have no url.
+    """
+    names = df.select(lang, name).distinct().withColumn("_head", F.substring(name, 1, 4))
+    sizes = names.groupBy(lang, "_head").agg(F.count("*").alias("_size"))
+    before = W.partitionBy(lang).orderBy("_head").rowsBetween(W.unboundedPreceding, -1)
+    offsets = sizes.select(F.col(lang).alias("_lang"), F.col("_head").alias("_block"), F.coalesce(F.sum("_size").over(before), F.lit(0)).alias("_from"))
+    numbered = names.withColumn("_at", F.row_number().over(W.partitionBy(lang, "_head").orderBy(name)))
+    placed = numbered.join(offsets, F.col(lang).eqNullSafe(F.col("_lang")) & F.col("_head").eqNullSafe(F.col("_block")))
+    page = F.floor((F.col("_from") + F.col("_at") - 1) / per_page).cast("long")
+    return placed.select(lang, page.alias("page"), F.concat(F.lit(f"{base}/"), F.col(lang), F.lit("/"), t.url_quote(F.col(name))).alias("url"))
 
 
 def encode_fields(df: DataFrame, key: str, field: str, level: int = 6) -> DataFrame:

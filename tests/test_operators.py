@@ -148,3 +148,14 @@ def test_queries_without_a_cap_take_all(spark, tmp_path):
     assert all(got["en", w] for w in stems)
     shown = {r["stem"]: r["shown"] for r in run("abbreviate_variants")}
     assert shown == {"intern": abbreviated(stems)}
+
+
+def test_sitemap_pages_number_names_over_blocks(spark):
+    words = ["a", "ab", "abcd", "abcde", "abcdf", "b", "zz", "é", "𐍈"]
+    rows = [(lang, w) for lang in ("x", None) for w in words for _ in range(2)] + [("x", None)]
+    got = sinks.sitemap_pages(spark.createDataFrame(rows, "lang string, w string"), "lang", "w", "u", 2).collect()
+    assert sorted(r["page"] for r in got if r["lang"] is None) == [k // 2 for k in range(9)]
+    pages = {r["url"]: r["page"] for r in got if r["url"] is not None}
+    # The null name stands first.
+    assert [pages[f"u/x/{w}"] for w in words[:7]] == [(k + 1) // 2 for k in range(7)]
+    assert sinks.sitemap_pages(spark.createDataFrame([], "lang string, w string"), "lang", "w", "u").count() == 0
