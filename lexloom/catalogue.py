@@ -944,16 +944,34 @@ def flatten_fields(spark, sf):
     return audit.flatten_fields(table(spark, sf, "pages"), "page_id", ["url", "html"])
 
 
+def _the(text):
+    """Ranges of every 'the' of a text."""
+    before = F.transform(F.split(text, "the", -1), lambda x: F.length(x))
+    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,stop:int>>").alias("found"))
+
+    def step(acc, n):
+        at = acc["at"] + n
+        return F.struct((at + 3).alias("at"), F.array_append(acc["found"], F.struct(at.alias("start"), (at + 3).alias("stop"))).alias("found"))
+
+    return F.aggregate(F.slice(before, F.lit(1), F.size(before) - 1), start, step, lambda acc: acc["found"])
+
+
 @query(
-    """WITH s AS (SELECT doc_id, string_split(lower(text), 'the') AS parts FROM documents)
-SELECT doc_id, length(array_to_string(parts[1:k], 'the')) AS start, length(array_to_string(parts[1:k], 'the')) + 3 AS stop
-FROM s, unnest(range(1, len(parts))) u(k) WHERE k <= 3"""
+    """WITH s AS (SELECT doc_id, string_split_regex(lower(text), '(?:the)+') AS p, regexp_extract_all(lower(text), '(?:the)+') AS m FROM documents),
+r AS (SELECT doc_id, length(m[k]) AS n, sum(length(p[k]) + length(m[k])) OVER (PARTITION BY doc_id ORDER BY k) AS stop FROM s, unnest(range(1, len(m) + 1)) u(k))
+SELECT doc_id, (stop - n)::BIGINT AS start, stop::BIGINT AS stop FROM r"""
 )
 def emphasis_ranges(spark, sf):
-    rows = _docs(spark, sf).select("doc_id", F.split(F.lower("text"), "the", -1).alias("parts"))
-    at = rows.select("doc_id", "parts", F.explode(F.slice(F.sequence(F.lit(0), F.size("parts") - 1), 2, 3)).alias("k"))
-    start = F.length(F.array_join(F.expr("slice(parts, 1, k)"), "the")).cast("long")
-    return at.where("k > 0").select("doc_id", start.alias("start"), (start + 3).alias("stop"))
+    # Where the emphasised runs of the shown text lie: touching places are one run.
+    parts = segments.bold_text(F.lower("text"), _the(F.lower("text")))
+    start = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<struct<start:bigint,stop:bigint>>").alias("found"))
+
+    def step(acc, p):
+        stop = acc["at"] + F.length(p["text"])
+        found = F.when(p["bold"], F.array_append(acc["found"], F.struct(acc["at"].alias("start"), stop.alias("stop")))).otherwise(acc["found"])
+        return F.struct(stop.alias("at"), found.alias("found"))
+
+    return _docs(spark, sf).select("doc_id", F.inline(F.aggregate(parts, start, step, lambda acc: acc["found"])))
 
 
 @query(
@@ -1232,15 +1250,7 @@ def linked_words(spark, sf):
 @query("SELECT doc_id, md5(regexp_replace(text, '((?:the)+)', '[\\1]', 'g')) AS shown FROM documents")
 def bold_segments(spark, sf):
     # Every 'the' is a range; those that touch are one.
-    before = F.transform(F.split("text", "the", -1), lambda x: F.length(x))
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,stop:int>>").alias("found"))
-
-    def step(acc, n):
-        at = acc["at"] + n
-        return F.struct((at + 3).alias("at"), F.array_append(acc["found"], F.struct(at.alias("start"), (at + 3).alias("stop"))).alias("found"))
-
-    places = F.aggregate(F.slice(before, F.lit(1), F.size(before) - 1), start, step, lambda acc: acc["found"])
-    parts = segments.bold_text(F.col("text"), places)
+    parts = segments.bold_text(F.col("text"), _the(F.col("text")))
     shown = F.transform(parts, lambda p: F.when(p["bold"], F.concat(F.lit("["), p["text"], F.lit("]"))).otherwise(p["text"]))
     return _docs(spark, sf).select("doc_id", F.md5(F.array_join(shown, "")).alias("shown"))
 
@@ -1305,11 +1315,14 @@ def rejection_reasons(spark, sf):
     return audit.reasons(_docs(spark, sf), ["source"], reason, F.col("doc_id"), "doc_id")
 
 
-@query("SELECT role, list_aggregate(list_sort(list_distinct(list(lang))), 'string_agg', ',') AS tags, min(turn) AS turn FROM (SELECT role, turn, left(text, 1) AS lang FROM conversations WHERE turn < 2) GROUP BY role")
+@query(
+    r"""WITH words AS (SELECT role, turn, unnest(list_filter(regexp_split_to_array(regexp_replace(lower(text), '[^\p{L}\p{M}\p{N}\s]', ' ', 'g'), '\s+'), lambda x: x <> '')) AS w FROM conversations)
+SELECT role, list_aggregate(list_sort(list_distinct(list(left(w, 1)))), 'string_agg', ',') AS tags, min(turn) AS turn FROM words GROUP BY role"""
+)
 def merged_link_tags(spark, sf):
-    rows = table(spark, sf, "conversations").where("turn < 2").select("role", "turn", F.array(F.substring("text", 1, 1)).alias("tags"))
+    words = table(spark, sf, "conversations").select("role", "turn", F.explode(t.tokens(F.col("text"))).alias("w"))
     # Distinct tags first, so that a hot role is a short list.
-    small = rows.groupBy("role", "tags").agg(F.min("turn").alias("turn"))
+    small = words.groupBy("role", F.array(F.substring("w", 1, 1)).alias("tags")).agg(F.min("turn").alias("turn"))
     return links.merged_links(small, ["role"], "turn", "tags").select("role", F.array_join(F.array_sort("tags"), ",").alias("tags"), "turn")
 
 
@@ -1320,11 +1333,11 @@ def installed_version(spark, sf):
 
 
 @query(
-    f"""WITH {_LEX}, l AS (SELECT DISTINCT d.lang, unnest(ws[1:5]) AS word FROM toklists d)
+    f"""WITH {_LEX}, l AS (SELECT DISTINCT d.lang, unnest(ws) AS word FROM toklists d)
 SELECT lang, word, EXISTS (FROM lex WHERE lex.lang = 'en' AND lex.w = word) AS verified FROM l"""
 )
 def verified_local_links(spark, sf):
     docs = _docs(spark, sf)
-    asked = docs.select("lang", F.explode(F.slice(t.tokens(F.col("text")), 1, 5)).alias("word")).distinct()
+    asked = docs.select("lang", F.explode(t.tokens(F.col("text"))).alias("word")).distinct()
     english = lx.token_totals(docs).where("lang = 'en'").select("lang", F.col("w").alias("word"))
     return links.verified_links(asked.select(F.lit("en").alias("lang"), "word", F.col("lang").alias("own")), english).select(F.col("own").alias("lang"), "word", "verified")
