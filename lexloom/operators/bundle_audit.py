@@ -13,10 +13,7 @@ from pyspark.sql import functions as F
 Shape = list[tuple[str, int]]
 
 # What no cell of a table may hold, the range of frequencies, and the most ids a prefix has.
-DIRTY = (
-    r"\{\{|\}\}|\[\[|\]\]|Template:|Module:|<[^>]+>|\b(?:Lua|Script) error\b|\x{FFFD}"
-    r"|[\x{0}-\x{8}\x{B}\x{C}\x{E}-\x{1F}]"
-)
+DIRTY = r"\{\{|\}\}|\[\[|\]\]|Template:|Module:|<[^>]+>|\b(?:Lua|Script) error\b|�|[\x00-\x08\x0b\x0c\x0e-\x1f]"
 FREQUENCY = (0.0, 8.0)
 PREFIX_IDS = 200
 
