@@ -23,6 +23,8 @@ EXACT, INFLECTED, ALIAS, WORD, FORMS, GLOSS, SOUND, SOUND_PREFIX, PART, ROMAN, R
 QUALITY = {EXACT: 0, INFLECTED: 5, ALIAS: 5, WORD: 10, FORMS: 20, GLOSS: 40, SOUND: 5, SOUND_PREFIX: 30, PART: 50, ROMAN: 6, ROMAN_PREFIX: 40}
 ADDS_ONLY = (INFLECTED, ALIAS, SOUND_PREFIX, PART)
 LIMIT, FEW, NO_GLOSS = 50, 5, 9999
+#: Queries that are broadcast; more of them meet the entries by a shuffle.
+BROADCAST_QUERIES = 5_000
 
 _NONE = "array<string>"
 
@@ -152,12 +154,16 @@ def _first(rows: DataFrame, *order: str) -> DataFrame:
     return rows.withColumn("r", F.row_number().over(window)).where(F.col("r") <= LIMIT)
 
 
-def stage_rows(entries: DataFrame, queries: DataFrame) -> DataFrame:
-    """(q, lang, id, stage, quality, place) of every stage over prepared entries and asked queries."""
+def stage_rows(entries: DataFrame, queries: DataFrame, side: str = "merge") -> DataFrame:
+    """(q, lang, id, stage, quality, place) of every stage over prepared entries and asked queries.
+
+    ``side`` is the hint of the queries, ``broadcast`` if they are few; entries are never broadcast.
+    """
+    entries, queries = entries.hint("merge"), queries.hint(side)
     form_keys = entries.select("id", "lang", "freq", F.explode("form_keys").alias("k"))
     in_word = _first(_all_terms(entries, queries, "word_tokens", "terms"))
     hits = in_word.groupBy("q", "lang").agg(F.count("*").alias("hits"))
-    few = queries.join(hits, ["q", "lang"], "left").where((F.coalesce("hits", F.lit(0)) < FEW) & (F.length(F.concat_ws(" ", "spoken")) >= 3))
+    few = queries.join(hits, ["q", "lang"], "left").where((F.coalesce("hits", F.lit(0)) < FEW) & (F.length(F.concat_ws(" ", "spoken")) >= 3)).hint(side)
     sounding = _all_terms(entries, queries, "sound_tokens", "sound_terms", prefix=False)
     sounding = sounding.join(queries.select("q", "lang", "sound"), ["q", "lang"]).join(entries.select("id", "lang", F.col("sound").alias("of")), ["id", "lang"])
     said = _first(_all_terms(entries, queries, "sound_tokens", "sound_terms")).join(queries.select("q", "lang", "latin"), ["q", "lang"])
@@ -186,24 +192,28 @@ def stage_rows(entries: DataFrame, queries: DataFrame) -> DataFrame:
     return rows
 
 
-def matches(entries: DataFrame, queries: DataFrame) -> DataFrame:
+def matches(entries: DataFrame, queries: DataFrame, side: str = "merge") -> DataFrame:
     """One row per (q, lang, word, pos): the best quality, and the stage and place that saw it first.
 
     Inflections, aliases, sound prefixes and parts only add what no earlier stage has; the other
-    stages replace by better quality.
+    stages replace by better quality. Each stage's rows of a key are one before the stages are compared.
     """
-    found = stage_rows(entries, queries).join(entries.select("id", "lang", "word", "pos", "freq", "key", "glosses"), ["id", "lang"])
-    found = found.join(queries.select("q", "lang", F.col("key").alias("asked_key"), "low"), ["q", "lang"])
+    # Written tables of repeated values are far smaller as files than as rows: without the hints they would be broadcast.
+    shown = entries.hint("merge").select("id", "lang", "word", "pos", "freq", "key", "glosses")
+    found = stage_rows(entries, queries, side).join(shown, ["id", "lang"])
+    found = found.join(queries.hint(side).select("q", "lang", F.col("key").alias("asked_key"), "low"), ["q", "lang"])
     whole = (F.col("stage") == WORD) & (F.col("key") == F.col("asked_key"))
     found = found.withColumn("quality", F.when(whole, 0).otherwise(F.col("quality")))
-    key = ["q", "lang", "word", "pos"]
-    seen = F.struct("stage", "place", "id")
-    found = found.withColumn("first_seen", F.min(seen).over(W.partitionBy(*key)))
-    found = found.where(~F.col("stage").isin(*ADDS_ONLY) | (F.col("stage") == F.col("first_seen.stage")))
     at = F.array_position(F.transform("glosses", lambda g: g.contains(F.col("low"))), True)
     found = found.withColumn("gloss_at", F.when(F.coalesce(at, F.lit(0)) > 0, at - 1).otherwise(NO_GLOSS))
-    best = F.min_by(F.struct("id", "freq", "quality", "stage", "gloss_at"), F.struct("quality", seen))
-    return found.groupBy(*key).agg(best.alias("x"), F.min("first_seen").alias("first_seen")).select(*key, "x.*", "first_seen")
+    key = ["q", "lang", "word", "pos"]
+    seen = F.struct("stage", "place", "id")
+    best = F.min(F.struct("quality", seen.alias("seen"), "id", "freq", "stage", "gloss_at"))
+    staged = found.groupBy(*key, "stage").agg(best.alias("x"), F.min(seen).alias("seen"))
+    staged = staged.withColumn("first_seen", F.min("seen").over(W.partitionBy(*key)))
+    staged = staged.where(~F.col("stage").isin(*ADDS_ONLY) | (F.col("stage") == F.col("first_seen.stage")))
+    out = staged.groupBy(*key).agg(F.min("x").alias("x"), F.min("first_seen").alias("first_seen"))
+    return out.select(*key, "x.id", "x.freq", "x.quality", "x.stage", "x.gloss_at", "first_seen")
 
 
 def ranked(found: DataFrame, limit: int = LIMIT) -> DataFrame:
@@ -233,4 +243,8 @@ def stored(rows: DataFrame, folder: str) -> DataFrame:
 
 def search(entries: DataFrame, queries: DataFrame, folder: str, limit: int = LIMIT) -> DataFrame:
     """(q, lang, word, id, pos, freq, quality, stage, gloss_at, rank) of the best words for each query."""
-    return ranked(matches(stored(prepared(entries), folder), stored(asked(queries), folder)), limit)
+    # Keys cost far more than the bytes of their rows, so entries are spread before.
+    tasks = max(int(entries.sparkSession.conf.get("spark.sql.shuffle.partitions")), entries.sparkSession.sparkContext.defaultParallelism)
+    rows, terms = stored(prepared(entries.repartition(tasks)), folder), stored(asked(queries), folder)
+    side = "broadcast" if terms.count() <= BROADCAST_QUERIES else "merge"
+    return ranked(matches(rows, terms, side), limit)

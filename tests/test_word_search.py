@@ -158,3 +158,17 @@ def test_composed_and_decomposed_texts_are_equal(spark, tmp_path):
     for lang, w in words:
         assert got[w, lang] == got[nfd(w), lang] == {(w, 0), (nfd(w), 0)}
     assert {w for w, _ in got["ｶﾞﾗｽ", "ja"]} == {w for w, _ in got["がらす", "ja"]} == {"ガラス", nfd("ガラス")}
+
+
+def test_entries_are_never_broadcast(spark, tmp_path):
+    # Files of repeated values are small and their rows are not: only queries may be sent to all tasks.
+    entries = spark.createDataFrame(ENTRIES, SCHEMA)
+    found = s.search(entries, spark.createDataFrame([("fer", "fr"), ("spiti", "el")], "q string, lang string"), str(tmp_path))
+
+    def sent(node):
+        at = node.children().iterator()
+        below = [x for child in iter(lambda: at.next() if at.hasNext() else None, None) for x in sent(child)]
+        return below + ([node.output().mkString(",")] if node.nodeName().startswith("BroadcastExchange") else [])
+
+    outputs = sent(found._jdf.queryExecution().executedPlan())
+    assert outputs and not [x for x in outputs if re.search(r"\bid#", x)]
