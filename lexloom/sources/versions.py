@@ -29,12 +29,13 @@ _ROW = "label string, base string, at timestamp, status string, tables map<strin
 
 @dataclass
 class Layout:
-    """Rows of one table; ``key`` names the column whose hash picks the bucket."""
+    """Rows of one table; ``key`` names the column whose hash picks the bucket, where ``distinct`` rows lose their repeats."""
 
     rows: DataFrame
     key: str | None = None
     buckets: int = 1
     order: list[str] = field(default_factory=list)
+    distinct: bool = False
 
 
 def bucket(key: Column, buckets: int) -> Column:
@@ -98,7 +99,8 @@ class Versions:
             layout = tables[name]
             rows = layout.rows
             if layout.key:
-                rows = rows.withColumn(BUCKET, bucket(F.col(layout.key), layout.buckets)).repartition(BUCKET).sortWithinPartitions(BUCKET, *layout.order)
+                rows = rows.withColumn(BUCKET, bucket(F.col(layout.key), layout.buckets)).repartition(BUCKET)
+                rows = (rows.distinct() if layout.distinct else rows).sortWithinPartitions(BUCKET, *layout.order)
             seen = Observation()
             writer = rows.observe(seen, *_measures(rows)).write
             (writer.partitionBy(BUCKET) if layout.key else writer).parquet(f"{base}/{name}")
