@@ -138,6 +138,10 @@ def zipf(count: Column, total: Column) -> Column:
     return F.round(F.log10(count / total) + 9, 2)
 
 
+def _once(value: Column, f) -> Column:
+    return F.get(F.transform(F.array(value), f), 0)
+
+
 def mapped(c: Column, mapping: dict[str, str]) -> Column:
     """All replacements in one pass, the longest key first: keys become private signs, then values."""
     keys = sorted(mapping, key=len, reverse=True)
@@ -154,9 +158,10 @@ def romanization_key(c: Column, lang: str) -> Column:
         return F.lit(None).cast("string")
     mapping = ROMANIZATION[lang]
     strict = F.lower(F.trim(c))
-    loose = mapped(strip_diacritics(mapped(strict, mapping)), mapping)
-    loose = F.trim(F.regexp_replace(F.regexp_replace(loose, "[’'ʼʹʺ]", ""), r"[\s-]+", " "))
-    return F.when(strict == "", None).when(loose == "", strict).otherwise(loose)
+    # Values that are named more than once are made once.
+    bare = _once(mapped(strict, mapping), strip_diacritics)
+    loose = F.trim(F.regexp_replace(F.regexp_replace(mapped(bare, mapping), "[’'ʼʹʺ]", ""), r"[\s-]+", " "))
+    return F.when(strict == "", None).otherwise(_once(loose, lambda x: F.when(x == "", strict).otherwise(x)))
 
 
 # The ordered rewrites of the Greek key; U stands for a settled u.

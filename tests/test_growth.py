@@ -1,5 +1,8 @@
 """What keeps figures from growing faster than the input."""
 
+from pyspark.sql import functions as F
+
+from lexloom import catalogue
 from lexloom.operators import index_tables
 from lexloom.sources.versions import Versions
 
@@ -27,3 +30,14 @@ def test_postings_are_distinct_and_bucketed_by_their_own_rows(spark, tmp_path, m
     assert sorted((r.w, r.doc_id) for r in found["postings"].rows().collect()) == [("a", 1), ("a", 2), ("b", 1), ("c", 2), ("d", 2)]
     # Seven tokens of four words.
     assert found["postings"].buckets == 7
+
+
+def test_romanised_words_are_spread_by_number(spark, sf):
+    plan = catalogue.QUERIES["romanization_words"](spark, sf)._jdf.queryExecution().executedPlan().toString()
+    assert "REPARTITION_BY_NUM" in plan
+
+
+def test_romanised_keys_stay_as_they_were(spark):
+    rows = spark.createDataFrame([("Šč áž",), ("  ",), ("’",), (None,), ("ǰ-x",)], "w string")
+    got = [r[0] for r in rows.select(t.romanization_key(F.col("w"), "ru")).collect()]
+    assert got == ["shch azh", None, "’", None, "y kh"]
