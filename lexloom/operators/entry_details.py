@@ -58,7 +58,7 @@ def _left(c: Column) -> Column:
 
 def _clean(c: Column) -> Column:
     """Clean text without the white space around it."""
-    return t.clean_text(F.regexp_replace(_left(c), r"(?U)[\s\x1c-\x1f]+\z", ""))
+    return _bound(F.regexp_replace(_left(c), r"(?U)[\s\x1c-\x1f]+\z", ""), t.clean_text)
 
 
 def emphasis(text: Column, raw: Column, offsets: Column) -> Column:
@@ -185,13 +185,14 @@ def romanizations() -> Column:
 
     def reading(f: Column) -> Column:
         stated = F.coalesce(F.arrays_overlap(f["tags"], F.array(F.lit("romanization"), F.lit("transliteration"))), F.lit(False))
-        return _clean(F.when(stated, f["form"]).when(f["form"] == F.col("word"), f["roman"]))
+        return F.when(stated, f["form"]).when(f["form"] == F.col("word"), f["roman"])
 
     def good(x: Column) -> Column:
         return x.isNotNull() & ~x.isin(*DASHES) & ~x.rlike(r"[/,;()\[\]{}<>]") & x.rlike(f"[{some}]") & ~x.rlike(rf"[\p{{L}}&&[^{letters}]]")
 
     own = F.filter("forms", lambda f: F.coalesce(f["source"], F.lit("")) == "")
-    found = F.array_distinct(F.filter(F.transform(own, reading), good))
+    # Repeated texts go before they are cleaned and tested.
+    found = F.filter(F.array_distinct(F.transform(F.array_distinct(F.transform(own, reading)), _clean)), good)
     return F.when(F.col("lang_code").isin(*t.ROMANIZATION), F.coalesce(found, _empty("array<string>"))).otherwise(_empty("array<string>"))
 
 

@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from lexloom import catalogue
-from lexloom.operators import index_tables
+from lexloom.operators import entry_details, index_tables
 from lexloom.sources.versions import Versions
 
 
@@ -37,7 +37,19 @@ def test_romanised_words_are_spread_by_number(spark, sf):
     assert "REPARTITION_BY_NUM" in plan
 
 
+def test_readings_are_made_once(spark, sf):
+    plan = catalogue.QUERIES["headword_romanizations"](spark, sf)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("romanization, ") + plan.count("arrays_overlap") == plan.count("arrays_overlap") == 1
+
+
 def test_romanised_keys_stay_as_they_were(spark):
     rows = spark.createDataFrame([("Šč áž",), ("  ",), ("’",), (None,), ("ǰ-x",)], "w string")
     got = [r[0] for r in rows.select(t.romanization_key(F.col("w"), "ru")).collect()]
     assert got == ["shch azh", None, "’", None, "y kh"]
+
+
+def test_readings_of_repeated_forms_keep_their_order(spark):
+    forms = "array<struct<form:string,tags:array<string>,source:string,roman:string>>"
+    tag = ["romanization"]
+    rows = spark.createDataFrame([("ru", "слово", [("b ", tag, None, None), ("a", tag, None, None), ("b", tag, None, None), ("b ", tag, None, None), ("-", tag, None, None)])], f"lang_code string, word string, forms {forms}")
+    assert rows.select(entry_details.romanizations().alias("r")).first().r == ["b", "a"]
