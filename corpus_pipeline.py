@@ -13,19 +13,25 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexloom.llm import bpe_codec, language_id, mixing, ngram_join, secrets
-from lexloom.llm.common import BROADCAST_IDS, importable, sized
+from lexloom.llm.common import BROADCAST_IDS, importable, sized, small_batches
 from lexloom.session import checkpoint_dir
 
 #: Near-duplicates of the corpus: five-word shingles, similarity of 0.8 or more.
 SHINGLE, PERCENT = 5, 80
 
 
+def _python_ready(spark: SparkSession) -> None:
+    """Workers find the package and get texts in small batches, which bounds their memory."""
+    importable(spark)
+    small_batches(spark)
+
+
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep documents whose language is clear; a null ``lang`` is filled with the prediction.
 
     Texts that are null or without letters, and those between two languages, are rejected.
     """
-    importable(spark)
+    _python_ready(spark)
     model = language_id.train(docs)
     named = language_id.with_language(docs, model)
     kept = named.where((F.col("lang_pred") != language_id.UNKNOWN) & ~F.col("ambiguous"))
@@ -37,7 +43,7 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
     Rows without an id belong to no group and stay.
     """
-    importable(spark)
+    _python_ready(spark)
     join = ngram_join.JaccardJoin(docs, SHINGLE, PERCENT)
     dropped = join.duplicates()
     kept = docs.join(sized(dropped, BROADCAST_IDS), docs["doc_id"] == dropped["id"], "left_anti")
@@ -66,7 +72,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def encode_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """(doc_id, ids) of every copy."""
-    importable(spark)
+    _python_ready(spark)
     return bpe_codec.encode(docs, public_tokenizers.path("word_bpe_49k.json"))
 
 

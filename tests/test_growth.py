@@ -2,11 +2,23 @@
 
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from lexloom import catalogue
 from lexloom.operators import entry_details, index_tables
 from lexloom.sources.versions import Versions
 
 
+def test_stages_of_the_pipeline_get_small_batches(spark):
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    docs = spark.createDataFrame([(1, "the dog and the cat", "en", "a", 19)], "doc_id long, text string, lang string, source string, n_chars long")
+    before = spark.conf.get(name)
+    for stage in (corpus_pipeline.identify_language, corpus_pipeline.drop_near_duplicates, corpus_pipeline.encode_ids):
+        spark.conf.set(name, "10000")
+        stage(spark, docs, "")
+        assert int(spark.conf.get(name)) <= 1000
+    spark.conf.set(name, before)
+
+
 def _parts(spark, tmp_path, *names):
     spark.createDataFrame([(1, "a b b", "en"), (1, "b", "en"), (2, "A c d", "en")], "doc_id long, text string, lang string").write.parquet(f"{tmp_path}/docs")
     docs, root = spark.read.parquet(f"{tmp_path}/docs"), f"file://{tmp_path}/index"
