@@ -19,7 +19,7 @@ import ahocorasick
 import numpy as np
 import regex
 
-from lexloom.llm.common import Memo, Recent
+from lexloom.llm.common import Memo, Recent, kept
 
 #: Stands for the end-of-word mark: no byte is shown as this character.
 END = "\x00"
@@ -273,11 +273,6 @@ class PrefixBpe:
         return len(ids) // 4, hashlib.sha256(ids).hexdigest(), hashlib.sha256(decoded.encode()).hexdigest()
 
 
-_loaded: dict[str, PrefixBpe] = {}
-
-
 def encoder(path: str) -> PrefixBpe:
-    """One encoder per Python worker and file; workers are reused across tasks."""
-    if path not in _loaded:
-        _loaded[path] = PrefixBpe(path)
-    return _loaded[path]
+    """One encoder per Python worker and file."""
+    return kept(path, lambda: PrefixBpe(path))

@@ -29,7 +29,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, DoubleType, StringType, StructField, StructType
 
-from lexloom.llm.common import BROADCAST_IDS, Memo, documents, map_texts
+from lexloom.llm.common import BROADCAST_IDS, Memo, documents, forget, map_texts
 
 UNKNOWN = "und"
 BUCKETS = 1 << 15
@@ -241,6 +241,7 @@ def with_language(df: DataFrame, model: Model | None, text_col: str = "text") ->
     at = own.index(text_col)
 
     def run(batches):
+        forget()
         decide = _decider(model)
         for batch in batches:
             for start in range(0, batch.num_rows, 2000):

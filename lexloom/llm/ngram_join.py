@@ -40,12 +40,14 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexloom.llm import shingles
-from lexloom.llm.common import BROADCAST_IDS, Tables, documents, sized
+from lexloom.llm.common import BROADCAST_IDS, Tables, documents, forget, sized
 from lexloom.llm.components import components
 
 N, PERCENT = 4, 85
 #: N-grams that may be told to be frequent, and n-grams of distinct sets of one local count.
 HOT, CHUNK = 1 << 18, 2_000_000
+#: Bytes of text that a worker handles at once.
+STEP = 1 << 20
 #: A local count below this is not sent on: the n-gram stays among the rare ones.
 LEAST = 2
 FRAGMENTS = 8
@@ -63,19 +65,24 @@ def _hot_counts(n: int):
         held: list[np.ndarray] = []
         seen: set[bytes] = set()
         size = 0
+        forget()
 
         def flush():
             nonlocal size
             if held:
-                keys, counts = np.unique(np.concatenate(held), return_counts=True)
+                # Sorted in place: few arrays of this size are held at once.
+                s = np.concatenate(held)
+                held.clear()
+                s.sort()
+                starts = np.flatnonzero(np.append(True, s[1:] != s[:-1]))
+                counts = np.diff(starts, append=len(s))
                 keep = counts >= LEAST
-                yield pa.RecordBatch.from_arrays([pa.array(keys[keep]), pa.array(counts[keep])], names=["s", "n"])
-            held.clear()
+                yield pa.RecordBatch.from_arrays([pa.array(s[starts[keep]]), pa.array(counts[keep])], names=["s", "n"])
             seen.clear()
             size = 0
 
         for batch in batches:
-            for part in shingles.steps(batch, 0):
+            for part in shingles.steps(batch, 0, most=STEP):
                 values, offsets = shingles.ngram_sets(part.column(0), n)
                 fresh = []
                 for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True):
@@ -118,8 +125,9 @@ def _parity(s: np.ndarray) -> np.ndarray:
 
 def _prefixes(n: int, percent: int, hot: tuple[np.ndarray, np.ndarray]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         for batch in batches:
-            for part in shingles.steps(batch, 1):
+            for part in shingles.steps(batch, 1, most=STEP):
                 values, offsets = shingles.ngram_sets(part.column(1), n)
                 times = frequency(values, hot)
                 sizes = np.diff(offsets)
@@ -150,8 +158,9 @@ def _segments(n: int, hot: tuple[np.ndarray, np.ndarray], fragments: int):
     pivots = np.linspace(-(2.0**63), 2.0**63, fragments)[1:-1]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         for batch in batches:
-            for part in shingles.steps(batch, 1, 200):
+            for part in shingles.steps(batch, 1, 200, STEP):
                 values, offsets = shingles.ngram_sets(part.column(1), n)
                 of = np.where(frequency(values, hot) > 0, fragments - 1, np.searchsorted(pivots, values.astype(np.float64), "right"))
                 ids = part.column(0).to_pylist()
@@ -223,8 +232,9 @@ def fragment_keys(values: np.ndarray, offsets: np.ndarray, percent: int) -> tupl
 
 def _fragments(n: int, percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         for batch in batches:
-            for part in shingles.steps(batch, 1):
+            for part in shingles.steps(batch, 1, most=STEP):
                 texts, keys = fragment_keys(*shingles.ngram_sets(part.column(1), n), percent)
                 yield pa.RecordBatch.from_arrays([pa.array(keys), part.column(0).take(pa.array(texts))], names=["s", "id"])
 

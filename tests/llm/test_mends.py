@@ -1,10 +1,12 @@
 """Finite vectors of any size, samples with repeated ids, ranges of repetitive texts, and the models' inner steps."""
 
 import numpy as np
+import public_tokenizers
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from lexloom.llm import language_id, quality_classifier, substring_dedup, topk_search
+from lexloom.llm import bpe, common, language_id, ngram_join, quality_classifier, shingles, substring_dedup, topk_search
 from lexloom.llm.common import Tables
 
 MOST = topk_search.MOST
@@ -76,3 +78,17 @@ def test_log_ratios_and_dual_descent_against_plain_python():
         u[:45] += rng.normal(0, 0.01, 45)
         moved = np.array([u[r] @ v + c for r, v in zip(rows, values)])
         assert 0.5 * (u @ u + c * c) + np.maximum(0, 1 - signs * moved).sum() >= primal - 1e-6
+
+
+def test_the_join_frees_the_encoder_that_an_earlier_stage_left():
+    batch = pa.RecordBatch.from_arrays([pa.array([1, 2, 3]), pa.array(["a b c d e f g", "a b c d e f g h", None])], names=["id", "text"])
+    none = np.empty(0, np.int64), np.empty(0, np.int64)
+    for step in (ngram_join._prefixes(5, 80, none), ngram_join._fragments(5, 80), lambda b: ngram_join._hot_counts(5)(x.select([1]) for x in b)):
+        bpe.encoder(public_tokenizers.path("word_bpe_49k.json"))
+        assert common._kept
+        assert list(step(iter([batch])))
+        assert not common._kept
+    got = list(ngram_join._hot_counts(5)(iter([batch.select([1])])))
+    values = shingles.ngram_sets(batch.column(1), 5)[0]
+    keys, counts = np.unique(values, return_counts=True)
+    assert got[0].column(0).to_pylist() == keys[counts > 1].tolist() and set(got[0].column(1).to_pylist()) == {2}
