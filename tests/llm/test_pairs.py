@@ -176,6 +176,59 @@ def test_repeats_behind_leads_by_chance_are_found(spark):
     assert all((r["start"], r["end"], r["first_start"], r["first_end"], r["similarity"]) == (30, 81, 30, 81, 1.0) for r in got)
 
 
+def test_near_repeats_that_share_no_lead_are_found(spark):
+    """The smallest and the largest id hold the least tokens under every pair of functions; the others are near to each other alone."""
+    rnd = random.Random(18)
+    fresh = lambda n: [f"w{rnd.randrange(10**6)}" for _ in range(n)]
+    tokens = lambda w: shingles.run_hashes(*shingles.word_hashes(pa.array([" ".join(w)])), 5)[0]
+    hashes = lambda w, f: substring_dedup.function_hash(tokens(w), f)
+    # Each run of 47 tokens holds the least one under every function.
+    least = {0}
+    while not all(5 <= c <= 46 for c in least):
+        passage = fresh(56)
+        least = {int(hashes(passage, f).argmin()) for f in range(6)}
+
+    def lead():
+        out = []
+        for f in (0, 2, 4):
+            c, d = (int(hashes(passage, g).argmin()) for g in (f, f + 1))
+            while True:
+                part = fresh(15) + passage[c : c + 5] + fresh(6) + passage[d : d + 5] + fresh(20)
+                if hashes(part, f).argmin() == 15 and hashes(part, f + 1).argmin() == 26:
+                    break
+            out += part
+        return " ".join(out)
+
+    def near():
+        """One word changed that no least token holds, so that no other token becomes the least."""
+        while True:
+            p = rnd.randrange(5, 51)
+            out = [*passage[:p], *fresh(1), *passage[p + 1 :]]
+            if not any(p - 4 <= c <= p for c in least) and all(hashes(out, f).argmin() == hashes(passage, f).argmin() for f in range(6)):
+                return out
+
+    rows = [(1, lead()), (100, lead()), (10, " ".join(passage)), (11, " ".join(near()))]
+    got = substring_dedup.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {(r["doc_id"], r["first_id"]) for r in got} == {(11, 10)}
+    assert all(0.8 <= r["similarity"] < 1 and (r["start"], r["end"], r["first_start"], r["first_end"]) == (0, 56, 0, 56) for r in got)
+
+
+def test_runs_that_reach_the_similarity_share_a_token_of_their_prefixes():
+    rng = np.random.default_rng(7)
+    for k in range(300):
+        base = rng.integers(0, 2**63, 80).astype(np.uint64)
+        x, y = base[10 : 60 + k % 20].copy(), base[5 : 58 + k % 17].copy()
+        lead = np.concatenate([base[20 : 20 + k % 45], rng.integers(0, 2**63, 10).astype(np.uint64)])
+        for part in (x, y):
+            part[rng.integers(0, len(part), k % 6)] = rng.integers(0, 2**63, k % 6).astype(np.uint64)
+        if k % 3 == 0:
+            x[30:34] = x[26:30]
+        sets = [[set(part[s : s + 47].tolist()) for s in range(len(part) - 46)] for part in (x, y)]
+        linked = any(100 * len(p & q) >= 80 * len(p | q) for p in sets[0] for q in sets[1])
+        a, b = (set(part[substring_dedup.prefix_places(part, lead, 47, 80)].tolist()) for part in (x, y))
+        assert not linked or a & b
+
+
 def test_every_place_of_a_repeat_has_a_row(spark):
     text = " ".join(f"a{k}" for k in range(60))
     rows = spark.createDataFrame([(1, f"{text} x {text}"), (2, text)], "id long, text string")
