@@ -75,7 +75,7 @@ class PrefixBpe:
                 self._automaton.add_word(t, (i, len(t)))
         self._automaton.make_automaton()
         self._longest = max(map(len, ids), default=1)
-        self._memo = Recent(self._word, memo)
+        self._memo = Recent(self._word, memo // 2)
         # Pre-tokens hold no white space, so each run between white space is encoded on its own, once.
         self.word_counts = Recent(self._last_count, memo)
         self.chunk_counts = Recent(lambda c: sum(map(self.word_counts.__getitem__, self.words(c))), memo)

@@ -27,7 +27,7 @@ def encode(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "te
         return lambda ids, texts: {"id": ids, "ids": [e.encode(t or "") for t in texts]}
 
     arrow = pa.schema([("id", pa.int64()), ("ids", pa.list_(pa.int32()))])
-    return map_texts(df, [id_col, text_col], make, "id long, ids array<int>", arrow).withColumnRenamed("id", id_col)
+    return map_texts(df, [id_col, text_col], make, "id long, ids array<int>", arrow, path).withColumnRenamed("id", id_col)
 
 
 def decode(df: DataFrame, path: str, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
@@ -38,7 +38,7 @@ def decode(df: DataFrame, path: str, id_col: str = "doc_id", ids_col: str = "ids
         return lambda ids, lists: {"id": ids, "decoded": [e.decode(x or []) for x in lists]}
 
     arrow = pa.schema([("id", pa.int64()), ("decoded", pa.string())])
-    return map_texts(df, [id_col, ids_col], make, "id long, decoded string", arrow).withColumnRenamed("id", id_col)
+    return map_texts(df, [id_col, ids_col], make, "id long, decoded string", arrow, path).withColumnRenamed("id", id_col)
 
 
 def encode_digest(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -54,7 +54,7 @@ def encode_digest(df: DataFrame, path: str, id_col: str = "doc_id", text_col: st
         return f
 
     arrow = pa.schema([("id", pa.int64()), ("n_tokens", pa.int64()), ("ids_sha256", pa.string()), ("decoded_sha256", pa.string())])
-    out = map_texts(df, [id_col, text_col], make, "id long, n_tokens long, ids_sha256 string, decoded_sha256 string", arrow)
+    out = map_texts(df, [id_col, text_col], make, "id long, n_tokens long, ids_sha256 string, decoded_sha256 string", arrow, path)
     return out.withColumnRenamed("id", id_col)
 
 

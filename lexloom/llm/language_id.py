@@ -123,9 +123,9 @@ class WordScores:
 
 def gram_counts(texts: list[str]) -> list[tuple[np.ndarray, np.ndarray]]:
     """(n-grams, counts) of each text."""
-    memo, found = Memo(word_grams, 200_000), []
+    memo, found = Memo(lambda word: np.array(word_grams(word), np.int32), 20_000), []
     for text in texts:
-        grams = np.bincount([g for w in text_words(text) for g in memo[w]] or np.empty(0, np.int64), minlength=1)
+        grams = np.bincount(np.concatenate([np.empty(0, np.int32), *(memo[w] for w in text_words(text))]), minlength=1)
         found.append((np.flatnonzero(grams), grams[grams > 0]))
     return found
 

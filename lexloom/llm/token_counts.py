@@ -42,7 +42,7 @@ def token_prefix_counts(
         return f
 
     arrow = pa.schema([("id", pa.int64()), ("ends", pa.list_(pa.int32())), ("counts", pa.list_(pa.int32()))])
-    out = map_texts(df, [id_col, text_col], make, "id long, ends array<int>, counts array<int>", arrow)
+    out = map_texts(df, [id_col, text_col], make, "id long, ends array<int>, counts array<int>", arrow, path)
     return out.withColumnRenamed("id", id_col)
 
 
@@ -82,7 +82,7 @@ def token_totals(
         return f
 
     arrow = pa.schema([("id", pa.int64()), ("n_bytes", pa.int64()), ("n_tokens", pa.int64()), ("over_limit", pa.bool_())])
-    out = map_texts(df, [id_col, text_col], make, "id long, n_bytes long, n_tokens long, over_limit boolean", arrow)
+    out = map_texts(df, [id_col, text_col], make, "id long, n_bytes long, n_tokens long, over_limit boolean", arrow, path)
     return out.withColumnRenamed("id", id_col)
 
 

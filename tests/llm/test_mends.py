@@ -1,5 +1,7 @@
 """Finite vectors of any size, samples with repeated ids, ranges of repetitive texts, and the models' inner steps."""
 
+from collections import Counter
+
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
@@ -92,3 +94,26 @@ def test_the_join_frees_the_encoder_that_an_earlier_stage_left():
     values = shingles.ngram_sets(batch.column(1), 5)[0]
     keys, counts = np.unique(values, return_counts=True)
     assert got[0].column(0).to_pylist() == keys[counts > 1].tolist() and set(got[0].column(1).to_pylist()) == {2}
+
+
+def test_maps_free_what_another_stage_left_and_keep_their_own():
+    class Frame:
+        def select(self, *columns):
+            return self
+
+        def mapInArrow(self, run, schema):
+            return run
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    batch = pa.RecordBatch.from_arrays([pa.array(["a b", "c"])], names=["text"])
+    arrow = pa.schema([("n", pa.int64())])
+    made = lambda: lambda texts: {"n": list(map(len, texts))}
+    for keeps, left in ((path, 1), (None, 0)):
+        first = bpe.encoder(path)
+        assert [b.column(0).to_pylist() for b in common.map_texts(Frame(), ["text"], made, "n long", arrow, keeps)(iter([batch]))] == [[3, 1]]
+        assert len(common._kept) == left
+        assert not left or bpe.encoder(path) is first
+    texts = ["le chat le chat", "", "a " * 50_000]
+    for text, (grams, counts) in zip(texts, language_id.gram_counts(texts), strict=True):
+        want = Counter(g for w in text.split() for g in language_id.word_grams(w))
+        assert dict(zip(grams.tolist(), counts.tolist(), strict=True)) == want
