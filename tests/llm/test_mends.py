@@ -1,5 +1,6 @@
 """Finite vectors of any size, samples with repeated ids, ranges of repetitive texts, and the models' inner steps."""
 
+import time
 from collections import Counter
 
 import numpy as np
@@ -117,3 +118,50 @@ def test_maps_free_what_another_stage_left_and_keep_their_own():
     for text, (grams, counts) in zip(texts, language_id.gram_counts(texts), strict=True):
         want = Counter(g for w in text.split() for g in language_id.word_grams(w))
         assert dict(zip(grams.tolist(), counts.tolist(), strict=True)) == want
+
+
+def plain_passages(x, y, least, percent, shift):
+    """What ``shared_passages`` gives, by sets and without bounds."""
+    place = [min((p for p in range(len(y)) if y[p] == v), key=lambda p: (abs(p - min(max(i + shift, 0), len(y) - 1)), -p), default=None) for i, v in enumerate(x)]
+    places = [i for i, p in enumerate(place) if p is not None]
+    found, stack = [], [(0, len(places))]
+    while stack:
+        lo, hi = stack.pop()
+        own = places[lo:hi]
+        if hi - lo < 2 or own[-1] + 1 - own[0] < least:
+            continue
+        start, end, to = own[0], own[-1] + 1, [place[i] for i in own]
+        off = [b - a for a, b in zip(own, to, strict=True)]
+        near = [b for b, d in zip(to, off, strict=True) if abs(d - sorted(off)[len(own) // 2]) <= max(10, (end - start) // 4)]
+        lo2, hi2 = min(near), max(near) + 1
+        a, b = set(x[start:end]), set(y[lo2:hi2])
+        if 100 * len(a & b) >= percent * len(a | b) and 100 * (hi2 - lo2) >= percent * (end - start):
+            found.append((start, end, lo2, hi2, len(a & b) / len(a | b)))
+            continue
+        gaps, jumps = ([q - p for p, q in zip(c[:-1], c[1:], strict=True)] for c in (own, to))
+        cut = gaps.index(max(gaps)) if max(gaps) > 1 else max(range(len(jumps)), key=lambda k: (abs(jumps[k] - 1), -k))
+        stack += [(lo, lo + cut + 1), (lo + cut + 1, hi)]
+    return found
+
+
+def test_passages_of_repetitive_texts_are_those_of_sets():
+    rng, some = np.random.default_rng(31), 0
+    for _ in range(300):
+        words = int(rng.choice([3, 12, 400]))
+        y = rng.integers(0, words, int(rng.integers(1, 60))).astype(np.int64) + 1
+        x = y.copy()[: int(rng.integers(1, 60))]
+        x = np.concatenate([np.repeat(x[:1], int(rng.integers(0, 40))), x, rng.integers(0, words, 9)])
+        x[rng.random(len(x)) < 0.1] = rng.integers(0, 2 * words)
+        shift, least = int(rng.integers(-20, 20)), int(rng.integers(2, 12))
+        want = plain_passages(x.tolist(), y.tolist(), least, 80, shift)
+        assert substring_dedup.shared_passages(x, y, least, 80, shift) == want
+        some += len(want)
+    assert some > 100
+
+
+def test_a_long_repetition_takes_no_time_of_its_square():
+    x, y = np.ones(60_000, np.int64), np.ones(90, np.int64)
+    began = time.process_time()
+    found = substring_dedup.shared_passages(x, y, 47, 80)
+    assert time.process_time() - began < 5
+    assert all(e - s >= 47 and 100 * (e2 - s2) >= 80 * (e - s) for s, e, s2, e2, _ in found)
