@@ -62,7 +62,7 @@ class PrefixBpe:
             self._parts.setdefault(ids[a + b], (ids[a], ids[b], rank))
         self._right = Memo(lambda t: self._edge(t, 1), 200_000)
         self._left = Memo(lambda t: self._edge(t, 0), 200_000)
-        self._fits = Memo(lambda pair: not self._crosses(*pair, len(self._rank)), 400_000)
+        self._fits = Memo(lambda pair: not self._crosses(*pair, len(self._rank)), 100_000)
         self._automaton = ahocorasick.Automaton()
         whole: dict[int, bool] = {}
         for t, i in sorted(ids.items(), key=lambda x: len(x[0])):
@@ -75,7 +75,7 @@ class PrefixBpe:
                 self._automaton.add_word(t, (i, len(t)))
         self._automaton.make_automaton()
         self._longest = max(map(len, ids), default=1)
-        self._memo = Recent(self._word, memo // 2)
+        self._memo = Recent(self._word, memo // 8)
         # Pre-tokens hold no white space, so each run between white space is encoded on its own, once.
         self.word_counts = Recent(self._last_count, memo)
         self.chunk_counts = Recent(lambda c: sum(map(self.word_counts.__getitem__, self.words(c))), memo)
