@@ -321,11 +321,18 @@ class JaccardJoin:
             .select("a", "b", F.col("x.n").alias("na"), F.col("y.n").alias("nb"))
         )
 
-    def _meet(self, rows: DataFrame, bounds: Column) -> DataFrame:
-        """(a, b, na, nb) of the rows' documents of one bucket, in different components and in one band or neighbours."""
-        x, y = rows.withColumn("at", F.explode(F.array(F.col("band"), F.col("band") + 1))).alias("x"), rows.alias("y")
-        turn = (F.col("x.band") < F.col("y.band")) | (F.col("x.id") < F.col("y.id"))
-        met = x.join(y, (F.col("x.s") == F.col("y.s")) & (F.col("x.at") == F.col("y.band")) & turn & (F.col("x.c") != F.col("y.c")) & bounds)
+    def _meet(self, rows: DataFrame, bounds: Column, dealt: bool) -> DataFrame:
+        """(a, b, na, nb) of the rows' documents of one bucket, in different components and in one band or neighbours.
+
+        Buckets are ``dealt`` by band, or else, as few documents share each, read whole: both sides then have one shuffle.
+        """
+        if dealt:
+            x, y = rows.withColumn("at", F.explode(F.array(F.col("band"), F.col("band") + 1))).alias("x"), rows.alias("y")
+            near = (F.col("x.at") == F.col("y.band")) & ((F.col("x.band") < F.col("y.band")) | (F.col("x.id") < F.col("y.id")))
+        else:
+            x, y = rows.alias("x"), rows.alias("y")
+            near = (F.abs(F.col("x.band") - F.col("y.band")) <= 1) & (F.col("x.id") < F.col("y.id"))
+        met = x.join(y, (F.col("x.s") == F.col("y.s")) & near & (F.col("x.c") != F.col("y.c")) & bounds)
         low, high = (f(F.struct("x.id", "x.n"), F.struct("y.id", "y.n")) for f in (F.least, F.greatest))
         return met.select(low.alias("a"), high.alias("b")).select(F.col("a.id").alias("a"), F.col("b.id").alias("b"), F.col("a.n").alias("na"), F.col("b.n").alias("nb"))
 
@@ -336,10 +343,11 @@ class JaccardJoin:
         firsts = write(firsts)
         copies = write(sets.select("sig", F.col("id").alias("b")).join(sized(firsts, BROADCAST_IDS), "sig").where("a < b").select("a", "b"))
         single = sets.join(sized(copies.select(F.col("b").alias("id")), BROADCAST_IDS), "id", "left_anti")
-        posted = single.select("id", F.explode("prefix").alias("s"))
+        # Dealt by n-gram once, at every size: the buckets' sums and the join with them read the same shuffle.
+        posted = single.select("id", F.explode("prefix").alias("s")).repartition("s")
         extremes = (F.min("id").alias("hub"), F.max("id").alias("last"))
-        hubs = write(posted.groupBy("s").agg(*extremes, F.count("*").alias("c")).where("hub < last").select("s", "hub", "c"))
-        buckets = write(posted.join(sized(hubs, BROADCAST_IDS), "s"))
+        hubs = posted.groupBy("s").agg(*extremes, F.count("*").alias("c")).where("hub < last").select("s", "hub", "c")
+        buckets = write(posted.join(hubs.hint("shuffle_merge"), "s"))
         if FINE <= self.percent < 100:
             # Documents of crowded buckets meet by the contents of fine fragments instead.
             crowd = write(buckets.where(F.col("c") > CROWD).select("id").distinct())
@@ -367,12 +375,12 @@ class JaccardJoin:
         small = write(left.where("not fine").drop("fine").join(stats.select("id", "n", "band"), "id"))
         large = write(left.where("fine").drop("fine").join(stats, "id"))
         # Buckets of few documents: pairs of ids, each once, and then the bounds.
-        meet = self._meet(small, _size_bound("x", "y", self.percent)).select("a", "b").distinct()
+        meet = self._meet(small, _size_bound("x", "y", self.percent), False).select("a", "b").distinct()
         few = self._near(meet, stats.drop("band"))
         # Others: only what meets the bounds leaves the join.
-        many = self._meet(large, _may_link("x", "y", self.percent)).distinct()
+        many = self._meet(large, _may_link("x", "y", self.percent), True).distinct()
         rest = write(few.union(many).distinct())
-        drop(hubs, shared, at, mixed, small, large)
+        drop(shared, at, mixed, small, large)
         more = self.linked(rest)
         drop(near, rest, label)
         return links.union(more).union(copies)

@@ -165,3 +165,22 @@ def test_a_long_repetition_takes_no_time_of_its_square():
     found = substring_dedup.shared_passages(x, y, 47, 80)
     assert time.process_time() - began < 5
     assert all(e - s >= 47 and 100 * (e2 - s2) >= 80 * (e - s) for s, e, s2, e2, _ in found)
+
+
+def test_the_prefixes_of_a_join_are_shuffled_once(spark, monkeypatch):
+    """Beyond the broadcast bound too, the sums by n-gram and the join with them read one shuffle of the prefixes."""
+    monkeypatch.setattr(ngram_join, "BROADCAST_IDS", 0)
+    plans, write = [], Tables.write
+
+    def noted(self, df):
+        if "hub" in df.columns and "c" in df.columns:
+            df.collect()
+            plans.append(df._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0])
+        return write(self, df)
+
+    monkeypatch.setattr(Tables, "write", noted)
+    base = [f"w{k}" for k in range(60)]
+    rows = [(i, " ".join(base[: 40 + i % 3] + [f"d{i // 10}x{k}" for k in range(30)])) for i in range(1, 60)]
+    got = {r["id"]: r["component"] for r in ngram_join.JaccardJoin(spark.createDataFrame(rows, "doc_id long, text string")).classes().collect()}
+    assert got == {i: max(1, i - i % 10) for i in range(1, 60)}
+    assert len(plans) == 1 and "ReusedExchange" in plans[0]
