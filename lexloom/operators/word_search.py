@@ -3,7 +3,8 @@
 Entries have id, lang, word, pos and freq, and may have forms, aliases, glosses and romanizations
 (arrays of strings; absent columns and nulls count as empty). Queries have q and lang. No stage is a
 cross join: every one meets the entries by an equi-join on a key, a token, a head or a trigram,
-verifies what it found and, where a stage is limited, keeps the first by id.
+verifies what it found and, where a stage is limited, keeps the first by id: as many as ``most``, or all if it
+is None. Where ids are not ranks of frequency, a limit by id loses words that the full rank would put first.
 """
 
 from __future__ import annotations
@@ -143,48 +144,51 @@ def _parts(entries: DataFrame, queries: DataFrame) -> DataFrame:
     return left.join(right, ["lang", "gram"]).where(F.forall("terms", lambda x: F.col("surface").contains(x))).select("q", "lang", "id")
 
 
-def _staged(rows: DataFrame, stage: int, quality: Column | None = None, order: Column | None = None) -> DataFrame:
+def _staged(rows: DataFrame, stage: int, quality: Column | None = None, order: Column | None = None, at: str | None = None) -> DataFrame:
     value = F.lit(QUALITY[stage]) if quality is None else quality
     place = F.lit(0.0) if order is None else order
-    return rows.select("q", "lang", "id", F.lit(stage).alias("stage"), value.cast("int").alias("quality"), place.cast("double").alias("place"))
+    key = F.lit("") if at is None else F.col(at)
+    return rows.select("q", "lang", "id", F.lit(stage).alias("stage"), value.cast("int").alias("quality"), place.cast("double").alias("place"), key.alias("at"))
 
 
-def _first(rows: DataFrame, *order: str) -> DataFrame:
+def _first(rows: DataFrame, most: int | None, *order: str) -> DataFrame:
+    if most is None:
+        return rows
     window = W.partitionBy("q", "lang").orderBy(*(order or ("id",)))
-    return rows.withColumn("r", F.row_number().over(window)).where(F.col("r") <= LIMIT)
+    return rows.withColumn("r", F.row_number().over(window)).where(F.col("r") <= most).drop("r")
 
 
-def stage_rows(entries: DataFrame, queries: DataFrame, side: str = "merge") -> DataFrame:
-    """(q, lang, id, stage, quality, place) of every stage over prepared entries and asked queries.
+def stage_rows(entries: DataFrame, queries: DataFrame, side: str = "merge", most: int | None = LIMIT) -> DataFrame:
+    """(q, lang, id, stage, quality, place, at) of every stage over prepared entries and asked queries.
 
     ``side`` is the hint of the queries, ``broadcast`` if they are few; entries are never broadcast.
     """
     entries, queries = entries.hint("merge"), queries.hint(side)
     form_keys = entries.select("id", "lang", "freq", F.explode("form_keys").alias("k"))
-    in_word = _first(_all_terms(entries, queries, "word_tokens", "terms"))
+    in_word = _first(_all_terms(entries, queries, "word_tokens", "terms"), most)
     hits = in_word.groupBy("q", "lang").agg(F.count("*").alias("hits"))
     few = queries.join(hits, ["q", "lang"], "left").where((F.coalesce("hits", F.lit(0)) < FEW) & (F.length(F.concat_ws(" ", "spoken")) >= 3)).hint(side)
     sounding = _all_terms(entries, queries, "sound_tokens", "sound_terms", prefix=False)
     sounding = sounding.join(queries.select("q", "lang", "sound"), ["q", "lang"]).join(entries.select("id", "lang", F.col("sound").alias("of")), ["id", "lang"])
-    said = _first(_all_terms(entries, queries, "sound_tokens", "sound_terms")).join(queries.select("q", "lang", "latin"), ["q", "lang"])
+    said = _first(_all_terms(entries, queries, "sound_tokens", "sound_terms"), most).join(queries.select("q", "lang", "latin"), ["q", "lang"])
     roman = entries.select("id", "lang", "readings", F.explode("roman_keys").alias("k"))
     romans = queries.where("roman_key <> ''").select("q", "lang", "low", F.col("roman_key").alias("k"))
     original = F.when(F.array_contains("readings", F.col("low")), 5).otherwise(QUALITY[ROMAN])
     heads = roman.where(F.length("k") >= 2).select("id", "lang", "k", F.substring("k", 1, 2).alias("h"))
     starts = romans.where(F.length("k") >= 2).select("q", "lang", F.col("k").alias("to"), F.substring("k", 1, 2).alias("h"))
-    began = _first(heads.join(starts, ["lang", "h"]).where(F.col("k").startswith(F.col("to"))), "k", "id")
+    began = _first(heads.join(starts, ["lang", "h"]).where(F.col("k").startswith(F.col("to"))), most, "k", "id")
     parts = [
         _staged(_equal(entries, queries, F.col("key"), "key"), EXACT),
         _staged(_equal(form_keys, queries, F.col("k"), "key"), INFLECTED, order=-F.col("freq")),
         _staged(_equal(entries, queries, F.col("alias_key"), "lookup"), ALIAS),
         _staged(in_word, WORD),
-        _staged(_first(_all_terms(entries, queries, "form_tokens", "terms")), FORMS),
-        _staged(_first(_all_terms(entries, queries, "gloss_tokens", "gloss_terms")), GLOSS),
+        _staged(_first(_all_terms(entries, queries, "form_tokens", "terms"), most), FORMS),
+        _staged(_first(_all_terms(entries, queries, "gloss_tokens", "gloss_terms"), most), GLOSS),
         _staged(sounding.where("of = sound"), SOUND),
         _staged(said, SOUND_PREFIX, F.when(F.col("latin"), 40).otherwise(QUALITY[SOUND_PREFIX])),
-        _staged(_first(_parts(entries, few)), PART),
+        _staged(_first(_parts(entries, few), most), PART),
         _staged(roman.join(romans, ["lang", "k"]), ROMAN, original),
-        _staged(began, ROMAN_PREFIX, order=F.col("r")),
+        _staged(began, ROMAN_PREFIX, at="k"),
     ]
     rows = parts[0]
     for part in parts[1:]:
@@ -192,7 +196,7 @@ def stage_rows(entries: DataFrame, queries: DataFrame, side: str = "merge") -> D
     return rows
 
 
-def matches(entries: DataFrame, queries: DataFrame, side: str = "merge") -> DataFrame:
+def matches(entries: DataFrame, queries: DataFrame, side: str = "merge", most: int | None = LIMIT) -> DataFrame:
     """One row per (q, lang, word, pos): the best quality, and the stage and place that saw it first.
 
     Inflections, aliases, sound prefixes and parts only add what no earlier stage has; the other
@@ -200,14 +204,14 @@ def matches(entries: DataFrame, queries: DataFrame, side: str = "merge") -> Data
     """
     # Written tables of repeated values are far smaller as files than as rows: without the hints they would be broadcast.
     shown = entries.hint("merge").select("id", "lang", "word", "pos", "freq", "key", "glosses")
-    found = stage_rows(entries, queries, side).join(shown, ["id", "lang"])
+    found = stage_rows(entries, queries, side, most).join(shown, ["id", "lang"])
     found = found.join(queries.hint(side).select("q", "lang", F.col("key").alias("asked_key"), "low"), ["q", "lang"])
     whole = (F.col("stage") == WORD) & (F.col("key") == F.col("asked_key"))
     found = found.withColumn("quality", F.when(whole, 0).otherwise(F.col("quality")))
     at = F.array_position(F.transform("glosses", lambda g: g.contains(F.col("low"))), True)
     found = found.withColumn("gloss_at", F.when(F.coalesce(at, F.lit(0)) > 0, at - 1).otherwise(NO_GLOSS))
     key = ["q", "lang", "word", "pos"]
-    seen = F.struct("stage", "place", "id")
+    seen = F.struct("stage", "place", "at", "id")
     best = F.min(F.struct("quality", seen.alias("seen"), "id", "freq", "stage", "gloss_at"))
     staged = found.groupBy(*key, "stage").agg(best.alias("x"), F.min(seen).alias("seen"))
     staged = staged.withColumn("first_seen", F.min("seen").over(W.partitionBy(*key)))
@@ -241,10 +245,13 @@ def stored(rows: DataFrame, folder: str) -> DataFrame:
     return rows.sparkSession.read.parquet(path)
 
 
-def search(entries: DataFrame, queries: DataFrame, folder: str, limit: int = LIMIT) -> DataFrame:
-    """(q, lang, word, id, pos, freq, quality, stage, gloss_at, rank) of the best words for each query."""
+def search(entries: DataFrame, queries: DataFrame, folder: str, limit: int = LIMIT, most: int | None = LIMIT) -> DataFrame:
+    """(q, lang, word, id, pos, freq, quality, stage, gloss_at, rank) of the best words for each query.
+
+    ``most`` is the limit of each limited stage; with None every match of every stage is ranked.
+    """
     # Keys cost far more than the bytes of their rows, so entries are spread before.
     tasks = max(int(entries.sparkSession.conf.get("spark.sql.shuffle.partitions")), entries.sparkSession.sparkContext.defaultParallelism)
     rows, terms = stored(prepared(entries.repartition(tasks)), folder), stored(asked(queries), folder)
     side = "broadcast" if terms.count() <= BROADCAST_QUERIES else "merge"
-    return ranked(matches(rows, terms, side), limit)
+    return ranked(matches(rows, terms, side, most), limit)

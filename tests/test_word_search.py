@@ -6,6 +6,7 @@ import unicodedata
 
 import pytest
 
+from lexloom import catalogue
 from lexloom.operators import word_search as s
 
 ENTRIES = [
@@ -172,3 +173,23 @@ def test_entries_are_never_broadcast(spark, tmp_path):
 
     outputs = sent(found._jdf.queryExecution().executedPlan())
     assert outputs and not [x for x in outputs if re.search(r"\bid#", x)]
+
+
+def test_query_ranks_every_match_of_a_stage(spark, tmp_path):
+    # The best word by frequency comes after more than 50 others, by id and by key.
+    words = ["bolt", *(f"bolt{chr(97 + i // 26)}{chr(97 + i % 26)}" for i in range(70))]
+    parts = [(i, w, "LARGE", float(i)) for i, w in enumerate(words)] + [(i + 100, f"x{w} seen", "SMALL", 900.0 + i) for i, w in enumerate(words)]
+    spark.createDataFrame(parts, "p_partkey long, p_name string, p_type string, p_retailprice double").write.parquet(str(tmp_path / "part.parquet"))
+    found = catalogue.QUERIES["search_all_stages"](spark, str(tmp_path)).orderBy("rank").collect()
+    asked = lambda q: [(r.word, r.id, r.quality, r.stage) for r in found if r.q == q]
+    best = [(w, i, 10, s.WORD) for i, w in enumerate(words)][:0:-1]
+    assert asked("bolt") == [("bolt", 0, 0, s.EXACT), *best[:49]]
+    # More words have the form than a stage would keep, all of them at the inflection's quality.
+    assert asked("seen") == [(f"x{w}", i + 100, 5, s.INFLECTED) for i, w in enumerate(words)][:20:-1]
+
+
+def test_stages_without_limits_equal_those_of_a_limit_that_none_reaches(spark, tmp_path):
+    entries = spark.createDataFrame(ENTRIES, SCHEMA)
+    asked = spark.createDataFrame([("etre", "fr"), ("spiti", "el"), ("omme", "fr"), ("shā", "hi"), ("being", "fr")], "q string, lang string")
+    rows = [sorted(map(tuple, s.search(entries, asked, str(tmp_path), most=most).collect())) for most in (s.LIMIT, None)]
+    assert rows[0] and rows[0] == rows[1]
