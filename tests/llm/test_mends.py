@@ -1,5 +1,6 @@
 """Finite vectors of any size, samples with repeated ids, ranges of repetitive texts, and the models' inner steps."""
 
+import random
 import time
 from collections import Counter
 
@@ -184,3 +185,28 @@ def test_the_prefixes_of_a_join_are_shuffled_once(spark, monkeypatch):
     got = {r["id"]: r["component"] for r in ngram_join.JaccardJoin(spark.createDataFrame(rows, "doc_id long, text string")).classes().collect()}
     assert got == {i: max(1, i - i % 10) for i in range(1, 60)}
     assert len(plans) == 1 and "ReusedExchange" in plans[0]
+
+
+def test_slices_of_comparisons_give_the_rows_of_all_at_once(spark, monkeypatch):
+    # What is shuffled at once is bounded by documents, not by the pairs of a family of near copies.
+    rng = random.Random(9)
+    passages = [[f"{k}w{i}" for i in range(70)] for k in range(3)]
+    near = lambda words: " ".join(f"x{rng.randrange(10**6)}" if rng.random() < 0.012 else w for w in words)
+    rows = [(i, " ".join([f"a{i}b{k}" for k in range(20)]) + " " + near(passages[i % 3])) for i in range(45)]
+    rows = spark.createDataFrame(rows, "doc_id long, text string")
+    sizes, counts, compared, slices = [], [], substring_dedup._compared_slice, substring_dedup._slices
+
+    def noted(texts, regions, *rest):
+        sizes.append(regions.count())
+        return compared(texts, regions, *rest)
+
+    monkeypatch.setattr(substring_dedup, "_compared_slice", noted)
+    monkeypatch.setattr(substring_dedup, "_slices", lambda count, *rest: counts.append(count) or slices(count, *rest))
+    whole = sorted(map(tuple, substring_dedup.repeated_passages(rows).collect()))
+    first, pairs, second = counts
+    assert len(whole) > 40 and sizes == [first, second] and min(counts) > 1
+    sizes.clear()
+    for name, value in {"COMPARED": first // 2 + 1, "COMPARED_EACH": 0, "PAIRS": pairs // 2 + 1, "PAIRS_EACH": 0}.items():
+        monkeypatch.setattr(substring_dedup, name, value)
+    assert sorted(map(tuple, substring_dedup.repeated_passages(rows).collect())) == whole
+    assert sum(sizes) == first + second and len(sizes) >= 4 and max(sizes) < max(first, second)
